@@ -83,3 +83,61 @@ def pages_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("product_code"), F.col("turn").alias("page_no"),
                     F.col("role").alias("username"), F.col("text").alias("review_text"))
+
+
+def docs_as_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as one product per language and a constant user (dedup
+    and merge fixtures)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("lang").alias("product_code"), F.lit("u").alias("username"),
+                    F.col("text").alias("review_text"), F.col("doc_id").alias("pos"))
+
+
+def docs_runs(spark: SparkSession, sf_dir: str):
+    """Two overlapping runs over documents: run 1 holds doc_id <= 0.6 max,
+    run 2 holds doc_id >= 0.4 max (scalar subquery, computed once)."""
+    d = docs_as_reviews(spark, sf_dir)
+    mx = table(spark, sf_dir, "documents").select(F.max("doc_id")).scalar()
+    old = d.filter(F.col("doc_id") <= mx * 0.6)
+    new = d.filter(F.col("doc_id") >= mx * 0.4)
+    return old, new
+
+
+def catalog_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run 1 catalogue: every part."""
+    return products_pr(spark, sf_dir).select(
+        "product_code", "product_name", "category", "sub_category", "pos",
+        F.lit(1).alias("run_ts"))
+
+
+def catalog_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run 2 catalogue: parts of size <= 15 with changed names; size 1 has a
+    NULL name (absent), 2 an empty name, 3 no key, 4 an empty category,
+    5 a NULL sub-category."""
+    p = table(spark, sf_dir, "part").filter(F.col("p_size") <= 15)
+    s = F.col("p_size")
+    return p.select(
+        F.when(s == 3, F.lit(None).cast("string"))
+         .otherwise(F.col("p_partkey").cast("string")).alias("product_code"),
+        F.when(s == 1, F.lit(None).cast("string")).when(s == 2, F.lit(""))
+         .otherwise(F.upper("p_name")).alias("product_name"),
+        F.when(s == 4, F.lit("")).otherwise(F.concat("p_brand", F.lit("*"))).alias("category"),
+        F.when(s == 5, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("sub_category"),
+        F.col("p_partkey").alias("pos"),
+        F.lit(2).alias("run_ts"))
+
+
+def walk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CV with repeats injected: every conversation gets turns 8-12 copying
+    turn 0, then pages are renumbered densely from 1 per conversation."""
+    from pyspark.sql import Window
+    c = table(spark, sf_dir, "conversations")
+    inj = (c.filter(F.col("turn") == 0)
+            .select("conv_id", F.explode(F.sequence(F.lit(8).cast("long"), F.lit(12).cast("long"))).alias("turn"),
+                    "role", "text"))
+    u = c.select("conv_id", "turn", "role", "text").unionByName(inj)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return u.select(F.col("conv_id").alias("product_code"),
+                    F.dense_rank().over(w).alias("page_no"),
+                    F.col("turn").alias("pos"), F.col("role").alias("username"),
+                    F.col("text").alias("review_text"))

@@ -33,3 +33,28 @@ FROM conversations"""
 
 def with_views(**views: str) -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in views.items()) + "\n"
+
+DOCS = """SELECT doc_id, lang AS product_code, 'u' AS username, text AS review_text, doc_id AS pos
+FROM documents"""
+
+DOCS_OLD = "SELECT * FROM docs WHERE doc_id <= (SELECT max(doc_id) FROM documents) * 0.6"
+DOCS_NEW = "SELECT * FROM docs WHERE doc_id >= (SELECT max(doc_id) FROM documents) * 0.4"
+
+CAT_OLD = """SELECT CAST(p_partkey AS VARCHAR) AS product_code, p_name AS product_name,
+       p_brand AS category, p_type AS sub_category, p_partkey AS pos, 1 AS run_ts
+FROM part"""
+
+CAT_NEW = """SELECT CASE WHEN p_size = 3 THEN NULL ELSE CAST(p_partkey AS VARCHAR) END AS product_code,
+       CASE WHEN p_size = 1 THEN NULL WHEN p_size = 2 THEN '' ELSE upper(p_name) END AS product_name,
+       CASE WHEN p_size = 4 THEN '' ELSE p_brand || '*' END AS category,
+       CASE WHEN p_size = 5 THEN NULL ELSE p_type END AS sub_category,
+       p_partkey AS pos, 2 AS run_ts
+FROM part WHERE p_size <= 15"""
+
+WALK = """SELECT conv_id AS product_code,
+       DENSE_RANK() OVER (PARTITION BY conv_id ORDER BY turn) AS page_no,
+       turn AS pos, role AS username, text AS review_text
+FROM (SELECT conv_id, turn, role, text FROM conversations
+      UNION ALL
+      SELECT conv_id, t AS turn, role, text FROM conversations, range(8, 13) r(t)
+      WHERE turn = 0)"""
