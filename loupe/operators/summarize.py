@@ -12,8 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
+from ..session import spread
 
 
 def _rating0(rating: str) -> Column:
@@ -61,7 +63,7 @@ def keyword_counts(reviews: DataFrame, *, key: str = "product_code", text: str =
     contains a space; so the sum partially aggregates."""
     kws = keywords or C.SUMMARY_KEYWORDS
     t = F.col(text)
-    return (reviews.filter(t.isNotNull() & (t != ""))
+    return (spread(reviews).filter(t.isNotNull() & (t != ""))
             .groupBy(key)
             .agg(F.count(F.lit(1)).alias("n_texts"),
                  *[F.sum(keyword_count(t, k)).alias(f"kw_{i}") for i, k in enumerate(kws)]))
@@ -112,7 +114,8 @@ def bigrams(reviews: DataFrame, *, key: str = "product_code", text: str = "revie
     keys = [key] + list(group_extra or [])
     # Tokens are materialised as a column first; the pair lambda then indexes
     # into it (re-deriving the split inside the lambda would be quadratic).
-    base = reviews.select(*keys, F.col(pos).alias("_pos"), _tokens(F.col(text)).alias("_w"))
+    base = spread(reviews).select(*keys, F.col(pos).alias("_pos"),
+                                  _tokens(F.col(text)).alias("_w"))
     w = F.col("_w")
     pairs = F.filter(
         F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
@@ -120,11 +123,17 @@ def bigrams(reviews: DataFrame, *, key: str = "product_code", text: str = "revie
                         F.concat(x, F.lit(" "), F.element_at(w, i + 2)).alias("phrase"),
                         (i + 1).alias("tok"))),
         lambda p: F.length(p["phrase"]) <= max_chars)
+    # First appearance as one long (review position << 24 | token index) so
+    # the aggregate stays a hash aggregate; integral positions only (a
+    # struct position would fall back to a sort-based aggregate).
+    integral = isinstance(base.schema["_pos"].dataType,
+                          (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    seen = (F.shiftleft(F.col("_pos").cast("long"), 24)
+            + F.least(F.col("p.tok"), F.lit((1 << 24) - 1)).cast("long")) if integral else \
+        F.struct(F.col("_pos").alias("pos"), F.col("p.tok").alias("tok"))
     return (base.select(*keys, "_pos", F.explode(pairs).alias("p"))
             .groupBy(*keys, F.col("p.phrase").alias("phrase"))
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.min(F.struct(F.col("_pos").alias("pos"), F.col("p.tok").alias("tok")))
-                  .alias("first_seen")))
+            .agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("first_seen")))
 
 
 def common_phrases(pairs: DataFrame, *, keys: list, top: int = C.PHRASE_TOP,

@@ -154,11 +154,9 @@ def q_export_reviews(spark, sf):
     """One JSON line per review; compared by parsed fields."""
     j = V.review_lines_json(X.reviews_rv(spark, sf),
                             X.products_pr(spark, sf).select("product_code", "product_name"))
-    g = lambda p: F.get_json_object("json", p)
-    return j.select(g("$.product_code").alias("product_code"),
-                    g("$.product_name").alias("product_name"), g("$.username").alias("username"),
-                    g("$.rating").cast("int").alias("rating"), g("$.option").alias("option"),
-                    g("$.special_note_1").alias("special_note_1"))
+    back = F.from_json("json", "product_code string, product_name string, username string, "
+                               "rating int, option string, special_note_1 string")
+    return j.select(back.alias("r")).select("r.*")
 
 
 @query("export_product_view", oracle=_RVPR + f""", s AS ({_SOME_STATS})

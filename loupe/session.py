@@ -56,3 +56,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Before a CPU-heavy narrow stage (HTML parsing, tokenising): when the
+    input has fewer partitions than the cluster has cores (a small table
+    stored as one row group), spread it round-robin.  At scale the input
+    already has thousands of splits and this is a no-op (no shuffle)."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    return df.repartition(want) if have < want else df

@@ -346,8 +346,9 @@ def page_facts(pages: DataFrame, *, html: str = "html", keys: list | None = None
                probes: dict | None = None) -> DataFrame:
     """(keys..., html) -> (keys..., facts).  Only the key columns and
     the HTML are shipped to Python."""
+    from ..session import spread
     keys = keys or ["page_id"]
-    src = pages.select(*keys, html)
+    src = spread(pages.select(*keys, html))
     out_schema = T.StructType([src.schema[k] for k in keys] + [T.StructField("facts", FACTS)])
     pr = dict(probes) if probes is not None else None
 
