@@ -82,16 +82,16 @@ def _any_kw(line: Column, keywords: list) -> Column:
 def longest_line(lines: Column, keywords: list | None = None) -> Column:
     """F21 fallback: the longest line among those longer than 30 chars that
     carry a keyword or are longer than 100 (scrubbed); else the longest
-    line of all.  Ties go to the first line."""
+    line of all.  Ties go to the first line.  One pass over the lines:
+    candidates rank above all other lines, so a single ``array_max`` over
+    (is_candidate, length, -index) picks either."""
     kws = keywords if keywords is not None else C.BODY_KEYWORDS
-    idx = F.transform(lines, lambda l, i: F.struct(F.length(l).alias("n"), (-i).alias("p"),
-                                                    l.alias("l")))
-    cand = F.filter(idx, lambda s: (s["n"] > C.LINE_MIN_CHARS)
-                    & (_any_kw(s["l"], kws) | (s["n"] > C.LINE_LONG_CHARS)))
-    best_cand = F.array_max(cand)["l"]
-    best_any = F.array_max(idx)["l"]
-    return F.when(F.size(cand) > 0, strip_ws(F.regexp_replace(best_cand, SCRUB_PATTERNS[0], "")))\
-        .otherwise(best_any)
+    best = F.array_max(F.transform(lines, lambda l, i: F.struct(
+        ((F.length(l) > C.LINE_MIN_CHARS)
+         & (_any_kw(l, kws) | (F.length(l) > C.LINE_LONG_CHARS))).alias("c"),
+        F.length(l).alias("n"), (-i).alias("p"), l.alias("l"))))
+    return F.when(best["c"], strip_ws(F.regexp_replace(best["l"], SCRUB_PATTERNS[0], ""))) \
+        .otherwise(best["l"])
 
 
 def review_body(elem_text: Column, lines: Column, keywords: list | None = None) -> Column:

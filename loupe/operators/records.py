@@ -77,7 +77,9 @@ def parse_reviews(cards: DataFrame, *, body_keywords: list | None = None,
     """Review fields per card (E22, P1, F15-F25, P2).  Adds ``valid``
     (card >= 20 chars and body > 10 chars); invalid rows are the quarantine."""
     t = _or_empty(F.col("text"))
-    lines = R.text_lines(t)
+    # the line array is materialised once and reused by the body rule
+    cards = cards.withColumn("_lines", R.text_lines(t))
+    lines = F.col("_lines")
     info = F.coalesce(F.nullif(F.col("user_desc"), F.lit("")), US.user_info_raw(t), F.lit(""))
     icons = F.coalesce(F.nullif(F.col("star_icons_wrap"), F.lit(0)), F.col("star_icons"))
     x = cards.select(
@@ -96,7 +98,7 @@ def parse_reviews(cards: DataFrame, *, body_keywords: list | None = None,
         R.notes_from_dictionary(F.col("review_text"), t, note_dictionary))
     prof = US.parse_user_info(F.col("user_info"))
     return x.select(
-        *[c for c in x.columns if c != "_pairs"],
+        *[c for c in x.columns if c not in ("_pairs", "_lines")],
         prof["age"].alias("age"), prof["gender"].alias("gender"),
         prof["skin_type_1"].alias("skin_type_1"), prof["skin_type_2"].alias("skin_type_2"),
         *[F.coalesce(F.try_element_at(notes, F.lit(i)), F.lit("")).alias(f"special_note_{i}")
