@@ -94,6 +94,11 @@ CARD_FALLBACK_HINT = r"지속력|촉촉|유분|향|각질"
 # end of FIXED VALUES
 # ---------------------------------------------------------------------------
 
+# Whitespace as Python's str.strip()/str.split() see it (derived from
+# str.isspace), used so Spark trims and tokenises exactly like the original.
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+WS_CLASS = "[" + "".join(f"\\u{ord(c):04x}" for c in PY_WHITESPACE) + "]"
+
 # Default site base used to absolutise relative links (a parameter; any site).
 DEFAULT_SITE_BASE = "https://shop.example.com"
 

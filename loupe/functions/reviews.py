@@ -9,8 +9,9 @@ from .. import config as C
 
 
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()`` (all Unicode whitespace)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: trims exactly Python's whitespace set (no
+    regex)."""
+    return F.trim(c, F.lit(C.PY_WHITESPACE))
 
 
 def text_lines(text: Column) -> Column:
@@ -23,10 +24,12 @@ RATING_TEXT_PATTERN = r"(\d+)\s*점|평점[:\s]*(\d+)|(\d+)\s*/\s*5"
 
 
 def rating_from_text(text: Column) -> Column:
-    """F19 text stage: first match of the three alternatives; the group
-    that took part gives the number."""
-    g = [F.nullif(F.regexp_extract(text, RATING_TEXT_PATTERN, i), F.lit("")) for i in (1, 2, 3)]
-    return F.coalesce(*g).try_cast("int")
+    """F19 text stage: the first match of the three alternatives; the
+    number is the (only) digit run of the matched text.  One regex pass over
+    the text, a second over the short match."""
+    m = F.regexp_substr(text, F.lit(RATING_TEXT_PATTERN))
+    return F.nullif(F.regexp_extract(F.coalesce(m, F.lit("")), r"(\d+)", 1), F.lit("")) \
+        .try_cast("int")
 
 
 def rating_cascade(star_class: Column, star_icons: Column, text: Column,
@@ -45,10 +48,16 @@ def rating_cascade(star_class: Column, star_icons: Column, text: Column,
 OPTION_PATTERNS = [r"(?i)옵션[:\s]*([^\n]+)", r"(?i)option[:\s]*([^\n]+)", r"(?i)선택[:\s]*([^\n]+)"]
 
 
+def first_match(text: Column, patterns: list, group: int) -> Column:
+    """Group of the first pattern that matches (NULL when none does); the
+    groups used here are never empty on a match, so '' means no match and
+    each pattern is evaluated once."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])
+
+
 def option_parse(text: Column) -> Column:
     """first option pattern that matches, group 1, stripped."""
-    return F.coalesce(*[F.when(text.rlike(p), strip_ws(F.regexp_extract(text, p, 1)))
-                        for p in OPTION_PATTERNS], F.lit(""))
+    return F.coalesce(strip_ws(first_match(text, OPTION_PATTERNS, 1)), F.lit(""))
 
 
 SCRUB_PATTERNS = [r"(?s)신고내용.*?차단하기", r"작성자:.*?글내용:"]
@@ -68,8 +77,7 @@ REVIEW_TYPE_PATTERNS = [r"(?i)(\d+\s*[일개월주년]+?\s*사용\s*리뷰)", r"
 
 def review_type(text: Column) -> Column:
     """whole match of the first pattern that matches, stripped."""
-    return F.coalesce(*[F.when(text.rlike(p), strip_ws(F.regexp_extract(text, p, 0)))
-                        for p in REVIEW_TYPE_PATTERNS], F.lit(""))
+    return F.coalesce(strip_ws(first_match(text, REVIEW_TYPE_PATTERNS, 0)), F.lit(""))
 
 
 def _any_kw(line: Column, keywords: list) -> Column:
@@ -122,15 +130,13 @@ def notes_from_dictionary(body: Column, all_text: Column, dictionary=None,
     search_in = F.when(body != "", body).otherwise(all_text)
     per_label = []
     for label, pats in d:
-        cands = []
-        for p in pats:
-            rx = "(?i)\\Q" + p + "\\E[^\\n]*"
-            present = body.contains(p) | all_text.contains(p)
-            cands.append(F.when(present & search_in.rlike(rx),
-                                F.substring(strip_ws(F.regexp_extract(search_in, rx, 0)), 1,
-                                            max_chars)))
-        per_label.append(F.when(F.coalesce(*cands).isNotNull(),
-                                F.concat(F.lit(label + ": "), F.coalesce(*cands))))
+        # a pattern counts when present (case-sensitive) and found by the
+        # case-insensitive search; the regex runs only for present patterns
+        hit = F.coalesce(*[
+            F.nullif(F.when(body.contains(p) | all_text.contains(p),
+                            F.regexp_extract(search_in, "(?i)\\Q" + p + "\\E[^\\n]*", 0)),
+                     F.lit("")) for p in pats])
+        per_label.append(F.concat(F.lit(label + ": "), F.substring(strip_ws(hit), 1, max_chars)))
     return F.slice(F.array_compact(F.array(*per_label)), 1, k)
 
 

@@ -19,7 +19,7 @@ USERNAME_PATTERN = r"([a-zA-Z0-9]+\*+)"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(C.PY_WHITESPACE))
 
 
 def username_from_text(text: Column) -> Column:
@@ -29,8 +29,8 @@ def username_from_text(text: Column) -> Column:
 
 def user_info_raw(text: Column) -> Column:
     """F16 fallback: first pattern that matches, group 1, stripped."""
-    cands = [F.when(text.rlike(p), _strip(F.regexp_extract(text, p, 1))) for p in USER_INFO_PATTERNS]
-    return F.coalesce(*cands)
+    return _strip(F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+                               for p in USER_INFO_PATTERNS]))
 
 
 def _gender(part: Column) -> Column:

@@ -39,7 +39,7 @@ def keep_last(df: DataFrame, keys: list, order) -> DataFrame:
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: all leading/trailing whitespace, not only
     spaces (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(C.PY_WHITESPACE))
 
 
 def dedup_reviews(reviews: DataFrame, *, rule: str = "full", key: str = "product_code",

@@ -181,12 +181,17 @@ def class_price(facts, html: Column | None = None) -> Column:
 RATING_PATTERNS = [r"[★☆]\s*(\d+\.\d+)", r"평점[:\s]*(\d+\.\d+)", r"(\d+\.\d+)\s*점"]
 
 
-def page_rating(facts, html: Column) -> Column:
-    """rating/star/score element -> first 'd.d'; else patterns over
-    the raw page."""
+def rating_from_html(html: Column) -> Column:
+    """E15 raw-page part: first of the rating patterns over the raw HTML
+    (computed in the JVM before the HTML stage, carried through it)."""
+    return F.coalesce(*[_nz(F.regexp_extract(html, p, 1)) for p in RATING_PATTERNS])
+
+
+def page_rating(facts, raw_rating: Column) -> Column:
+    """rating/star/score element -> first 'd.d'; else the raw-page
+    patterns (``rating_from_html``)."""
     el = F.coalesce(F.try_element_at(_f(facts)["probes"], F.lit("rating")), F.lit(""))
-    return F.coalesce(_nz(F.regexp_extract(el, r"(\d+\.\d+)", 1)),
-                      *[_nz(F.regexp_extract(html, p, 1)) for p in RATING_PATTERNS])
+    return F.coalesce(_nz(F.regexp_extract(el, r"(\d+\.\d+)", 1)), raw_rating)
 
 
 REVIEW_COUNT_PATTERNS = [r"리뷰\s*(" + NUM + ")", r"후기\s*(" + NUM + ")", r"\((" + NUM + r")\)"]

@@ -33,10 +33,22 @@ def text_field(facts: str, keywords: list) -> Column:
                                  E.heading_block(facts, keywords)))
 
 
+def raw_html_features(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Rules that read the raw page (E15 patterns, E16): computed in the JVM
+    before the HTML stage and carried through it as small columns."""
+    h = F.col(html)
+    return pages.withColumn("raw_rating", E.rating_from_html(h)) \
+        .withColumn("raw_review_count", E.page_review_count(h))
+
+
+RAW_FEATURES = ["raw_rating", "raw_review_count"]
+
+
 def extract_products(pages: DataFrame, *, facts: str = "facts", url: str = "url",
-                     html: str = "html", keys=("page_id",)) -> DataFrame:
+                     keys=("page_id",)) -> DataFrame:
     """Product record per product page (all strings '' when missing in
-    the export, typed here)."""
+    the export, typed here).  ``pages`` carries the facts plus ``url`` and
+    the ``raw_html_features`` columns."""
     f = F.col(facts)
     u = F.col(url)
     cp = E.class_price(facts)
@@ -55,8 +67,8 @@ def extract_products(pages: DataFrame, *, facts: str = "facts", url: str = "url"
         listp.alias("price"), cp["price"].alias("current_price"),
         cp["discount"].alias("discount_pct"),
         F.when(listp.isNotNull(), P.price_band(listp)).otherwise(F.lit("")).alias("price_range"),
-        E.page_rating(facts, F.col(html)).alias("rating"),
-        E.page_review_count(F.col(html)).alias("review_count"),
+        E.page_rating(facts, F.col("raw_rating")).alias("rating"),
+        F.col("raw_review_count").alias("review_count"),
         text_field(facts, C.USAGE_KEYWORDS).alias("usage_method"),
         R.ingredients_cap(E.ingredients(facts)).alias("ingredients"),
         text_field(facts, C.PRECAUTION_KEYWORDS).alias("precautions"),

@@ -63,7 +63,7 @@ def keyword_counts(reviews: DataFrame, *, key: str = "product_code", text: str =
     contains a space; so the sum partially aggregates."""
     kws = keywords or C.SUMMARY_KEYWORDS
     t = F.col(text)
-    return (spread(reviews).filter(t.isNotNull() & (t != ""))
+    return (reviews.filter(t.isNotNull() & (t != ""))
             .groupBy(key)
             .agg(F.count(F.lit(1)).alias("n_texts"),
                  *[F.sum(keyword_count(t, k)).alias(f"kw_{i}") for i, k in enumerate(kws)]))
@@ -102,7 +102,7 @@ def keyword_polarity(counts: DataFrame, *, key: str = "product_code",
 
 def _tokens(text: Column) -> Column:
     """Whitespace tokens, like str.split() (no empty tokens)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), C.WS_CLASS + "+"), lambda x: x != "")
 
 
 def bigrams(reviews: DataFrame, *, key: str = "product_code", text: str = "review_text",
@@ -156,22 +156,41 @@ def cohort_phrases(reviews: DataFrame, *, key: str = "product_code", text: str =
     return common_phrases(pairs, keys=[key, "band"])
 
 
-def top_option(reviews: DataFrame, *, key: str = "product_code", option: str = "option",
-               pos: str = "pos") -> DataFrame:
-    """Most frequent non-empty option; a tie goes to the first seen."""
+def option_counts(reviews: DataFrame, *, key: str = "product_code", option: str = "option",
+                  pos: str = "pos") -> DataFrame:
+    """Partial aggregate for A11: (key, option, n, first_pos) over non-empty
+    options; mergeable by sum / min."""
     o = F.col(option)
-    per = (reviews.filter(o.isNotNull() & (o != ""))
-           .groupBy(key, option)
-           .agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first_pos")))
-    best = F.min_by(F.struct(F.col(option).alias("option"), F.col("n")),
+    return (reviews.filter(o.isNotNull() & (o != ""))
+            .groupBy(key, F.col(option).alias("option"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first_pos")))
+
+
+def best_option(counts: DataFrame, *, key: str = "product_code") -> DataFrame:
+    """A11 from option counts: most frequent, a tie goes to the first seen."""
+    best = F.min_by(F.struct(F.col("option"), F.col("n")),
                     F.struct((-F.col("n")).alias("neg_n"), F.col("first_pos")))
-    return (per.groupBy(key).agg(best.alias("b"))
+    return (counts.groupBy(key).agg(best.alias("b"))
             .select(key, F.col("b.option").alias("top_option"), F.col("b.n").alias("top_option_n")))
 
 
-def _phrase_lists(reviews: DataFrame, *, key: str, text: str, rating: str,
-                  pos: str) -> DataFrame:
-    ph = cohort_phrases(reviews, key=key, text=text, rating=rating, pos=pos)
+def top_option(reviews: DataFrame, *, key: str = "product_code", option: str = "option",
+               pos: str = "pos") -> DataFrame:
+    """Most frequent non-empty option; a tie goes to the first seen."""
+    return best_option(option_counts(reviews, key=key, option=option, pos=pos), key=key)
+
+
+def cohort_pairs(reviews: DataFrame, *, key: str = "product_code", text: str = "review_text",
+                 rating: str = "rating", pos: str = "pos") -> DataFrame:
+    """Partial aggregate for A10: bigram counts per (key, band, phrase) with
+    first appearance; mergeable by sum / min."""
+    banded = (reviews.withColumn("band", rating_band(rating))
+              .filter(F.col("band") != "mid"))
+    return bigrams(banded, key=key, text=text, pos=pos, group_extra=["band"])
+
+
+def _phrase_lists(pairs: DataFrame, *, key: str) -> DataFrame:
+    ph = common_phrases(pairs, keys=[key, "band"])
     return (ph.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.col("band") == "high",
                                            F.struct("rank", "phrase")))).alias("hi"),
@@ -215,48 +234,114 @@ def summary_text_col(name: Column, n_texts: Column, top_keywords: Column,
     return F.when(F.coalesce(n_texts, F.lit(0)) > 0, body).otherwise(F.lit(C.SUMMARY_NO_TEXTS))
 
 
-def summarize(reviews: DataFrame, products: DataFrame | None = None, *,
-              key: str = "product_code", name: str = "product_name", text: str = "review_text",
-              rating: str = "rating", option: str = "option", pos: str = "pos",
-              dicts: C.Dictionaries = C.DEFAULT_DICTS) -> DataFrame:
-    """The composite summary record per product, one job: four grouped
-    aggregates joined on the product key.  With ``products`` given, every
-    product appears; those without reviews get the fixed empty summary."""
-    stats = rating_stats(reviews, key=key, rating=rating)
-    counts = keyword_counts(reviews, key=key, text=text, keywords=dicts.keywords)
+def product_aggregates(reviews: DataFrame, *, key: str = "product_code",
+                       text: str = "review_text", rating: str = "rating",
+                       keywords: list | None = None) -> DataFrame:
+    """A1-A5 in one grouped aggregate (one scan, map-side combine): rating
+    statistics, number of non-empty texts and every keyword count."""
+    kws = keywords or C.SUMMARY_KEYWORDS
+    r, t = F.col(rating), F.col(text)
+    has_text = t.isNotNull() & (t != "")
+    return spread(reviews).groupBy(key).agg(
+        F.count(F.lit(1)).alias("total_reviews"),
+        F.sum(F.when(r > 0, r)).cast("long").alias("sum_rating"),
+        F.count(F.when(r > 0, r)).alias("n_rated"),
+        F.count(F.when(_rating0(rating) >= 4, 1)).alias("positive_count"),
+        F.count(F.when(_rating0(rating) <= 2, 1)).alias("negative_count"),
+        F.count(F.when(r.isNull(), 1)).alias("unrated_count"),
+        F.count(F.when(has_text, 1)).alias("n_texts"),
+        *[F.sum(F.when(has_text, keyword_count(t, k))).cast("long").alias(f"kw_{i}")
+          for i, k in enumerate(kws)])
+
+
+def partials(reviews: DataFrame, *, key: str = "product_code", text: str = "review_text",
+             rating: str = "rating", option: str = "option", pos: str = "pos",
+             dicts: C.Dictionaries = C.DEFAULT_DICTS) -> dict:
+    """The three mergeable partial aggregates behind A14 (one scan each):
+    per-product sums, phrase counts, option counts."""
+    return {
+        "agg": product_aggregates(reviews, key=key, text=text, rating=rating,
+                                  keywords=dicts.keywords),
+        "pairs": cohort_pairs(reviews, key=key, text=text, rating=rating, pos=pos),
+        "options": option_counts(reviews, key=key, option=option, pos=pos),
+    }
+
+
+def merge_partials(a: dict, b: dict, *, key: str = "product_code") -> dict:
+    """Combine two sets of partials (sums add, first positions take the
+    minimum): the incremental form of A1-A11."""
+    agg = a["agg"].unionByName(b["agg"])
+    sums = [c for c in agg.columns if c != key]
+    pairs = a["pairs"].unionByName(b["pairs"])
+    opts = a["options"].unionByName(b["options"])
+    return {
+        "agg": agg.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in sums]),
+        "pairs": pairs.groupBy(key, "band", "phrase").agg(
+            F.sum("n").cast("long").alias("n"), F.min("first_seen").alias("first_seen")),
+        "options": opts.groupBy(key, "option").agg(
+            F.sum("n").cast("long").alias("n"), F.min("first_pos").alias("first_pos")),
+    }
+
+
+def finish(parts: dict, products: DataFrame | None = None, *, key: str = "product_code",
+           name: str = "product_name", dicts: C.Dictionaries = C.DEFAULT_DICTS,
+           external: DataFrame | None = None) -> DataFrame:
+    """A12-A14 from partials: top keywords, polarity, phrases, option, key
+    points, template (or external) summary, rounded average."""
+    agg = parts["agg"]
+    kw_cols = [f"kw_{i}" for i in range(len(dicts.keywords))]
+    counts = agg.select(key, *kw_cols)
     top = (keyword_top(counts, key=key, keywords=dicts.keywords)
            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("t"))
            .select(key, F.transform("t", lambda s: s["keyword"]).alias("top_keywords")))
     pol = keyword_polarity(counts, key=key, dicts=dicts)
-    phrases = _phrase_lists(reviews, key=key, text=text, rating=rating, pos=pos)
-    opt = top_option(reviews, key=key, option=option, pos=pos)
-
+    phrases = _phrase_lists(parts["pairs"], key=key)
+    opt = best_option(parts["options"], key=key)
+    stats = agg.drop(*kw_cols)
     if products is not None:
         base = products.select(key, name).join(stats, key, "left")
     else:
         base = stats.withColumn(name, F.lit(None).cast("string"))
-    j = (base.join(counts.select(key, "n_texts"), key, "left")
-         .join(top, key, "left").join(pol, key, "left")
+    j = (base.join(top, key, "left").join(pol, key, "left")
          .join(phrases, key, "left").join(opt, key, "left"))
+    template = summary_text_col(F.col(name), F.col("n_texts"), F.col("top_keywords"),
+                                F.col("polarity"))
+    if external is not None:
+        j = j.join(external.select(key, F.col("summary").alias("_ext_summary")), key, "left")
+        template = F.coalesce(F.col("_ext_summary"), template)
     has = F.coalesce(F.col("total_reviews"), F.lit(0)) > 0
     return j.select(
         key, name,
-        F.when(has, summary_text_col(F.col(name), F.col("n_texts"), F.col("top_keywords"),
-                                     F.col("polarity")))
-         .otherwise(F.lit(C.SUMMARY_NO_REVIEWS)).alias("summary"),
+        F.when(has, template).otherwise(F.lit(C.SUMMARY_NO_REVIEWS)).alias("summary"),
         F.when(has, key_points_col(F.col("high_phrases"), F.col("low_phrases"),
                                    F.col("top_option"), F.col("top_option_n")))
          .otherwise(F.array().cast("array<string>")).alias("key_points"),
         F.when(has, average_rating()).otherwise(F.lit(0.0)).alias("average_rating"),
-        F.coalesce("sum_rating", F.lit(0)).alias("sum_rating"),
-        F.coalesce("n_rated", F.lit(0)).alias("n_rated"),
-        F.coalesce("total_reviews", F.lit(0)).alias("total_reviews"),
-        F.coalesce("positive_count", F.lit(0)).alias("positive_count"),
-        F.coalesce("negative_count", F.lit(0)).alias("negative_count"),
-        F.coalesce("unrated_count", F.lit(0)).alias("unrated_count"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in
+          ("sum_rating", "n_rated", "total_reviews", "positive_count", "negative_count",
+           "unrated_count")],
     )
 
 
+def summarize(reviews: DataFrame, products: DataFrame | None = None, *,
+              key: str = "product_code", name: str = "product_name", text: str = "review_text",
+              rating: str = "rating", option: str = "option", pos: str = "pos",
+              dicts: C.Dictionaries = C.DEFAULT_DICTS, summarizer=None) -> DataFrame:
+    """The composite summary record per product: three scans of the
+    reviews (``partials``), each combined map-side, then ``finish``.  With
+    ``products`` given, every product appears; those without reviews get
+    the fixed empty summary.
+
+    ``summarizer`` (U1) is an optional DataFrame -> DataFrame callable that
+    receives the prompt batches of A17 ``(key, batch)`` and returns
+    ``(key, summary)``; products it leaves out or answers with NULL keep the
+    template summary (the original falls back the same way on failure)."""
+    parts = partials(reviews, key=key, text=text, rating=rating, option=option, pos=pos,
+                     dicts=dicts)
+    ext = summarizer(prompt_batch(reviews, key=key, text=text, pos=pos)) if summarizer else None
+    return finish(parts, products, key=key, name=name, dicts=dicts, external=ext)
+
+
 def prompt_batch(reviews: DataFrame, *, key: str = "product_code", text: str = "review_text",
                  pos: str = "pos", max_texts: int = C.PROMPT_MAX_TEXTS,
                  max_chars: int = C.PROMPT_MAX_CHARS) -> DataFrame:

@@ -25,10 +25,8 @@ def _pages(spark, sf):
 
 
 def _facts(spark, sf):
-    """Facts of the driver pages, with url and html kept alongside."""
-    p = _pages(spark, sf)
-    f = page_facts(p, keys=["page_id"])
-    return f.join(p, "page_id")
+    """Facts of the driver pages, with the url carried through."""
+    return page_facts(_pages(spark, sf), keys=["page_id"], passthrough=["url"])
 
 
 def _unescape_sql(x: str) -> str:
@@ -197,8 +195,8 @@ def q_listing_completeness(spark, sf):
 # ---------------------------------------------------------------- synthesised product pages
 
 def _prod_facts(spark, sf):
-    p = H.product_pages(spark, sf)
-    return page_facts(p, keys=["page_id"]).join(p, "page_id")
+    p = R.raw_html_features(H.product_pages(spark, sf))
+    return page_facts(p, keys=["page_id"], passthrough=["url"] + R.RAW_FEATURES)
 
 
 _SRC = f"WITH src AS ({H.SRC_PRODUCT})\n"
@@ -275,7 +273,7 @@ def q_class_price(spark, sf):
 @query("page_rating", oracle=_SRC + "SELECT k AS page_id, rating FROM src")
 def q_page_rating(spark, sf):
     f = _prod_facts(spark, sf)
-    return f.select("page_id", E.page_rating("facts", F.col("html")).alias("rating"))
+    return f.select("page_id", E.page_rating("facts", F.col("raw_rating")).alias("rating"))
 
 
 @query("declared_count", oracle=_SRC + "SELECT k AS page_id, CAST(s AS BIGINT) AS declared FROM src")

@@ -21,6 +21,9 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Arrow batches feed the HTML stage: bound rows per batch (pages can be
+    # large); clusters tune this to their page size.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Broadcast only small, size-checked sides; everything else shuffles.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }

@@ -80,6 +80,8 @@ DEFAULT_PROBES = {
     "brand_name": r"brand.*name|brand.*title",
 }
 
+FACTS_SLICE = 256   # pages per yielded output frame
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "param", "source", "track", "wbr"}
 _HIDDEN = {"script", "style", "template", "noscript"}
@@ -343,21 +345,27 @@ def extract_facts(html: str, probes: dict | None = None) -> dict:
 
 
 def page_facts(pages: DataFrame, *, html: str = "html", keys: list | None = None,
-               probes: dict | None = None) -> DataFrame:
-    """(keys..., html) -> (keys..., facts).  Only the key columns and
-    the HTML are shipped to Python."""
+               probes: dict | None = None, passthrough: list | None = None) -> DataFrame:
+    """(keys..., html) -> (keys..., passthrough..., facts).  Only the key
+    columns and the HTML are shipped to Python; ``passthrough`` columns
+    (e.g. url, or features computed from the raw HTML in the JVM before this
+    stage) ride along unchanged, so no join back to the pages is needed."""
     from ..session import spread
-    keys = keys or ["page_id"]
-    src = spread(pages.select(*keys, html))
-    out_schema = T.StructType([src.schema[k] for k in keys] + [T.StructField("facts", FACTS)])
+    keys = list(keys or ["page_id"])
+    carry = keys + [c for c in (passthrough or []) if c not in keys]
+    src = spread(pages.select(*carry, html))
+    out_schema = T.StructType([src.schema[k] for k in carry] + [T.StructField("facts", FACTS)])
     pr = dict(probes) if probes is not None else None
 
     def run(batches):
+        # emit in slices so the facts of one Arrow batch of large pages never
+        # sit in memory at once
         for b in batches:
-            facts = [extract_facts(h, pr) for h in b[html]]
-            out = b[keys].copy()
-            out["facts"] = facts
-            yield out
+            for lo in range(0, len(b), FACTS_SLICE):
+                part = b.iloc[lo:lo + FACTS_SLICE]
+                out = part[carry].copy()
+                out["facts"] = [extract_facts(h, pr) for h in part[html]]
+                yield out
 
     return src.mapInPandas(run, out_schema)
 

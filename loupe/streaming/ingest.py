@@ -7,9 +7,9 @@ T1  ingest: new page snapshots -> page facts -> review rows, stateless, so
 T2  streaming seen-set: ``dropDuplicatesWithinWatermark`` on the dedup key.
     Unlike batch D2 it forgets keys older than the watermark: a repeat that
     arrives more than ``delay`` after the first copy is kept.
-T3  incremental summaries: per micro-batch, append the new reviews, then
-    recompute summaries only for the products the batch touched
-    (``left_semi``) and upsert them (D8) into a new summary snapshot.
+T3  incremental summaries: per micro-batch, merge the batch's partial
+    aggregates into stored state for the products it touched, recompute
+    only those summaries and upsert them (D8) into a new summary snapshot.
 
 Checkpoints live under the cluster's ``spark.checkpoint.dir``.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators.extract import explode_cards
 from ..operators.records import parse_reviews
-from ..operators.summarize import summarize
+from ..operators.summarize import finish, merge_partials, partials
 from ..session import checkpoint_dir
 from ..sources.catalog import read_table, write_snapshot
 from ..sources.facts import page_facts
@@ -68,37 +68,51 @@ def ingest(spark: SparkSession, pages_stream: DataFrame, reviews_path: str, *,
             .trigger(availableNow=True).start())
 
 
-def summary_upserter(summary_base: str, *, key: str = "product_code",
-                     dicts: C.Dictionaries = C.DEFAULT_DICTS, reviews_path: str | None = None):
-    """A ``foreachBatch`` function: append the batch's reviews, recompute
-    the touched products from the full review table, replace their summary
-    rows, keep the others, write a new summary snapshot."""
+STATE_TABLES = ("agg", "pairs", "options")
+
+
+def summary_upserter(state_base: str, summary_base: str, *, key: str = "product_code",
+                     dicts: C.Dictionaries = C.DEFAULT_DICTS):
+    """A ``foreachBatch`` function.  State is the three mergeable
+    partial aggregates of ``operators.summarize`` (per-product sums, phrase
+    counts, option counts), each a snapshot table.  Per micro-batch: build
+    the batch's partials, merge them with the stored rows of the touched
+    products only, recompute those products' summaries from the merged
+    partials, and write new snapshots (untouched rows carried over).
+    Review rows are never re-read, so the cost of a batch follows the batch
+    and the touched products' state, not the review history."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        if reviews_path:
-            batch.write.mode("append").parquet(reviews_path)
-            allr = spark.read.parquet(reviews_path)
-        else:
-            allr = batch
+        fresh = partials(batch, key=key, dicts=dicts)
         touched = batch.select(key).distinct()
-        fresh = summarize(allr.join(touched, key, "left_semi"), key=key, dicts=dicts)
-        fresh = fresh.withColumn("epoch", F.lit(epoch_id))
-        old = read_table(spark, summary_base)
-        if old is None:
-            merged = fresh
+        old = {t: read_table(spark, f"{state_base}/{t}") for t in STATE_TABLES}
+        if any(v is None for v in old.values()):
+            merged, kept = fresh, None
         else:
-            merged = old.join(touched, key, "left_anti").unionByName(fresh)
-        write_snapshot(merged, summary_base, f"epoch={epoch_id:012d}")
+            hot = {t: old[t].join(touched, key, "left_semi") for t in STATE_TABLES}
+            merged = merge_partials(hot, fresh, key=key)
+            kept = {t: old[t].join(touched, key, "left_anti") for t in STATE_TABLES}
+        run_id = f"epoch={epoch_id:012d}"
+        for t in STATE_TABLES:
+            new_state = merged[t] if kept is None else kept[t].unionByName(merged[t])
+            write_snapshot(new_state, f"{state_base}/{t}", run_id)
+        # summaries of the touched products, from their merged state
+        state = {t: read_table(spark, f"{state_base}/{t}").join(touched, key, "left_semi")
+                 for t in STATE_TABLES}
+        summ = finish(state, key=key, dicts=dicts).withColumn("epoch", F.lit(epoch_id))
+        prev = read_table(spark, summary_base)
+        out = summ if prev is None else prev.join(touched, key, "left_anti").unionByName(summ)
+        write_snapshot(out, summary_base, run_id)
 
     return run
 
 
-def incremental_summaries(spark: SparkSession, reviews_stream: DataFrame, summary_base: str,
-                          reviews_path: str, *, name: str = "summaries", **kw):
-    """T3 driver: stream reviews, upsert summaries of touched products per
-    micro-batch."""
+def incremental_summaries(spark: SparkSession, reviews_stream: DataFrame, state_base: str,
+                          summary_base: str, *, name: str = "summaries", **kw):
+    """T3 driver: stream reviews, upsert the summaries of touched products
+    per micro-batch (D8)."""
     ckpt = f"{checkpoint_dir(spark)}/{name}"
     return (reviews_stream.writeStream
-            .foreachBatch(summary_upserter(summary_base, reviews_path=reviews_path, **kw))
+            .foreachBatch(summary_upserter(state_base, summary_base, **kw))
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

@@ -180,3 +180,17 @@ def test_scalar_text_rules(spark):
     notes = spark.createDataFrame([("발림이 부드러움\n향은 은은해요",)], "t string").select(
         R.notes_from_dictionary(F.col("t"), F.col("t")).alias("n")).first()["n"]
     assert notes == ["사용감: 발림이 부드러움", "향: 향은 은은해요"]
+
+
+def test_u1_pluggable_summarizer(spark):
+    rows = [("p", "n", 5, "good text one here", "a", 1, "u"),
+            ("q", "m", 1, "bad text two here", "", 2, "v")]
+    df = spark.createDataFrame(rows, REVIEW_SCHEMA)
+
+    def fake(batches):  # answers for 'p' only
+        return batches.filter(F.col("product_code") == "p").select(
+            "product_code", F.concat(F.lit("ext:"), F.col("batch")).alias("summary"))
+    out = {r["product_code"]: r["summary"] for r in
+           S.summarize(df, summarizer=fake).collect()}
+    assert out["p"] == "ext:good text one here"
+    assert "후기를 분석한 결과" in out["q"]

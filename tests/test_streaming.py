@@ -42,14 +42,22 @@ def test_seen_set_drops_repeats(spark):
     assert I.seen_set(df).count() == 2
 
 
-def test_incremental_summaries(spark, tmpdir_path):
+def test_incremental_summaries_match_batch(spark, tmpdir_path):
+    from loupe import config as C
+    from loupe.operators.summarize import summarize
     from loupe.plans import fixtures as X
     src = os.path.join(tmpdir_path, "in")
-    X.reviews_dv(spark, SF001).write.parquet(src)
+    dv = X.reviews_dv(spark, SF001)
+    dv.repartition(3, "doc_id").write.parquet(src)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    state = os.path.join(tmpdir_path, "state")
     base = os.path.join(tmpdir_path, "summaries")
-    q = I.incremental_summaries(spark, stream, base, os.path.join(tmpdir_path, "all"), name="t3")
+    q = I.incremental_summaries(spark, stream, state, base, name="t3", dicts=C.TEST_DICTS)
     q.awaitTermination(300)
-    s = read_table(spark, base)
-    assert s.count() == X.reviews_dv(spark, SF001).select("product_code").distinct().count()
+    got = read_table(spark, base).select("product_code", "summary", "key_points",
+                                         "total_reviews", "positive_count")
+    want = summarize(dv, dicts=C.TEST_DICTS).select("product_code", "summary", "key_points",
+                                                    "total_reviews", "positive_count")
+    norm = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert norm(got) == norm(want)
