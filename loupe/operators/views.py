@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .joins import join_dimension, surrogate_key, with_ordinal
 from .summarize import average_rating, rating_stats
 
@@ -133,7 +134,7 @@ def review_lines_json(reviews: DataFrame, products: DataFrame, *,
                       key: str = "product_code") -> DataFrame:
     """One JSON line per review with product code and name (J4);
     missing strings -> '', rating stays null (F26)."""
-    j = review_enrich(reviews, products, key=key)
+    j = spread(review_enrich(reviews, products, key=key))
     have = set(j.columns)
 
     def field(f):

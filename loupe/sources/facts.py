@@ -192,34 +192,38 @@ def _rx(p):
     return re.compile(p, re.I)
 
 
+_RX_CARD = _rx("reviewCard")
+_RX_ITEM = _rx("review.*item|item.*review")
+_RX_REVIEW = _rx("review|comment|후기|리뷰")
+_RX_ID = _rx("review|comment|리뷰|후기")
+
 _CARD_RULES = [
     ("class=reviewCard", lambda e: "reviewCard" in e.cls().split()),
     ("class~reviewCard", lambda e: "reviewCard" in e.cls()),
-    ("class~/reviewCard/i", lambda e: _rx("reviewCard").search(e.cls()) is not None),
-    ("class~/review.*item/i", lambda e: _rx("review.*item|item.*review").search(e.cls()) is not None),
-    ("class~/review/i", lambda e: _rx("review|comment|후기|리뷰").search(e.cls()) is not None),
+    ("class~/reviewCard/i", lambda e: _RX_CARD.search(e.cls()) is not None),
+    ("class~/review.*item/i", lambda e: _RX_ITEM.search(e.cls()) is not None),
+    ("class~/review/i", lambda e: _RX_REVIEW.search(e.cls()) is not None),
     ("class~review-kw", lambda e: any(k in e.cls().lower()
                                       for k in ("review", "comment", "후기", "리뷰"))),
     ("data-review", lambda e: "data-review" in e.attrs),
-    ("id~/review/i", lambda e: _rx("review|comment|리뷰|후기").search(e.attrs.get("id") or "")
-     is not None),
+    ("id~/review/i", lambda e: _RX_ID.search(e.attrs.get("id") or "") is not None),
 ]
 _FALLBACK = re.compile(C.CARD_FALLBACK_PATTERN)
 _FALLBACK_HINT = re.compile(C.CARD_FALLBACK_HINT)
 
 
-def _find_cards(root):
-    els = [e for e in root.elements() if e.tag in _CARD_TAGS]
+def _find_cards(els):
+    cand = [e for e in els if e.tag in _CARD_TAGS]
     for name, rule in _CARD_RULES:
-        hits = [e for e in els if rule(e) and C.CARD_EXCLUDE_CLASS not in e.cls()]
+        hits = [e for e in cand if rule(e) and C.CARD_EXCLUDE_CLASS not in e.cls()]
         if hits:
             return name, hits
     hits = []
-    for e in els:
+    for e in cand:
         if e.tag not in ("div", "li", "article"):
             continue
         t = e.text(strip=False)
-        if _FALLBACK.search(t) and len(t) > 50 and (_FALLBACK_HINT.search(t) or len(t) > 100):
+        if len(t) > 50 and _FALLBACK.search(t) and (len(t) > 100 or _FALLBACK_HINT.search(t)):
             hits.append(e)
     return ("text-pattern" if hits else None), hits
 
@@ -310,20 +314,21 @@ def extract_facts(html: str, probes: dict | None = None) -> dict:
                           "parent_text": e.parent.text() if e.parent is not None else None})
     strike = next((e for e in els if e.tag in ("s", "strike", "del")), None) or next(
         (e for e in els if "line-through" in (e.attrs.get("style") or "")), None)
+    classed = [e for e in els if e.attrs.get("class")]
     pr = {}
     for name, pat in probes.items():
         rx = _rx(pat)
-        e = next((x for x in els if rx.search(x.cls())), None)
+        e = next((x for x in classed if rx.search(x.attrs["class"])), None)
         if e is not None:
             pr[name] = e.text()
     bc_rx = _rx("breadcrumb|category|nav")
-    bc = next((e for e in els if bc_rx.search(e.cls())), None)
+    bc = next((e for e in classed if bc_rx.search(e.attrs["class"])), None)
     crumbs = ([t for t in (a.text() for a in bc.elements() if a.tag == "a") if t]
               if bc is not None else None)
     logo_rx = _rx("로고|brand")
     logo = next((e for e in els if e.tag == "img" and logo_rx.search(e.attrs.get("alt") or "")),
                 None)
-    rule, cards = _find_cards(root)
+    rule, cards = _find_cards(els)
     return {
         "title": title.text() if title is not None else None,
         "h1": h1.text() if h1 is not None else None,
