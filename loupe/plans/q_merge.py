@@ -280,7 +280,7 @@ z AS (
   FROM p LEFT JOIN y ON p.product_code = y.product_code AND p.page_no = y.page_no),
 s AS (SELECT *, MIN(CASE WHEN zero_run >= 3 THEN page_no END)
                OVER (PARTITION BY product_code) AS stop_at FROM z)
-SELECT product_code, page_no, CAST(new_reviews AS BIGINT) AS new_reviews,
+SELECT product_code, CAST(page_no AS INTEGER) AS page_no, CAST(new_reviews AS BIGINT) AS new_reviews,
        CAST(running_total AS BIGINT) AS running_total
 FROM s WHERE stop_at IS NULL OR page_no <= stop_at
 """)

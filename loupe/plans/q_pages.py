@@ -50,7 +50,7 @@ _LINKS_SQL = f"""links AS (
 
 # ---------------------------------------------------------------- S1, E0, E1, E2
 
-@query("page_scan", oracle="SELECT page_id, url, length(html) AS n_chars FROM pages")
+@query("page_scan", oracle="SELECT page_id, url, CAST(length(html) AS INTEGER) AS n_chars FROM pages")
 def q_page_scan(spark, sf):
     """Page-snapshot scan (Parquet here; ``sources.pages`` also reads a
     directory of saved pages)."""
@@ -58,7 +58,7 @@ def q_page_scan(spark, sf):
 
 
 @query("page_facts", oracle=f"""SELECT page_id, {_TITLE_SQL} AS title, {_H1_SQL} AS h1,
-       len(regexp_extract_all(html, '<a ')) AS n_links,
+       CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS n_links,
        regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS scripts
 FROM pages""")
 def q_page_facts(spark, sf):
@@ -262,7 +262,7 @@ def q_strike_price(spark, sf):
     return f.select("page_id", E.strike_price("facts").alias("price"))
 
 
-@query("class_price", oracle=_SRC + """SELECT k AS page_id, d AS discount,
+@query("class_price", oracle=_SRC + """SELECT k AS page_id, CAST(d AS INTEGER) AS discount,
   CAST(sale AS BIGINT) AS price FROM src""")
 def q_class_price(spark, sf):
     f = page_facts(H.product_pages(spark, sf))
@@ -290,7 +290,7 @@ def _band_sql(x: str) -> str:
 
 @query("product_facts", oracle=_SRC + f"""SELECT k AS page_id, code AS product_code,
   CAST(k * 7 AS VARCHAR) AS online_sn, name AS product_name, brand AS category,
-  ptype AS sub_category, list AS price, CAST(sale AS BIGINT) AS current_price, d AS discount_pct,
+  ptype AS sub_category, list AS price, CAST(sale AS BIGINT) AS current_price, CAST(d AS INTEGER) AS discount_pct,
   {_band_sql('list')} AS price_range, rating, CAST(cnt AS BIGINT) AS review_count,
   usage AS usage_method, ingr AS ingredients, prec AS precautions
 FROM src""")

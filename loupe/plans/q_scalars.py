@@ -43,7 +43,7 @@ def _listing_text(s):
 
 
 @query("listing_parse", oracle=_LISTING_SQL + """
-SELECT product_code, d AS discount, CAST(price AS BIGINT) AS sale_price,
+SELECT product_code, CAST(d AS INTEGER) AS discount, CAST(price AS BIGINT) AS sale_price,
        CAST(trunc(price * 100.0 / (100 - d)) AS BIGINT) AS list_price, p_name AS name,
        rating, CAST(cnt AS BIGINT) AS review_count
 FROM src
@@ -260,8 +260,8 @@ x AS (SELECT doc_id, cls, icons, t,
                            NULLIF(regexp_extract(t, '{RF.RATING_TEXT_PATTERN}', 3), ''))
                   AS INTEGER) AS c3
       FROM src)
-SELECT doc_id, COALESCE(CASE WHEN c1 > 0 THEN c1 END, CASE WHEN icons > 0 THEN icons END,
-                        CASE WHEN c3 > 0 THEN c3 END) AS rating
+SELECT doc_id, CAST(COALESCE(CASE WHEN c1 > 0 THEN c1 END, CASE WHEN icons > 0 THEN icons END,
+                        CASE WHEN c3 > 0 THEN c3 END) AS INTEGER) AS rating
 FROM x
 """)
 def q_rating_cascade(spark, sf):
@@ -363,7 +363,7 @@ def q_longest_line(spark, sf):
             .select("doc_id", RF.longest_line(F.col("lines"), C.TEST_POSITIVE).alias("body")))
 
 
-@query("text_lines", oracle=f"""SELECT doc_id, len({_LINES_SQL}) AS n_lines,
+@query("text_lines", oracle=f"""SELECT doc_id, CAST(len({_LINES_SQL}) AS INTEGER) AS n_lines,
        array_to_string({_LINES_SQL}, {_NL}) AS card_text FROM documents
 """)
 def q_text_lines(spark, sf):
@@ -406,7 +406,7 @@ def q_review_valid(spark, sf):
 
 @query("quarantine", oracle=_VALID_SQL + """
 SELECT doc_id, CASE WHEN card_len < 20 THEN 'short card' ELSE 'short body' END AS reason,
-       least(card_len, 1000) AS sample_len
+       CAST(least(card_len, 1000) AS INTEGER) AS sample_len
 FROM v WHERE NOT (card_len >= 20 AND body_len > 10)
 """)
 def q_quarantine(spark, sf):

@@ -61,7 +61,7 @@ def q_rating_band(spark, sf):
 
 
 @query("summary_rollup", oracle=with_views(rv=RV, pr=PR) + """
-SELECT pr.category, s.product_code, GROUPING_ID(pr.category, s.product_code) AS level,
+SELECT pr.category, s.product_code, CAST(GROUPING_ID(pr.category, s.product_code) AS INTEGER) AS level,
        CAST(SUM(total_reviews) AS BIGINT) AS total_reviews,
        CAST(SUM(sum_rating) AS BIGINT) AS sum_rating, CAST(SUM(n_rated) AS BIGINT) AS n_rated,
        CAST(SUM(positive_count) AS BIGINT) AS positive_count,

@@ -81,7 +81,7 @@ def q_product_view(spark, sf):
 s AS (SELECT product_code, SUM(CASE WHEN rating > 0 THEN rating END) AS sr,
              COUNT(CASE WHEN rating > 0 THEN 1 END) AS nr FROM ({_RV_SOME}) GROUP BY 1)
 SELECT ROW_NUMBER() OVER (ORDER BY pr.pos) AS ordinal, pr.product_code, pr.product_name,
-       COALESCE(c.n, 0) AS n_reviews, s.sr AS sum_rating, s.nr AS n_rated
+       COALESCE(c.n, 0) AS n_reviews, CAST(s.sr AS BIGINT) AS sum_rating, s.nr AS n_rated
 FROM pr LEFT JOIN c ON c.product_code = pr.product_code
 LEFT JOIN s ON s.product_code = pr.product_code""")
 def q_product_list(spark, sf):
