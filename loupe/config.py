@@ -90,6 +90,61 @@ CARD_EXCLUDE_CLASS = "reviewArea"
 CARD_FALLBACK_PATTERN = r"\w+\*+|\d+대|여성|남성|지성|건성|수분"
 CARD_FALLBACK_HINT = r"지속력|촉촉|유분|향|각질"
 
+# Page conventions of the shop (URL parameters, attributes, meta properties).
+PRODUCT_CODE_PARAM = "onlineProdCode"
+PRODUCT_SERIAL_PARAM = "onlineProdSn"
+CATEGORY_PAGE_PARAM = "displayCategorySn"
+BRAND_PAGE_PARAM = "brandSn"
+PRODUCT_PATH = "/product/detail"
+DATA_CODE_ATTRS = ["data-product-code", "data-code", "data-prod-code"]
+META_CODE_PROPERTY = "product.*code|code"
+META_CATEGORY_PROPERTY = "category"
+SCRIPT_CODE_PATTERN = r"""onlineProdCode["']?\s*[:=]\s*["']?(\d+)"""
+
+# Element class patterns (case-insensitive search in the class attribute).
+CLASS_USER_TITLE = "profileCard__userTitle|userTitle"
+CLASS_USER_FALLBACK = "user|name|nick|id"
+CLASS_USER_DESC = "profileCard__userDesc|userDesc"
+CLASS_USER_DESC_FALLBACK = "info|demographic|user-info"
+CLASS_STAR_WRAP = "icoStarWrap|starWrap"
+CLASS_STAR_ICON = "icoStar|star"
+CLASS_RATING_ELEMENT = "rating|score|point"
+CLASS_REVIEW_BODY = "txt|text|content"
+CLASS_REVIEW_NOTES = "prdStyle"
+CLASS_BREADCRUMB = "breadcrumb|category|nav"
+LOGO_ALT_PATTERN = "로고|brand"
+CLASS_DISCOUNT = "priceBox__rate|discountRate|discount.*rate"
+CLASS_PRICE = "priceBox__price|currentPrice|salePrice"
+CLASS_STRIKE = "strike|del|original|old"
+CLASS_PAGE_RATING = "star|rating|score"
+CLASS_BRAND_NAME = "brand.*name|brand.*title"
+CARD_ID_PATTERN = "review|comment|리뷰|후기"
+CARD_KEYWORDS = ["review", "comment", "후기", "리뷰"]
+
+# Text patterns.
+NUM_PATTERN = r"\d{1,3}(?:,\d{3})*"
+USERNAME_PATTERN = r"([a-zA-Z0-9]+\*+)"
+USER_INFO_PATTERNS = [
+    r"(\d+대[^\n]*여성|남성[^\n]*)",
+    r"(\d+대[^\n]*지성|건성|수분[^\n]*)",
+    r"(\d+대[^\n]*)",
+    r"(여성|남성[^\n]*지성|건성[^\n]*)",
+]
+RATING_TEXT_PATTERN = r"(\d+)\s*점|평점[:\s]*(\d+)|(\d+)\s*/\s*5"
+OPTION_PATTERNS = [r"(?i)옵션[:\s]*([^\n]+)", r"(?i)option[:\s]*([^\n]+)", r"(?i)선택[:\s]*([^\n]+)"]
+SCRUB_PATTERNS = [r"(?s)신고내용.*?차단하기", r"작성자:.*?글내용:"]
+REVIEW_TYPE_PATTERNS = [r"(?i)(\d+\s*[일개월주년]+?\s*사용\s*리뷰)", r"(?i)(한달|한\s*달|1개월)\s*사용",
+                        r"(?i)사용\s*리뷰"]
+PAGE_RATING_PATTERNS = [r"[★☆]\s*(\d+\.\d+)", r"평점[:\s]*(\d+\.\d+)", r"(\d+\.\d+)\s*점"]
+REVIEW_COUNT_PATTERNS = [r"리뷰\s*(" + NUM_PATTERN + ")", r"후기\s*(" + NUM_PATTERN + ")",
+                         r"\((" + NUM_PATTERN + r")\)"]
+DECLARED_COUNT_PATTERNS = [r"(\d+)\s*개의?\s*상품", r"(\d+)\s*개의?\s*제품", r"상품.*?(\d+)\s*개",
+                           r"제품.*?(\d+)\s*개"]
+INGREDIENT_HEADING_WORDS = ["화장품법", "성분"]
+INGREDIENT_TEXT_PATTERN = r"화장품법[^성]*성분[^\n]*\n([^\n]{50,})"
+DISCOUNT_PRICE_TEXT_PATTERN = r"(\d+)%\s*(" + NUM_PATTERN + ")원"
+LISTING_NAME_CUTS = [r"\s*로고.*", r"\s*브랜드관.*"]
+
 # ---------------------------------------------------------------------------
 # end of FIXED VALUES
 # ---------------------------------------------------------------------------

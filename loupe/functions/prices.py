@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-NUM = r"\d{1,3}(?:,\d{3})*"
+NUM = C.NUM_PATTERN
 
 # One anchored pattern for the listing text
 # "[discount%][price원]name[rating(count)][좋아요]"; groups: discount, price,

@@ -20,7 +20,7 @@ def text_lines(text: Column) -> Column:
                     lambda x: x != "")
 
 
-RATING_TEXT_PATTERN = r"(\d+)\s*점|평점[:\s]*(\d+)|(\d+)\s*/\s*5"
+RATING_TEXT_PATTERN = C.RATING_TEXT_PATTERN
 
 
 def rating_from_text(text: Column) -> Column:
@@ -45,7 +45,7 @@ def rating_cascade(star_class: Column, star_icons: Column, text: Column,
     return F.coalesce(pos(cls), pos(star_icons), pos(rating_from_text(text)), pos(elem))
 
 
-OPTION_PATTERNS = [r"(?i)옵션[:\s]*([^\n]+)", r"(?i)option[:\s]*([^\n]+)", r"(?i)선택[:\s]*([^\n]+)"]
+OPTION_PATTERNS = C.OPTION_PATTERNS
 
 
 def first_match(text: Column, patterns: list, group: int) -> Column:
@@ -60,7 +60,7 @@ def option_parse(text: Column) -> Column:
     return F.coalesce(strip_ws(first_match(text, OPTION_PATTERNS, 1)), F.lit(""))
 
 
-SCRUB_PATTERNS = [r"(?s)신고내용.*?차단하기", r"작성자:.*?글내용:"]
+SCRUB_PATTERNS = C.SCRUB_PATTERNS
 
 
 def scrub(text: Column) -> Column:
@@ -71,8 +71,7 @@ def scrub(text: Column) -> Column:
     return strip_ws(out)
 
 
-REVIEW_TYPE_PATTERNS = [r"(?i)(\d+\s*[일개월주년]+?\s*사용\s*리뷰)", r"(?i)(한달|한\s*달|1개월)\s*사용",
-                        r"(?i)사용\s*리뷰"]
+REVIEW_TYPE_PATTERNS = C.REVIEW_TYPE_PATTERNS
 
 
 def review_type(text: Column) -> Column:

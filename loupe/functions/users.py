@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-# Profile text patterns, tried in order (first that matches wins); note the
-# alternation precedence of the first two, kept as in the original.
-USER_INFO_PATTERNS = [
-    r"(\d+대[^\n]*여성|남성[^\n]*)",
-    r"(\d+대[^\n]*지성|건성|수분[^\n]*)",
-    r"(\d+대[^\n]*)",
-    r"(여성|남성[^\n]*지성|건성[^\n]*)",
-]
-USERNAME_PATTERN = r"([a-zA-Z0-9]+\*+)"
+# Profile text patterns, tried in order (fixed values in config).
+USER_INFO_PATTERNS = C.USER_INFO_PATTERNS
+USERNAME_PATTERN = C.USERNAME_PATTERN
 
 
 def _strip(c: Column) -> Column:

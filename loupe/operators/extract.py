@@ -42,7 +42,7 @@ def explode_links(df: DataFrame, facts="facts", keys=("page_id",)) -> DataFrame:
 
 
 def absolute_product_link(href: Column, base: str = C.DEFAULT_SITE_BASE,
-                          must_contain: str = "/product/detail") -> Column:
+                          must_contain: str = C.PRODUCT_PATH) -> Column:
     """E3: '' dropped; '/x' -> base + '/x'; other non-http dropped; must
     contain the product-detail path (NULL = dropped)."""
     h = F.coalesce(href, F.lit(""))
@@ -59,7 +59,7 @@ def breadcrumb_categories(facts="facts") -> Column:
     and the last; else the meta 'category' content."""
     f = _f(facts)
     crumbs = F.coalesce(f["breadcrumb"], F.array().cast("array<string>"))
-    meta_cat = meta_content(facts, "category")
+    meta_cat = meta_content(facts, C.META_CATEGORY_PROPERTY)
     two = F.size(crumbs) >= 2
     return F.struct(
         F.coalesce(F.when(two, F.element_at(crumbs, -2)), meta_cat, F.lit("")).alias("category"),
@@ -73,13 +73,13 @@ def meta_content(facts, pattern: str) -> Column:
     return _nz(F.try_element_at(hit, F.lit(1))["content"])
 
 
-def data_attr(facts, names=("data-product-code", "data-code", "data-prod-code")) -> Column:
+def data_attr(facts, names=tuple(C.DATA_CODE_ATTRS)) -> Column:
     """First present data attribute, in order."""
     f = _f(facts)
     return F.coalesce(*[_nz(F.try_element_at(f["data_attrs"], F.lit(n))) for n in names])
 
 
-SCRIPT_CODE = r"""onlineProdCode["']?\s*[:=]\s*["']?(\d+)"""
+SCRIPT_CODE = C.SCRIPT_CODE_PATTERN
 
 
 def script_var(facts, pattern: str = SCRIPT_CODE) -> Column:
@@ -127,7 +127,7 @@ def heading_block(facts, keywords: list, min_len: int = C.TEXT_MIN_CHARS) -> Col
     return F.try_element_at(F.filter(blocks, lambda b: b.isNotNull()), F.lit(1))
 
 
-INGREDIENT_TEXT = r"화장품법[^성]*성분[^\n]*\n([^\n]{50,})"
+INGREDIENT_TEXT = C.INGREDIENT_TEXT_PATTERN
 
 
 def ingredients(facts) -> Column:
@@ -135,8 +135,8 @@ def ingredients(facts) -> Column:
     sibling (> 20) -> parent's next sibling (> 50) -> parent text after the
     h4 (> 20); then a 'dt' with an ingredient keyword; then a text pattern."""
     f = _f(facts)
-    hs = F.filter(f["headings"], lambda h: (h["tag"] == "h4") & h["text"].contains("화장품법")
-                  & h["text"].contains("성분"))
+    hs = F.filter(f["headings"], lambda h: (h["tag"] == "h4") & h["text"].contains(C.INGREDIENT_HEADING_WORDS[0])
+                  & h["text"].contains(C.INGREDIENT_HEADING_WORDS[1]))
     h = F.try_element_at(hs, F.lit(1))
     sp = lambda c: F.regexp_replace(c, "\n", " ")  # noqa: E731  (space-joined texts)
     parent, head = sp(h["parent_text"]), sp(h["text"])
@@ -170,7 +170,7 @@ def class_price(facts, html: Column | None = None) -> Column:
     rate = F.coalesce(F.try_element_at(f["probes"], F.lit("rate")), F.lit(""))
     price = F.coalesce(F.try_element_at(f["probes"], F.lit("price")), F.lit(""))
     text = F.coalesce(html if html is not None else f["text"], F.lit(""))
-    pat = r"(\d+)%\s*(" + NUM + ")원"
+    pat = C.DISCOUNT_PRICE_TEXT_PATTERN
     return F.struct(
         F.coalesce(_nz(F.regexp_extract(rate, r"(\d+)%", 1)),
                    _nz(F.regexp_extract(text, pat, 1))).try_cast("int").alias("discount"),
@@ -178,7 +178,7 @@ def class_price(facts, html: Column | None = None) -> Column:
                    parse_number(_nz(F.regexp_extract(text, pat, 2)))).alias("price"))
 
 
-RATING_PATTERNS = [r"[★☆]\s*(\d+\.\d+)", r"평점[:\s]*(\d+\.\d+)", r"(\d+\.\d+)\s*점"]
+RATING_PATTERNS = C.PAGE_RATING_PATTERNS
 
 
 def rating_from_html(html: Column) -> Column:
@@ -194,7 +194,7 @@ def page_rating(facts, raw_rating: Column) -> Column:
     return F.coalesce(_nz(F.regexp_extract(el, r"(\d+\.\d+)", 1)), raw_rating)
 
 
-REVIEW_COUNT_PATTERNS = [r"리뷰\s*(" + NUM + ")", r"후기\s*(" + NUM + ")", r"\((" + NUM + r")\)"]
+REVIEW_COUNT_PATTERNS = C.REVIEW_COUNT_PATTERNS
 
 
 def page_review_count(html: Column) -> Column:
@@ -204,8 +204,7 @@ def page_review_count(html: Column) -> Column:
                         for p in REVIEW_COUNT_PATTERNS])
 
 
-DECLARED_PATTERNS = [r"(\d+)\s*개의?\s*상품", r"(\d+)\s*개의?\s*제품", r"상품.*?(\d+)\s*개",
-                     r"제품.*?(\d+)\s*개"]
+DECLARED_PATTERNS = C.DECLARED_COUNT_PATTERNS
 
 
 def declared_count(text: Column) -> Column:
@@ -222,23 +221,24 @@ def listing_name(facts, url: Column) -> Column:
     f = _f(facts)
 
     def clean(c):
-        c = F.regexp_replace(c, r"(?U)\s*로고.*", "")
-        return strip_ws(F.regexp_replace(c, r"(?U)\s*브랜드관.*", ""))
+        for cut in C.LISTING_NAME_CUTS:
+            c = F.regexp_replace(c, "(?U)" + cut, "")
+        return strip_ws(c)
     title = clean(strip_ws(F.split(F.split(F.coalesce(f["title"], F.lit("")), "-")[0], r"\|")[0]))
-    brand = F.regexp_extract(url, r"brandSn=([^&]*)", 1)
-    cat = F.regexp_extract(url, r"displayCategorySn=([^&]*)", 1)
+    brand = F.regexp_extract(url, C.BRAND_PAGE_PARAM + "=([^&]*)", 1)
+    cat = F.regexp_extract(url, C.CATEGORY_PAGE_PARAM + "=([^&]*)", 1)
     return F.coalesce(
         _nz(clean(F.coalesce(f["h1"], F.lit("")))),
         _nz(clean(F.coalesce(F.try_element_at(f["probes"], F.lit("brand_name")), F.lit("")))),
         _nz(clean(F.coalesce(f["logo_alt"], F.lit("")))),
         _nz(title),
-        F.when(url.contains("brandSn="), F.concat(F.lit("brand_"), brand)),
-        F.when(url.contains("displayCategorySn="), F.concat(F.lit("category_"), cat)),
+        F.when(url.contains(C.BRAND_PAGE_PARAM + "="), F.concat(F.lit("brand_"), brand)),
+        F.when(url.contains(C.CATEGORY_PAGE_PARAM + "="), F.concat(F.lit("category_"), cat)),
         F.lit("unknown"))
 
 
-def page_kind(url: Column, category_token: str = "displayCategorySn",
-              brand_token: str = "brandSn") -> Column:
+def page_kind(url: Column, category_token: str = C.CATEGORY_PAGE_PARAM,
+              brand_token: str = C.BRAND_PAGE_PARAM) -> Column:
     """Category / brand / product list from the URL."""
     return (F.when(url.contains(category_token), F.lit("category"))
              .when(url.contains(brand_token), F.lit("brand")).otherwise(F.lit("product list")))

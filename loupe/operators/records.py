@@ -55,7 +55,7 @@ def extract_products(pages: DataFrame, *, facts: str = "facts", url: str = "url"
     strike = E.strike_price(facts)
     listp = F.coalesce(strike, P.list_price(cp["price"], cp["discount"]))
     cats = E.breadcrumb_categories(facts)
-    code = U.code_cascade(u, E.meta_content(facts, "product.*code|code"), E.data_attr(facts),
+    code = U.code_cascade(u, E.meta_content(facts, C.META_CODE_PROPERTY), E.data_attr(facts),
                           E.script_var(facts))
     return pages.select(
         *keys,
@@ -132,8 +132,9 @@ def walk_reviews(reviews: DataFrame, *, key: str = "product_code", page: str = "
 
 def extract_listing(pages: DataFrame, *, facts: str = "facts", url: str = "url",
                     keys=("page_id",), base: str = C.DEFAULT_SITE_BASE,
-                    must_contain: str = "/product/detail",
-                    code_param: str = "onlineProdCode", serial_param: str = "onlineProdSn",
+                    must_contain: str = C.PRODUCT_PATH,
+                    code_param: str = C.PRODUCT_CODE_PARAM,
+                    serial_param: str = C.PRODUCT_SERIAL_PARAM,
                     max_products: int | None = None) -> DataFrame:
     """Product links of listing pages: absolutised, filtered, deduped by
     URL (first seen), with code and cleaned name; optional cut at N."""

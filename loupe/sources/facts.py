@@ -73,11 +73,11 @@ FACTS = T.StructType([
 # Class probes: name -> case-insensitive pattern; facts.probes[name] is the
 # text of the first element whose class matches.
 DEFAULT_PROBES = {
-    "rate": r"priceBox__rate|discountRate|discount.*rate",
-    "price": r"priceBox__price|currentPrice|salePrice",
-    "strike_class": r"strike|del|original|old",
-    "rating": r"star|rating|score",
-    "brand_name": r"brand.*name|brand.*title",
+    "rate": C.CLASS_DISCOUNT,
+    "price": C.CLASS_PRICE,
+    "strike_class": C.CLASS_STRIKE,
+    "rating": C.CLASS_PAGE_RATING,
+    "brand_name": C.CLASS_BRAND_NAME,
 }
 
 FACTS_SLICE = 256   # pages per yielded output frame
@@ -192,19 +192,18 @@ def _rx(p):
     return re.compile(p, re.I)
 
 
-_RX_CARD = _rx("reviewCard")
-_RX_ITEM = _rx("review.*item|item.*review")
-_RX_REVIEW = _rx("review|comment|후기|리뷰")
-_RX_ID = _rx("review|comment|리뷰|후기")
+_RX_CARD = re.compile(C.CARD_CLASS_ORDER[1])
+_RX_ITEM = re.compile(C.CARD_CLASS_ORDER[2])
+_RX_REVIEW = re.compile(C.CARD_CLASS_ORDER[3])
+_RX_ID = _rx(C.CARD_ID_PATTERN)
 
 _CARD_RULES = [
-    ("class=reviewCard", lambda e: "reviewCard" in e.cls().split()),
-    ("class~reviewCard", lambda e: "reviewCard" in e.cls()),
+    ("class=reviewCard", lambda e: C.CARD_CLASS_ORDER[0] in e.cls().split()),
+    ("class~reviewCard", lambda e: C.CARD_CLASS_ORDER[0] in e.cls()),
     ("class~/reviewCard/i", lambda e: _RX_CARD.search(e.cls()) is not None),
     ("class~/review.*item/i", lambda e: _RX_ITEM.search(e.cls()) is not None),
     ("class~/review/i", lambda e: _RX_REVIEW.search(e.cls()) is not None),
-    ("class~review-kw", lambda e: any(k in e.cls().lower()
-                                      for k in ("review", "comment", "후기", "리뷰"))),
+    ("class~review-kw", lambda e: any(k in e.cls().lower() for k in C.CARD_KEYWORDS)),
     ("data-review", lambda e: "data-review" in e.attrs),
     ("id~/review/i", lambda e: _RX_ID.search(e.attrs.get("id") or "") is not None),
 ]
@@ -228,13 +227,13 @@ def _find_cards(els):
     return ("text-pattern" if hits else None), hits
 
 
-_USER = [_rx("profileCard__userTitle|userTitle"), _rx("user|name|nick|id")]
-_DESC = [_rx("profileCard__userDesc|userDesc"), _rx("info|demographic|user-info")]
-_STAR_WRAP = _rx("icoStarWrap|starWrap")
-_STAR_ICON = _rx("icoStar|star")
-_RATING_EL = _rx("rating|score|point")
-_BODY_CLS = _rx("txt|text|content")
-_PRD_STYLE = _rx("prdStyle")
+_USER = [_rx(C.CLASS_USER_TITLE), _rx(C.CLASS_USER_FALLBACK)]
+_DESC = [_rx(C.CLASS_USER_DESC), _rx(C.CLASS_USER_DESC_FALLBACK)]
+_STAR_WRAP = _rx(C.CLASS_STAR_WRAP)
+_STAR_ICON = _rx(C.CLASS_STAR_ICON)
+_RATING_EL = _rx(C.CLASS_RATING_ELEMENT)
+_BODY_CLS = _rx(C.CLASS_REVIEW_BODY)
+_PRD_STYLE = _rx(C.CLASS_REVIEW_NOTES)
 
 
 def _first_text(card, patterns, span_first=True):
@@ -321,11 +320,11 @@ def extract_facts(html: str, probes: dict | None = None) -> dict:
         e = next((x for x in classed if rx.search(x.attrs["class"])), None)
         if e is not None:
             pr[name] = e.text()
-    bc_rx = _rx("breadcrumb|category|nav")
+    bc_rx = _rx(C.CLASS_BREADCRUMB)
     bc = next((e for e in classed if bc_rx.search(e.attrs["class"])), None)
     crumbs = ([t for t in (a.text() for a in bc.elements() if a.tag == "a") if t]
               if bc is not None else None)
-    logo_rx = _rx("로고|brand")
+    logo_rx = _rx(C.LOGO_ALT_PATTERN)
     logo = next((e for e in els if e.tag == "img" and logo_rx.search(e.attrs.get("alt") or "")),
                 None)
     rule, cards = _find_cards(els)
