@@ -14,7 +14,7 @@ def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan (file sizes scaled by
     the projected columns); no job runs."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return 1 << 62
 
