@@ -9,7 +9,7 @@ from ..operators import merge as M
 from ..operators import summarize as S
 from ..operators.walk import page_walk
 from . import fixtures as X
-from .oracle_views import (CAT_NEW, CAT_OLD, DOCS, DOCS_NEW, DOCS_OLD, PR, RV, WALK,
+from .oracle_views import (CAT_NEW, CAT_OLD, DOCS, DOCS_NEW, DOCS_OLD, RV, WALK,
                            with_views)
 from .registry import query
 

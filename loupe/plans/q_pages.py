@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import prices as P
 from ..functions import urls as U
 from ..operators import extract as E
 from ..operators import merge as M

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators import summarize as S
 from . import fixtures as X
-from .oracle_views import CV, DV, PR, RV, RV_POS, with_views  # noqa: F401
+from .oracle_views import DV, PR, RV, RV_POS, with_views
 from .registry import query
 
 _KW = C.TEST_DICTS.keywords

@@ -67,3 +67,30 @@ def test_join_dimension_checks_size(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_merge_run_twice_is_stable(spark):
+    from loupe import config as C
+    from loupe.operators.runs import merge_run, run_product
+    from loupe.plans import fixtures as X
+    docs = X.reviews_dv(spark, SF001)
+    prods = X.products_dv(spark, SF001).withColumn("run_ts", F.lit(1))
+    empty_cat = prods.limit(0)
+    r1 = merge_run(empty_cat, None, docs.limit(0), None, prods, docs,
+                   run_ts=F.lit("2024-01-01").cast("timestamp"), dicts=C.TEST_DICTS)
+    n_products = r1["products"].count()
+    assert n_products == prods.count() == r1["summaries"].count()
+    # the same run again: nothing new, summaries unchanged, created kept
+    prods2 = prods.withColumn("run_ts", F.lit(2))
+    r2 = merge_run(r1["catalog"], r1["products"], r1["reviews"], r1["summaries"], prods2, docs,
+                   run_ts=F.lit("2024-02-01").cast("timestamp"), dicts=C.TEST_DICTS)
+    assert r2["reviews"].count() == r1["reviews"].count()
+    a = sorted((r["product_code"], r["summary"]) for r in r1["summaries"].collect())
+    b = sorted((r["product_code"], r["summary"]) for r in r2["summaries"].collect())
+    assert a == b
+    created = {r["product_code"]: r["created_at"] for r in r2["summaries"].collect()}
+    assert all(str(v).startswith("2024-01-01") for v in created.values())
+    one = prods.filter(F.col("product_code") == "src1")
+    out = run_product(one, docs.filter(F.col("product_code") == "src1"), dicts=C.TEST_DICTS)
+    assert out["summary"].count() == 1 and out["preview"].count() == 10
+    assert out["info_json"].count() == 1

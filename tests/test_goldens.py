@@ -2,7 +2,6 @@
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loupe import config as C
 from loupe.functions import prices as P
