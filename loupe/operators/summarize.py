@@ -290,20 +290,26 @@ def finish(parts: dict, products: DataFrame | None = None, *, key: str = "produc
     points, template (or external) summary, rounded average."""
     agg = parts["agg"]
     kw_cols = [f"kw_{i}" for i in range(len(dicts.keywords))]
-    counts = agg.select(key, *kw_cols)
-    top = (keyword_top(counts, key=key, keywords=dicts.keywords)
-           .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("t"))
-           .select(key, F.transform("t", lambda s: s["keyword"]).alias("top_keywords")))
-    pol = keyword_polarity(counts, key=key, dicts=dicts)
+    # Top keywords and polarity are row-level on the one per-product row
+    # (a 22-entry array sort), so the aggregate is computed once.
+    n = {k: F.coalesce(F.col(f"kw_{i}"), F.lit(0)) for i, k in enumerate(dicts.keywords)}
+    entries = F.array(*[F.struct((-n[k]).alias("neg_n"), F.lit(i).alias("kw_pos"),
+                                 F.lit(k).alias("keyword"))
+                        for i, k in enumerate(dicts.keywords)])
+    top = F.transform(F.filter(F.slice(F.array_sort(entries), 1, C.KEYWORD_TOP),
+                               lambda e: e["neg_n"] < 0), lambda e: e["keyword"])
+    pos = sum((n[k] for k in dicts.positive), F.lit(0))
+    neg = sum((n[k] for k in dicts.negative), F.lit(0))
+    polarity = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("split")
+    stats = agg.select(*[c for c in agg.columns if c not in kw_cols],
+                       top.alias("top_keywords"), polarity.alias("polarity"))
     phrases = _phrase_lists(parts["pairs"], key=key)
     opt = best_option(parts["options"], key=key)
-    stats = agg.drop(*kw_cols)
     if products is not None:
         base = products.select(key, name).join(stats, key, "left")
     else:
         base = stats.withColumn(name, F.lit(None).cast("string"))
-    j = (base.join(top, key, "left").join(pol, key, "left")
-         .join(phrases, key, "left").join(opt, key, "left"))
+    j = base.join(phrases, key, "left").join(opt, key, "left")
     template = summary_text_col(F.col(name), F.col("n_texts"), F.col("top_keywords"),
                                 F.col("polarity"))
     if external is not None:
