@@ -89,9 +89,10 @@ def parse_reviews(cards: DataFrame, *, body_keywords: list | None = None,
     """Review fields per card (E22, P1, F15-F25, P2).  Adds ``valid``
     (card >= 20 chars and body > 10 chars); invalid rows are the quarantine."""
     t = _or_empty(F.col("text"))
-    # the line array is materialised once and reused by the body rule
-    cards = cards.withColumn("_lines", R.text_lines(t))
-    lines = F.col("_lines")
+    # the scrubbed text element is materialised once; the line array is only
+    # built for cards whose element text is too short (lazy CASE branch)
+    cards = cards.withColumn("_body", R.scrub(_or_empty(F.col("body"))))
+    lines = R.text_lines(t)
     info = F.coalesce(F.nullif(F.col("user_desc"), F.lit("")), US.user_info_raw(t), F.lit(""))
     icons = F.coalesce(F.nullif(F.col("star_icons_wrap"), F.lit(0)), F.col("star_icons"))
     x = cards.select(
@@ -102,18 +103,21 @@ def parse_reviews(cards: DataFrame, *, body_keywords: list | None = None,
         R.rating_cascade(F.col("star_class"), icons, t, F.col("rating_text")).alias("rating"),
         R.option_parse(t).alias("option"),
         R.review_type(t).alias("review_type"),
-        R.review_body(F.col("body"), lines, body_keywords).alias("review_text"),
+        F.when(F.length("_body") >= C.BODY_FALLBACK_BELOW, F.col("_body")).otherwise(
+            F.coalesce(R.longest_line(lines, body_keywords), F.lit(""))).alias("review_text"),
         R.notes_from_pairs(F.coalesce("note_dt", F.array().cast("array<string>")),
                            F.coalesce("note_dd", F.array().cast("array<string>"))).alias("_pairs"),
     )
+    # notes and the parsed profile feed several columns each: materialise
+    # them once (a separate projection is not collapsed for such expressions)
     notes = F.when(F.size("_pairs") > 0, F.col("_pairs")).otherwise(
         R.notes_from_dictionary(F.col("review_text"), t, note_dictionary))
-    prof = US.parse_user_info(F.col("user_info"))
-    return x.select(
-        *[c for c in x.columns if c not in ("_pairs", "_lines")],
-        prof["age"].alias("age"), prof["gender"].alias("gender"),
-        prof["skin_type_1"].alias("skin_type_1"), prof["skin_type_2"].alias("skin_type_2"),
-        *[F.coalesce(F.try_element_at(notes, F.lit(i)), F.lit("")).alias(f"special_note_{i}")
+    y = x.select("*", notes.alias("_notes"),
+                 US.parse_user_info(F.col("user_info")).alias("_prof"))
+    return y.select(
+        *[c for c in x.columns if c not in ("_pairs", "_body")],
+        *[F.col("_prof")[f].alias(f) for f in ("age", "gender", "skin_type_1", "skin_type_2")],
+        *[F.coalesce(F.try_element_at("_notes", F.lit(i)), F.lit("")).alias(f"special_note_{i}")
           for i in (1, 2, 3)],
         (R.card_ok(t) & R.body_ok(F.col("review_text"))).alias("valid"))
 
