@@ -184,7 +184,8 @@ def review_pages(spark: SparkSession, sf: str) -> DataFrame:
 def review_cards(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.extract import explode_cards
     from ..sources.facts import page_facts
-    f = page_facts(review_pages(spark, sf), keys=["page_key", "product_code", "page_no"])
+    f = page_facts(review_pages(spark, sf), keys=["page_key", "product_code", "page_no"],
+                   want={"cards", "card_rule"})
     return explode_cards(f, keys=("page_key", "product_code", "page_no")).withColumn(
         "doc_id", F.col("data")["data-review"].cast("long"))
 

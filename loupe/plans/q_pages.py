@@ -193,9 +193,15 @@ def q_listing_completeness(spark, sf):
 
 # ---------------------------------------------------------------- synthesised product pages
 
+# facts a product page job reads (no review cards)
+PRODUCT_FACTS = {"title", "h1", "meta", "data_attrs", "scripts", "text", "dl", "th_td",
+                 "headings", "strike", "probes", "breadcrumb", "logo_alt"}
+
+
 def _prod_facts(spark, sf):
     p = R.raw_html_features(H.product_pages(spark, sf))
-    return page_facts(p, keys=["page_id"], passthrough=["url"] + R.RAW_FEATURES)
+    return page_facts(p, keys=["page_id"], passthrough=["url"] + R.RAW_FEATURES,
+                      want=PRODUCT_FACTS)
 
 
 _SRC = f"WITH src AS ({H.SRC_PRODUCT})\n"

@@ -276,10 +276,19 @@ def _card(card, pos):
     }
 
 
-def extract_facts(html: str, probes: dict | None = None) -> dict:
+ALL_FACTS = frozenset(f.name for f in FACTS.fields)
+
+
+def extract_facts(html: str, probes: dict | None = None, want=None) -> dict:
+    """Facts of one page; ``want`` (a set of FACTS field names) limits the
+    work to the facts a job reads, the others stay NULL."""
     root = parse(html)
     probes = probes if probes is not None else DEFAULT_PROBES
     els = list(root.elements())
+    want = ALL_FACTS if want is None else frozenset(want)
+    if want <= {"cards", "card_rule"}:
+        rule, cards = _find_cards(els)
+        return {"card_rule": rule, "cards": [_card(c, i) for i, c in enumerate(cards)]}
 
     def first(tag):
         return next((e for e in els if e.tag == tag), None)
@@ -327,8 +336,8 @@ def extract_facts(html: str, probes: dict | None = None) -> dict:
     logo_rx = _rx(C.LOGO_ALT_PATTERN)
     logo = next((e for e in els if e.tag == "img" and logo_rx.search(e.attrs.get("alt") or "")),
                 None)
-    rule, cards = _find_cards(els)
-    return {
+    rule, cards = _find_cards(els) if "cards" in want or "card_rule" in want else (None, [])
+    out = {
         "title": title.text() if title is not None else None,
         "h1": h1.text() if h1 is not None else None,
         "links": [{"href": e.attrs.get("href") or "", "text": e.text()}
@@ -346,10 +355,12 @@ def extract_facts(html: str, probes: dict | None = None) -> dict:
         "card_rule": rule,
         "cards": [_card(c, i) for i, c in enumerate(cards)],
     }
+    return {k: v for k, v in out.items() if k in want}
 
 
 def page_facts(pages: DataFrame, *, html: str = "html", keys: list | None = None,
-               probes: dict | None = None, passthrough: list | None = None) -> DataFrame:
+               probes: dict | None = None, passthrough: list | None = None,
+               want=None) -> DataFrame:
     """(keys..., html) -> (keys..., passthrough..., facts).  Only the key
     columns and the HTML are shipped to Python; ``passthrough`` columns
     (e.g. url, or features computed from the raw HTML in the JVM before this
@@ -360,6 +371,7 @@ def page_facts(pages: DataFrame, *, html: str = "html", keys: list | None = None
     src = spread(pages.select(*carry, html))
     out_schema = T.StructType([src.schema[k] for k in carry] + [T.StructField("facts", FACTS)])
     pr = dict(probes) if probes is not None else None
+    wanted = frozenset(want) if want is not None else None
 
     def run(batches):
         # emit in slices so the facts of one Arrow batch of large pages never
@@ -368,7 +380,7 @@ def page_facts(pages: DataFrame, *, html: str = "html", keys: list | None = None
             for lo in range(0, len(b), FACTS_SLICE):
                 part = b.iloc[lo:lo + FACTS_SLICE]
                 out = part[carry].copy()
-                out["facts"] = [extract_facts(h, pr) for h in part[html]]
+                out["facts"] = [extract_facts(h, pr, wanted) for h in part[html]]
                 yield out
 
     return src.mapInPandas(run, out_schema)

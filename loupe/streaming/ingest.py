@@ -33,7 +33,7 @@ def reviews_from_pages(pages: DataFrame, *, product_key: str = "product_code",
     """Stateless page -> review rows (E0, E20, C3); works on batch and
     streaming frames alike."""
     keys = [page_key, product_key] + (["fetched_at"] if "fetched_at" in pages.columns else [])
-    facts = page_facts(pages, keys=keys)
+    facts = page_facts(pages, keys=keys, want={"cards", "card_rule"})
     cards = explode_cards(facts, keys=tuple(keys))
     return parse_reviews(cards)
 
