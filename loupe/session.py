@@ -24,6 +24,7 @@ _LOCAL_DEFAULTS = {
     # Arrow batches feed the HTML stage: bound rows per batch (pages can be
     # large); clusters tune this to their page size.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # Broadcast only small, size-checked sides; everything else shuffles.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
