@@ -45,12 +45,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; set a private one
-    only when none is configured (local runs, tests)."""
+    """The shared checkpoint folder named by the cluster
+    (``spark.checkpoint.dir``).  Only a local-mode session without the
+    setting (tests, local runs) gets a private folder; on a cluster a
+    machine-local folder would not be shared, so the setting is required."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store)")
         d = tempfile.mkdtemp(prefix="loupe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # core setting not modifiable at runtime: keep it local
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
