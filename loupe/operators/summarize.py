@@ -102,7 +102,11 @@ def keyword_polarity(counts: DataFrame, *, key: str = "product_code",
 
 def _tokens(text: Column) -> Column:
     """Whitespace tokens, like str.split() (no empty tokens)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), C.WS_CLASS + "+"), lambda x: x != "")
+    # every whitespace character -> ' ' (per-character translate, no regex),
+    # then a single-character split and empty tokens dropped
+    spaced = F.translate(F.coalesce(text, F.lit("")), C.PY_WHITESPACE,
+                         " " * len(C.PY_WHITESPACE))
+    return F.filter(F.split(spaced, " "), lambda x: x != "")
 
 
 def bigrams(reviews: DataFrame, *, key: str = "product_code", text: str = "review_text",
