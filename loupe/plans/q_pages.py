@@ -68,12 +68,12 @@ def q_page_facts(spark, sf):
 
 @query("page_h1", oracle=f"SELECT page_id, {_H1_SQL} AS h1 FROM pages")
 def q_page_h1(spark, sf):
-    return page_facts(_pages(spark, sf)).select("page_id", "facts.h1")
+    return page_facts(_pages(spark, sf), want={"h1"}).select("page_id", "facts.h1")
 
 
 @query("page_links", oracle=f"WITH {_LINKS_SQL} SELECT page_id, pos, href, text FROM links")
 def q_page_links(spark, sf):
-    return E.explode_links(page_facts(_pages(spark, sf))).withColumn(
+    return E.explode_links(page_facts(_pages(spark, sf), want={"links"})).withColumn(
         "pos", F.col("pos").cast("long"))
 
 
@@ -83,7 +83,7 @@ WHERE href <> '' AND starts_with(href, '/') AND contains('{BASE}' || href, '/t')
 def q_link_filter(spark, sf):
     """E3 with the required path fragment '/t' (driver pages have no
     product-detail links)."""
-    links = E.explode_links(page_facts(_pages(spark, sf)))
+    links = E.explode_links(page_facts(_pages(spark, sf), want={"links"}))
     u = E.absolute_product_link(F.col("href"), BASE, must_contain="/t")
     return links.select("page_id", F.col("pos").cast("long").alias("pos"), u.alias("product_url")) \
         .filter(F.col("product_url").isNotNull())
@@ -95,7 +95,7 @@ SELECT '{BASE}' || href AS product_url, min((page_id, pos))[1] AS page_id,
 FROM links WHERE href <> '' GROUP BY 1""")
 def q_link_dedup(spark, sf):
     """By absolute URL, first seen (page, position) wins."""
-    links = E.explode_links(page_facts(_pages(spark, sf)))
+    links = E.explode_links(page_facts(_pages(spark, sf), want={"links"}))
     x = links.select("page_id", F.col("pos").cast("long").alias("pos"),
                      E.absolute_product_link(F.col("href"), BASE, must_contain="/")
                      .alias("product_url")).filter(F.col("product_url").isNotNull())
@@ -109,7 +109,7 @@ def q_link_dedup(spark, sf):
        regexp_extract(regexp_extract(html, '<script>(.*?)</script>', 1, 's'), 'track\\((\\d+)\\)', 1)
          AS v FROM pages""")
 def q_script_var(spark, sf):
-    f = page_facts(_pages(spark, sf))
+    f = page_facts(_pages(spark, sf), want={"scripts"})
     return f.select("page_id", F.coalesce(E.script_var("facts", r"track\((\d+)\)"), F.lit(""))
                     .alias("v"))
 
@@ -179,7 +179,7 @@ FROM links GROUP BY page_id""")
 def q_listing_completeness(spark, sf):
     """Distinct product links against the declared count (E19 on the
     page text, else the number of anchors)."""
-    f = page_facts(_pages(spark, sf))
+    f = page_facts(_pages(spark, sf), want={"links", "text"})
     links = E.explode_links(f)
     agg = links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"),
                                        F.count_distinct("href").alias("n_distinct"))
@@ -382,7 +382,7 @@ SELECT page_id, pos, product_url, {_name_clean_sql('raw_name')} AS product_name,
        '' AS product_code FROM firsts""")
 def q_listing_extract(spark, sf):
     """C6 on the driver pages (product paths stand in as '/t')."""
-    f = page_facts(_pages(spark, sf))
+    f = page_facts(_pages(spark, sf), want={"links"})
     out = R.extract_listing(f, must_contain="/t")
     return out.withColumn("pos", F.col("pos").cast("long"))
 

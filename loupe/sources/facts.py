@@ -279,83 +279,122 @@ def _card(card, pos):
 ALL_FACTS = frozenset(f.name for f in FACTS.fields)
 
 
-def extract_facts(html: str, probes: dict | None = None, want=None) -> dict:
-    """Facts of one page; ``want`` (a set of FACTS field names) limits the
-    work to the facts a job reads, the others stay NULL."""
-    root = parse(html)
-    probes = probes if probes is not None else DEFAULT_PROBES
-    els = list(root.elements())
-    want = ALL_FACTS if want is None else frozenset(want)
-    if want <= {"cards", "card_rule"}:
-        rule, cards = _find_cards(els)
-        return {"card_rule": rule, "cards": [_card(c, i) for i, c in enumerate(cards)]}
+def _first(els, tag):
+    return next((e for e in els if e.tag == tag), None)
+
 
-    def first(tag):
-        return next((e for e in els if e.tag == tag), None)
+def _text_or_none(e, sep=""):
+    return e.text(sep) if e is not None else None
 
-    title, h1 = first("title"), first("h1")
-    data_attrs = {}
+
+def _data_attrs(els):
+    out = {}
     for e in els:
         for k, v in e.attrs.items():
-            if k.startswith("data-") and k not in data_attrs:
-                data_attrs[k] = v if v is not None else ""
-    dl = []
+            if k.startswith("data-") and k not in out:
+                out[k] = v if v is not None else ""
+    return out
+
+
+def _dl(els):
+    out = []
     for e in els:
         if e.tag == "dt":
             dd = e.next_element_sibling("dd")
-            dl.append({"dt": e.text(), "dd": dd.text() if dd is not None else None})
-    th_td = []
+            out.append({"dt": e.text(), "dd": _text_or_none(dd)})
+    return out
+
+
+def _th_td(els):
+    out = []
     for e in els:
         if e.tag == "tr":
             th = e.find(lambda x: x.tag == "th")
             td = e.find(lambda x: x.tag == "td")
             if th is not None and td is not None:
-                th_td.append({"th": th.text(), "td": td.text()})
-    heads = []
+                out.append({"th": th.text(), "td": td.text()})
+    return out
+
+
+def _headings(els):
+    out = []
     for e in els:
         if e.tag in ("h2", "h3", "h4"):
             nx = e.next_element_sibling()
             pn = e.parent.next_element_sibling() if e.parent is not None else None
-            heads.append({"tag": e.tag, "text": e.text(),
-                          "next_text": nx.text() if nx is not None else None,
-                          "parent_next_text": pn.text() if pn is not None else None,
-                          "parent_text": e.parent.text() if e.parent is not None else None})
-    strike = next((e for e in els if e.tag in ("s", "strike", "del")), None) or next(
+            out.append({"tag": e.tag, "text": e.text(), "next_text": _text_or_none(nx),
+                        "parent_next_text": _text_or_none(pn),
+                        "parent_text": _text_or_none(e.parent)})
+    return out
+
+
+def _strike(els):
+    e = next((e for e in els if e.tag in ("s", "strike", "del")), None) or next(
         (e for e in els if "line-through" in (e.attrs.get("style") or "")), None)
+    return _text_or_none(e)
+
+
+def _probes(els, probes):
     classed = [e for e in els if e.attrs.get("class")]
-    pr = {}
+    out = {}
     for name, pat in probes.items():
         rx = _rx(pat)
         e = next((x for x in classed if rx.search(x.attrs["class"])), None)
         if e is not None:
-            pr[name] = e.text()
-    bc_rx = _rx(C.CLASS_BREADCRUMB)
-    bc = next((e for e in classed if bc_rx.search(e.attrs["class"])), None)
-    crumbs = ([t for t in (a.text() for a in bc.elements() if a.tag == "a") if t]
-              if bc is not None else None)
-    logo_rx = _rx(C.LOGO_ALT_PATTERN)
-    logo = next((e for e in els if e.tag == "img" and logo_rx.search(e.attrs.get("alt") or "")),
-                None)
-    rule, cards = _find_cards(els) if "cards" in want or "card_rule" in want else (None, [])
-    out = {
-        "title": title.text() if title is not None else None,
-        "h1": h1.text() if h1 is not None else None,
-        "links": [{"href": e.attrs.get("href") or "", "text": e.text()}
-                  for e in els if e.tag == "a"],
-        "meta": [{"name": e.attrs.get("name"), "property": e.attrs.get("property"),
-                  "content": e.attrs.get("content")} for e in els if e.tag == "meta"],
-        "data_attrs": data_attrs,
-        "scripts": "\n".join("".join(c for c in e.children if isinstance(c, str))
-                             for e in els if e.tag == "script"),
-        "text": root.text("\n"),
-        "dl": dl, "th_td": th_td, "headings": heads,
-        "strike": strike.text() if strike is not None else None,
-        "probes": pr, "breadcrumb": crumbs,
-        "logo_alt": logo.attrs.get("alt") if logo is not None else None,
-        "card_rule": rule,
-        "cards": [_card(c, i) for i, c in enumerate(cards)],
-    }
-    return {k: v for k, v in out.items() if k in want}
+            out[name] = e.text()
+    return out
+
+
+def _breadcrumb(els):
+    rx = _rx(C.CLASS_BREADCRUMB)
+    bc = next((e for e in els if e.attrs.get("class") and rx.search(e.attrs["class"])), None)
+    if bc is None:
+        return None
+    return [t for t in (a.text() for a in bc.elements() if a.tag == "a") if t]
+
+
+def _logo_alt(els):
+    rx = _rx(C.LOGO_ALT_PATTERN)
+    e = next((e for e in els if e.tag == "img" and rx.search(e.attrs.get("alt") or "")), None)
+    return e.attrs.get("alt") if e is not None else None
+
+
+# fact name -> rule over (root, element list, probes); computed only on demand
+_FACT_RULES = {
+    "title": lambda r, els, p: _text_or_none(_first(els, "title")),
+    "h1": lambda r, els, p: _text_or_none(_first(els, "h1")),
+    "links": lambda r, els, p: [{"href": e.attrs.get("href") or "", "text": e.text()}
+                                for e in els if e.tag == "a"],
+    "meta": lambda r, els, p: [{"name": e.attrs.get("name"), "property": e.attrs.get("property"),
+                                "content": e.attrs.get("content")}
+                               for e in els if e.tag == "meta"],
+    "data_attrs": lambda r, els, p: _data_attrs(els),
+    "scripts": lambda r, els, p: "\n".join("".join(c for c in e.children if isinstance(c, str))
+                                           for e in els if e.tag == "script"),
+    "text": lambda r, els, p: r.text("\n"),
+    "dl": lambda r, els, p: _dl(els),
+    "th_td": lambda r, els, p: _th_td(els),
+    "headings": lambda r, els, p: _headings(els),
+    "strike": lambda r, els, p: _strike(els),
+    "probes": lambda r, els, p: _probes(els, p),
+    "breadcrumb": lambda r, els, p: _breadcrumb(els),
+    "logo_alt": lambda r, els, p: _logo_alt(els),
+}
+
+
+def extract_facts(html: str, probes: dict | None = None, want=None) -> dict:
+    """Facts of one page; ``want`` (a set of FACTS field names) limits the
+    work to the facts a job reads, the others stay NULL."""
+    root = parse(html)
+    probes = probes if probes is not None else DEFAULT_PROBES
+    els = list(root.elements())
+    want = ALL_FACTS if want is None else frozenset(want)
+    out = {k: rule(root, els, probes) for k, rule in _FACT_RULES.items() if k in want}
+    if "cards" in want or "card_rule" in want:
+        rule, cards = _find_cards(els)
+        out["card_rule"] = rule
+        out["cards"] = [_card(c, i) for i, c in enumerate(cards)]
+    return out
 
 
 def page_facts(pages: DataFrame, *, html: str = "html", keys: list | None = None,
