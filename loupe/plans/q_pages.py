@@ -25,7 +25,9 @@ def _pages(spark, sf):
 
 def _facts(spark, sf):
     """Facts of the driver pages, with the url carried through."""
-    return page_facts(_pages(spark, sf), keys=["page_id"], passthrough=["url"])
+    return page_facts(_pages(spark, sf), keys=["page_id"], passthrough=["url"],
+                      want={"title", "h1", "probes", "logo_alt", "meta", "data_attrs",
+                            "scripts", "links"})
 
 
 def _unescape_sql(x: str) -> str:
@@ -61,7 +63,7 @@ def q_page_scan(spark, sf):
        regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS scripts
 FROM pages""")
 def q_page_facts(spark, sf):
-    f = page_facts(_pages(spark, sf))
+    f = page_facts(_pages(spark, sf), want={"title", "h1", "links", "scripts"})
     return f.select("page_id", "facts.title", "facts.h1",
                     F.size("facts.links").alias("n_links"), "facts.scripts")
 
@@ -198,6 +200,10 @@ PRODUCT_FACTS = {"title", "h1", "meta", "data_attrs", "scripts", "text", "dl", "
                  "headings", "strike", "probes", "breadcrumb", "logo_alt"}
 
 
+# facts a notice page job reads
+NOTICE_FACTS = {"dl", "th_td", "text", "headings"}
+
+
 def _prod_facts(spark, sf):
     p = R.raw_html_features(H.product_pages(spark, sf))
     return page_facts(p, keys=["page_id"], passthrough=["url"] + R.RAW_FEATURES,
@@ -209,39 +215,39 @@ _SRC = f"WITH src AS ({H.SRC_PRODUCT})\n"
 
 @query("dl_pairs", oracle=_SRC + "SELECT k AS page_id, usage, prec AS precautions FROM src")
 def q_dl_pairs(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"dl"})
     return f.select("page_id", E.dl_value("facts", C.USAGE_KEYWORDS).alias("usage"),
                     E.dl_value("facts", C.PRECAUTION_KEYWORDS).alias("precautions"))
 
 
 @query("th_td_pairs", oracle=_SRC + "SELECT k AS page_id, 'Made in KR by ' || brand AS origin FROM src")
 def q_th_td_pairs(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"th_td"})
     return f.select("page_id", E.th_td_value("facts", ["제조국"]).alias("origin"))
 
 
 @query("keyword_after", oracle=_SRC + "SELECT k AS page_id, usage FROM src")
 def q_keyword_after(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"text"})
     return f.select("page_id", E.keyword_after(F.col("facts.text"), ["How to Use"]).alias("usage"))
 
 
 @query("heading_block", oracle=_SRC + "SELECT k AS page_id, usage FROM src")
 def q_heading_block(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"headings"})
     return f.select("page_id", E.heading_block("facts", ["How to Use"]).alias("usage"))
 
 
 @query("ingredients", oracle=_SRC + "SELECT k AS page_id, ingr AS ingredients FROM src")
 def q_ingredients(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"headings", "dl", "text"})
     return f.select("page_id", E.ingredients("facts").alias("ingredients"))
 
 
 @query("breadcrumb", oracle=_SRC + """SELECT k AS page_id, brand AS category, ptype AS sub_category
 FROM src""")
 def q_breadcrumb(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"breadcrumb", "meta"})
     b = E.breadcrumb_categories("facts")
     return f.select("page_id", b["category"].alias("category"),
                     b["sub_category"].alias("sub_category"))
@@ -250,27 +256,27 @@ def q_breadcrumb(spark, sf):
 @query("meta_content", oracle=_SRC + """SELECT k AS page_id, 'M' || CAST(k AS VARCHAR) AS code,
   ptype AS category FROM src""")
 def q_meta_content(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"meta"})
     return f.select("page_id", E.meta_content("facts", "product.*code|code").alias("code"),
                     E.meta_content("facts", "category").alias("category"))
 
 
 @query("data_attr", oracle=_SRC + "SELECT k AS page_id, 'D' || CAST(k AS VARCHAR) AS code FROM src")
 def q_data_attr(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"data_attrs"})
     return f.select("page_id", E.data_attr("facts").alias("code"))
 
 
 @query("strike_price", oracle=_SRC + "SELECT k AS page_id, list AS price FROM src")
 def q_strike_price(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"strike", "probes"})
     return f.select("page_id", E.strike_price("facts").alias("price"))
 
 
 @query("class_price", oracle=_SRC + """SELECT k AS page_id, CAST(d AS INTEGER) AS discount,
   CAST(sale AS BIGINT) AS price FROM src""")
 def q_class_price(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"probes", "text"})
     cp = E.class_price("facts")
     return f.select("page_id", cp["discount"].alias("discount"), cp["price"].alias("price"))
 
@@ -283,7 +289,7 @@ def q_page_rating(spark, sf):
 
 @query("declared_count", oracle=_SRC + "SELECT k AS page_id, CAST(s AS BIGINT) AS declared FROM src")
 def q_declared_count(spark, sf):
-    f = page_facts(H.product_pages(spark, sf))
+    f = page_facts(H.product_pages(spark, sf), want={"text"})
     return f.select("page_id", E.declared_count(F.col("facts.text")).alias("declared"))
 
 
@@ -309,7 +315,7 @@ def q_product_facts(spark, sf):
   ingr AS ingredients, prec AS precautions FROM src""")
 def q_notice_facts(spark, sf):
     """Notice-page text fields over four page layouts."""
-    return R.extract_notices(page_facts(H.notice_pages(spark, sf)))
+    return R.extract_notices(page_facts(H.notice_pages(spark, sf), want=NOTICE_FACTS))
 
 
 # ---------------------------------------------------------------- synthesised review pages
@@ -356,7 +362,7 @@ def q_product_bundle(spark, sf):
     when non-empty (J3), plus the product's review count.  Reviews stay a
     separate table keyed by product (no per-product array)."""
     prod = R.extract_products(_prod_facts(spark, sf))
-    notice = R.extract_notices(page_facts(H.notice_pages(spark, sf)))
+    notice = R.extract_notices(page_facts(H.notice_pages(spark, sf), want=NOTICE_FACTS))
     merged = M.notice_override(prod, notice, key="page_id")
     counts = (X.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("page_id"))
               .agg(F.count(F.lit(1)).alias("total_reviews")))
