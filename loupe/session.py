@@ -79,7 +79,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.isStreaming:
         return df
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext handle (remote session)
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    want = min_partitions or cores
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     est = input_bytes(df)
     if est is None:
