@@ -72,9 +72,12 @@ def catalog_merge(old: DataFrame, new: DataFrame, *, key: str = "product_code",
     without a key are dropped; order is the first insertion (``first_pos``)."""
     u = old.unionByName(new, allowMissingColumns=True).filter(
         F.col(key).isNotNull() & (F.col(key) != ""))
-    cols = [c for c in u.columns]
+    seen = F.struct(F.col(run), F.col(pos))
+    if "first_pos" in u.columns:  # a stored catalogue keeps its first insertion
+        seen = F.coalesce(F.col("first_pos"), seen)
+    u = u.withColumn("_seen", seen).drop("first_pos")
+    cols = [c for c in u.columns if c not in (key, "_seen")]
     return (u.groupBy(key)
-            .agg(F.max_by(F.struct(*[c for c in cols if c != key]),
-                          F.struct(F.col(run), F.col(pos))).alias("_r"),
-                 F.min(F.struct(F.col(run), F.col(pos))).alias("_first"))
-            .select(key, "_r.*", F.col("_first").alias("first_pos")))
+            .agg(F.max_by(F.struct(*cols), F.struct(F.col(run), F.col(pos))).alias("_r"),
+                 F.min("_seen").alias("first_pos"))
+            .select(key, "_r.*", "first_pos"))

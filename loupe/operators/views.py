@@ -152,7 +152,8 @@ def product_view_json(products: DataFrame, summaries: DataFrame, *,
     when the product has no summary; reviews go out as review lines."""
     ts = lambda c: F.date_format(F.col(c), ISO_TS) if c in products.columns \
         else F.lit(None).cast("string")
-    j = products.join(summaries.withColumn("_has", F.lit(True)), key, "left")
+    extra = [c for c in summaries.columns if c != key and c not in products.columns]
+    j = products.join(summaries.select(key, *extra).withColumn("_has", F.lit(True)), key, "left")
     info = F.struct(F.col("product_name"), F.col(key),
                     (F.col("product_url") if "product_url" in products.columns
                      else F.lit(None).cast("string")).alias("product_url"),

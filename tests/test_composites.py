@@ -94,3 +94,38 @@ def test_merge_run_twice_is_stable(spark):
     out = run_product(one, docs.filter(F.col("product_code") == "src1"), dicts=C.TEST_DICTS)
     assert out["summary"].count() == 1 and out["preview"].count() == 10
     assert out["info_json"].count() == 1
+
+
+def test_cli_run_list_show(spark, tmpdir_path):
+    import os
+    from loupe import cli
+    pages_path = os.path.join(tmpdir_path, "pages.parquet")
+    prod = H.product_pages(spark, SF001).select(
+        "page_id", "url", "html", F.lit("product").alias("kind"),
+        F.lit(None).cast("string").alias("product_code"), F.lit(1).alias("page_no"))
+    notice = H.notice_pages(spark, SF001).select(
+        (F.col("page_id") + 1_000_000).alias("page_id"), F.lit("n").alias("url"), "html",
+        F.lit("notice").alias("kind"), F.col("page_id").cast("string").alias("product_code"),
+        F.lit(1).alias("page_no"))
+    # review pages keyed to the first products' codes (sources src0.. -> parts 1..)
+    rp = H.review_pages(spark, SF001).select(
+        F.xxhash64("page_key").alias("page_id"), F.col("page_key").alias("url"), "html",
+        F.lit("reviews").alias("kind"),
+        (F.regexp_extract("product_code", r"(\d+)", 1).cast("int") + 1).cast("string")
+        .alias("product_code"), F.col("page_no").cast("int").alias("page_no"))
+    prod.unionByName(notice).unionByName(rp).write.parquet(pages_path)
+    store = os.path.join(tmpdir_path, "store")
+    cur = cli.run(spark, pages_path, store, "run=1")
+    n_summ = cur["summaries"].count()
+    # products with reviews in the run (small parts report the meta code 'M<k>'
+    # on their product page, so their reviews attach to no product: P5)
+    expected = rp.select("product_code").distinct().join(
+        cur["products"].select("product_code"), "product_code").count()
+    assert n_summ == expected == cur["products"].count() and n_summ > 0
+    again = cli.run(spark, pages_path, store, "run=2")
+    assert again["reviews"].count() == cur["reviews"].count()
+    lst = cli.list_products(spark, store).collect()
+    assert len(lst) == n_summ and sorted(r["ordinal"] for r in lst) == list(range(1, n_summ + 1))
+    out = cli.show_product(spark, store, "1", export=os.path.join(tmpdir_path, "exp"))
+    assert out["product"].count() == 1 and out["preview"].count() >= 1
+    assert spark.read.json(os.path.join(tmpdir_path, "exp", "reviews")).count() >= 1
