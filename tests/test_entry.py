@@ -30,13 +30,17 @@ def _norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", ["product_summary", "top_option", "dedup_full", "page_walk",
-                                  "listing_parse", "user_info_dict", "review_facts",
-                                  "product_facts", "catalog_merge", "cohort_phrases"])
-def test_matches_oracle_small(spark, name):
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
+def test_matches_oracle_small(spark, duck, name):
+    con = duck
     sdf = entry_mod.queries()[name](spark, SF001)
     res = con.execute(entry_mod.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
