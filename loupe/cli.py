@@ -93,9 +93,13 @@ def run(spark: SparkSession, pages_path: str, store: str, run_id: str, dedup: st
         old["products"], old["reviews"] if old["reviews"] is not None else new["reviews"].limit(0),
         old["summaries"], new["products"], new["reviews"],
         run_ts=F.lit(dt.datetime.now().replace(microsecond=0)).cast("timestamp_ntz"), dedup=dedup)
-    for t in TABLES:
-        CAT.write_snapshot(result[t], f"{store}/{t}", run_id, bucket_key="product_code")
+    totals = {}
+    for t in TABLES:  # A15: row counts observed while writing
+        _, m = CAT.write_snapshot_observed(result[t], f"{store}/{t}", run_id,
+                                           bucket_key="product_code")
+        totals[t] = m.get("rows")
     cur = {t: CAT.read_table(spark, f"{store}/{t}") for t in TABLES}
+    cur["totals"] = totals
     stats = V.rating_stats(cur["reviews"])
     CAT.write_lines(V.product_info_json(cur["products"], stats, cur["summaries"]),
                     f"{store}/exports/{run_id}/info")
@@ -146,6 +150,7 @@ def main(argv=None):
     spark = SparkSession.builder.appName("loupe").getOrCreate()
     if a.cmd == "run":
         cur = run(spark, a.pages, a.store, a.run_id, a.dedup)
+        print("run totals:", cur["totals"])
         cur["summaries"].select("product_code", "total_reviews", "average_rating").show(20, False)
     elif a.cmd == "list":
         list_products(spark, a.store).orderBy("ordinal").show(50, False)

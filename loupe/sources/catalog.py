@@ -148,6 +148,15 @@ def write_snapshot(df: DataFrame, base: str, run_id: str, *, partition_by: list
     return path
 
 
+def write_snapshot_observed(df: DataFrame, base: str, run_id: str, **kw) -> tuple[str, dict]:
+    """A15 on the write: the snapshot's row count is collected by an
+    ``Observation`` while it is written (no second job)."""
+    from pyspark.sql import Observation
+    obs = Observation(f"write-{run_id}")
+    path = write_snapshot(df.observe(obs, F.count(F.lit(1)).alias("rows")), base, run_id, **kw)
+    return path, obs.get
+
+
 def current_snapshot(spark: SparkSession, base: str) -> str | None:
     fs, _ = _fs(spark, base)
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}")

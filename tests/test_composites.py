@@ -117,6 +117,7 @@ def test_cli_run_list_show(spark, tmpdir_path):
     store = os.path.join(tmpdir_path, "store")
     cur = cli.run(spark, pages_path, store, "run=1")
     n_summ = cur["summaries"].count()
+    assert cur["totals"]["summaries"] == n_summ
     # products with reviews in the run (small parts report the meta code 'M<k>'
     # on their product page, so their reviews attach to no product: P5)
     expected = rp.select("product_code").distinct().join(

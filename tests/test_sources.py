@@ -66,3 +66,9 @@ def test_output_base_name(spark):
     got = [r[0] for r in df.select(CAT.output_base_name(
         F.col("g"), F.col("b"), F.lit("2024-03-05 10:00:00").cast("timestamp"))).collect()]
     assert got == ["lipcare", "B", "brand_20240305"]
+
+
+def test_write_observed_counts_rows(spark, tmpdir_path):
+    path, m = CAT.write_snapshot_observed(spark.range(7).withColumnRenamed("id", "k"),
+                                          os.path.join(tmpdir_path, "t"), "r1")
+    assert m["rows"] == 7 and spark.read.parquet(path).count() == 7
