@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,41 @@ def byte_letters() -> list[str]:
     keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     extra = iter(range(0x100, 0x200))
     return [chr(b) if b in keep else chr(next(extra)) for b in range(256)]
+
+
+_WORDS = re.compile(r"[^\W_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters and digits."""
+    return _WORDS.findall(text.lower())
+
+
+class WordHash(dict):
+    """64-bit hash of a word, alike in every worker; remembers some."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < 300_000:
+            self[word] = h
+        return h
+
+    def of(self, seqs: list[list[str]]) -> np.ndarray:
+        """The hashes of all words of ``seqs``, one after the other."""
+        return np.array(list(map(self.__getitem__, chain.from_iterable(seqs))), np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit integers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of ``k`` consecutive word hashes."""
+    n = len(hashes) - k + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for j in range(k):
+        out = mixed(out + hashes[j:j + n])
+    return out

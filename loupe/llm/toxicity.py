@@ -19,7 +19,6 @@ a long text.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loupe.llm.common import field, slices, text_of, written
+from loupe.llm.common import field, slices, text_of, words_of, written
 
 #: Training takes at most so many distinct labelled texts of each class.
 SAMPLE = 4000
@@ -41,13 +40,6 @@ DISCOUNT, DISCOUNT_SHARE = 1.0, 0.008
 #: A worker sends its counts on when it holds so many words.
 HELD = 400_000
 
-_WORDS = re.compile(r"[^\W_]+")
-
-
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE) -> dict[int, int]:
     """doc_id -> class of at most ``per_class`` distinct texts of each class,
     the least by a hash of the id.  Rows that the held-out rule names, null
