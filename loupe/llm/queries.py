@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loupe.llm.common import table
 from loupe.llm.decontaminate import contaminated
+from loupe.llm.mixing import mix
 from loupe.llm.near_dedup import near_duplicates
 from loupe.llm.token_counts import count_tokens
 from loupe.llm.token_store import token_output
@@ -46,3 +47,35 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+# The balanced rate is the same for all documents of a source, so SQL can state
+# the result that the Newton steps arrive at.
+ORACLE["op2_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), u AS (
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS draw FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS total, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source
+), w AS (
+  SELECT *, (sid - 1) % 3 + 1 AS weight FROM s
+), l AS (
+  SELECT *, ((SELECT sum(total) FROM w) - coalesce(sum(3 * total) OVER (ORDER BY 3 * total / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY 3 * total / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, sid, total, least((3 * total)::DOUBLE, (SELECT max(level) FROM l) * weight) AS target FROM w
+), r AS (
+  SELECT u.doc_id, u.size, t.total AS source_size, t.target,
+    CASE WHEN u.size > 0 THEN floor(t.target / t.total + 1e-9) ELSE 0 END AS whole,
+    t.target - floor(t.target / t.total + 1e-9) * t.total AS need,
+    coalesce(sum(u.size) OVER (PARTITION BY t.sid ORDER BY u.draw, u.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + u.size / 2 AS reached
+  FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN size > 0 AND reached <= need THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
+"""
