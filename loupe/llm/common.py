@@ -88,6 +88,11 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of ``words_of`` stand in ``text``."""
+    return [m.span() for m in _WORDS.finditer(text)]
+
+
 class WordHash(dict):
     """64-bit hash of a word, alike in every worker; remembers some."""
 

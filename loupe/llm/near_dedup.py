@@ -118,18 +118,19 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b"))
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, d int, longer int, near boolean")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, d int, longer int, near boolean")
 
 
-def near_links(members: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+def near_links(members: DataFrame, texts: DataFrame, least: float = SIMILAR, border: bool = True) -> DataFrame:
     """Verified links (a, b) that connect, within each group of ``members``
     (entry, node), the texts that are near each other.
 
     Each round aligns all texts of a group to its pivots, its least texts: one
     in the first round, ``PIVOTS`` later.  Texts near a pivot are done; the
     others go on without them, until no group has two.  Before one goes on it
-    is also aligned to those texts near a pivot that, by the triangle
-    inequality, it may be near to.  What the first round leaves of a large
+    is also aligned (``border``) to those texts near a pivot that, by the
+    triangle inequality, it may be near to.  What the first round leaves of a large
     group shares a passage rather than most of its text; there two texts go on
     as a group only if they share a second entry.
     """
@@ -151,13 +152,9 @@ def near_links(members: DataFrame, texts: DataFrame, least: float = SIMILAR) ->
                        .select("entry", "node", "p", "d", "longer", "near"), "told")
         state = told.groupBy("entry", "node").agg(F.max("near").alias("near"))
         left = written(state.where("not near").select("entry", "node").join(heads.select("entry", F.col("p").alias("node")), ["entry", "node"], "left_anti"), "left")
-        far = told.join(left, ["entry", "node"], "left_semi").where("d is not null").select("entry", "p", F.col("node").alias("u"), F.col("d").alias("du"), F.col("longer").alias("lu"))
-        tied = told.where("near and d > 0").select("entry", "p", F.col("node").alias("v"), F.col("d").alias("dv"), F.col("longer").alias("lv"))
-        may = F.col("du") - F.col("dv") <= F.floor(F.greatest("lu", "lv") * (1 - least) + 1e-9)
-        border = far.join(tied, ["entry", "p"]).where(may).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-        border = written(border.join(known, ["a", "b"], "left_anti"), "border")
-        if not border.isEmpty():
-            extra = written(aligned(border, texts, least), "aligned")
+        edge = written(_border(told, left, least).join(known, ["a", "b"], "left_anti"), "border") if border else None
+        if edge is not None and not edge.isEmpty():
+            extra = written(aligned(edge, texts, least), "aligned")
             found, known = found.union(extra), known.union(extra)
         ties = found.where("near").select("a", "b")
         links = ties if links is None else links.union(ties)
@@ -170,6 +167,16 @@ def near_links(members: DataFrame, texts: DataFrame, least: float = SIMILAR) ->
             members = written(members.distinct(), "members")
 
 
+def _border(told: DataFrame, left: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a group's texts, one left over and one near a pivot,
+    whose distances to the pivot allow them to be near each other."""
+    far = (told.join(left, ["entry", "node"], "left_semi").where("d is not null")
+           .select("entry", "p", F.col("node").alias("u"), F.col("d").alias("du"), F.col("longer").alias("lu")))
+    tied = told.where("near and d > 0").select("entry", "p", F.col("node").alias("v"), F.col("d").alias("dv"), F.col("longer").alias("lv"))
+    may = F.col("du") - F.col("dv") <= F.floor(F.greatest("lu", "lv") * (1 - least) + 1e-9)
+    return far.join(tied, ["entry", "p"]).where(may).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+
+
 def node_of(text: str = "text"):
     """Equal texts are one node."""
     return F.unhex(F.md5(text_of(text).cast("binary")))

@@ -13,6 +13,7 @@ from loupe.llm.decontaminate import contaminated
 from loupe.llm.fingerprint import fingerprints
 from loupe.llm.mixing import mix
 from loupe.llm.near_dedup import near_duplicates
+from loupe.llm.substring_dedup import repeated
 from loupe.llm.token_counts import count_tokens
 from loupe.llm.token_store import token_output
 from loupe.llm.toxicity import score_toxicity
@@ -112,3 +113,8 @@ FROM e GROUP BY conv_id
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated(table(spark, sf_dir, "documents"))
