@@ -25,8 +25,9 @@ from loupe.llm.token_counts import _tokenizer
 #: letters and digits spelled out for the characters of ``common.plain``.
 PLAIN_PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
 
-#: A space begins a pre-token unless white space stands before it.
-_RUN = re.compile(r"\s ")
+#: A space begins a pre-token unless white space stands before it: the cases
+#: that a plain text can have.
+RUNS = ("  ", "\n ", "\r ", "\t ")
 
 #: Chunks and pre-tokens that a worker remembers.
 MEMO = 600_000
@@ -65,7 +66,7 @@ class ChunkIds(dict):
     def encode(self, text: str) -> bytes:
         if not plain(text) or any(s in text for s in self.specials):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _RUN.search(text):
+        if any(run in text for run in RUNS):
             return self.merge(text)
         first, *rest = text.split(" ")
         return self.merge(first) + b"".join(map(self.__getitem__, rest))
@@ -120,7 +121,7 @@ def _checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         lists = field(part, "ids")
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([field(part, "k"), field(part, "seq"), field(part, "file"), pa.array(np.diff(offsets).astype(np.int64)),
                                           pa.array(crc, pa.int64())], ["k", "seq", "file", "n_tokens", "ids_crc32"])
 
