@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ from loupe.llm.substring_dedup import repeated
 from loupe.llm.token_counts import count_tokens
 from loupe.llm.token_store import token_output
 from loupe.llm.toxicity import score_toxicity
+from loupe.llm.warc import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +120,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(table(spark, sf_dir, "pages"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -25,9 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loupe.llm.common import field, slices, text_of, words_of, written
 
@@ -153,16 +152,17 @@ def fit(docs: DataFrame, sample: dict[int, int], key: str = "doc_id", text: str
                  {h: math.log(b[0] / b[1]) for h, b in backs.items()}, math.log(back[0] / back[1]))
 
 
-def passages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row of ``docs`` with ``ratio``, its most toxic passage's."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def passages(rows: DataFrame, model: Model) -> DataFrame:
+    """k, h and ratio, that of its most toxic passage, of each row (k, h, t)."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, part in slices(batches, text):
+        for texts, part in slices(batches, "t"):
             ratio = pa.array([held.value.passage(words_of(t)) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*part.columns, ratio], [*part.schema.names, "ratio"])
+            yield pa.RecordBatch.from_arrays([field(part, "k"), field(part, "h"), ratio], ["k", "h", "ratio"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ratio", DoubleType())]))
+    kind = rows.schema["k"].dataType.simpleString()
+    return rows.mapInArrow(run, f"k {kind}, h long, ratio double")
 
 
 def calibrate(pairs: list[tuple[float, int]], steps: int = 50) -> tuple[float, float]:
@@ -181,20 +181,36 @@ def calibrate(pairs: list[tuple[float, int]], steps: int = 50) -> tuple[float, f
     return float(beta[0]), float(beta[1])
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, per_class: int) -> tuple[DataFrame, Column]:
+    """key and text hash of each row with its ratio, and the score of a ratio."""
+    sample = training_sample(docs, labels, key, text, per_class)
+    model = fit(docs, sample, key, text)
+    src = docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
+    rows = written(passages(src, model), "toxicity")
+    known = rows.sparkSession.createDataFrame(list(sample.items()), "k long, y int") if sample else None
+    slope, base = calibrate([(r["ratio"], r["y"]) for r in rows.join(known, "k").select("ratio", "y").collect()] if sample else [])
+    return rows, 1 / (1 + F.exp(-(F.col("ratio") * slope + base)))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE) -> DataFrame:
-    """key, held_out, score (0 to 1), predicted (1 from 0.5 on).
+    """key, held_out, score (0 to 1), predicted (1 from 0.5 on): a row for
+    each row of ``docs``.
 
     Fits on at most ``per_class`` labelled texts of each class (a bound of
     the fit alone: counts and scores take all rows).  Null and empty texts
     have no passage and take the score of ratio 0; a null key is never held
     out; repeated rows are scored alike; without both labels every score is
-    the logistic of 0.  Only the text enters a score.
+    the logistic of 0; an empty table gives no rows.  Only the text enters a
+    score; other columns are not read.
     """
-    sample = training_sample(docs, labels, key, text, per_class)
-    model = fit(docs, sample, key, text)
-    rows = written(passages(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")), model, "k", "t").select("k", "ratio"), "toxicity")
-    known = rows.sparkSession.createDataFrame([(k, y) for k, y in sample.items()], "k long, y int") if sample else None
-    slope, base = calibrate([(r["ratio"], r["y"]) for r in rows.join(known, "k").collect()] if sample else [])
-    score = 1 / (1 + F.exp(-(F.col("ratio") * slope + base)))
+    rows, score = _fitted(docs, labels, key, text, per_class)
     out = rows.select(F.col("k").alias(key), held_out("k").alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE) -> DataFrame:
+    """``docs`` without the rows whose text scores 0.5 or more."""
+    names = docs.columns
+    rows, score = _fitted(docs, labels, key, text, per_class)
+    bad = rows.where(score >= 0.5).select(F.col("h").alias("__text")).distinct()
+    return docs.withColumn("__text", F.xxhash64(text_of(text))).join(bad, "__text", "left_anti").select(*(F.col(f"`{c}`") for c in names))
