@@ -33,9 +33,9 @@ from loupe.llm.common import field, slices, text_of, words_of, written
 #: Training takes at most so many distinct labelled texts of each class.
 SAMPLE = 4000
 #: Words of a passage.
-WINDOW = 8
+WINDOW = 4
 #: Discount of the counts: a fixed part and a share of the class's documents.
-DISCOUNT, DISCOUNT_SHARE = 1.0, 0.008
+DISCOUNT, DISCOUNT_SHARE = 2.0, 0.006
 #: A worker sends its counts on when it holds so many words.
 HELD = 400_000
 
@@ -90,7 +90,7 @@ def document_counts(docs: DataFrame, sample: dict[int, int], key: str = "doc_id"
 
 
 @dataclass
-class Model:
+class Ratios:
     """Log ratios of the classes: for words, for pairs, and what a history
     adds to an unseen pair.  Words and pairs not named have ``rest`` and the
     word's own.  The sample's size bounds all three tables."""
@@ -116,53 +116,71 @@ class Model:
         return float((sums[n:] - sums[:-n]).max() / WINDOW)
 
 
+#: class -> ratios without the text's own counts, for a text of the sample;
+#: None -> the ratios for all other texts.
+Model = dict[int | None, Ratios]
+
+
 def fit(docs: DataFrame, sample: dict[int, int], key: str = "doc_id", text: str = "text") -> Model:
     """Counts all documents, and keeps what the discount leaves of the
     classes' counts: at most (words of the sample) / D rows come back."""
     size = [max(1, sum(1 for y in sample.values() if y == c)) for c in (0, 1)]
     cut = DISCOUNT + DISCOUNT_SHARE * min(size)
     counts = written(document_counts(docs, sample, key, text), "document-counts")
+    classes = ("n_ordinary", "n_toxic")
     over = (F.col("n_toxic") > cut) | (F.col("n_ordinary") > cut)
     parts = F.split("gram", " ")
     pair = F.size(parts) == 2
-    left = [F.sum(F.least(F.col(c), F.lit(cut))).alias(f"left_{c}") for c in ("n_toxic", "n_ordinary")]
-    total = [F.sum(c).alias(f"sum_{c}") for c in ("n_toxic", "n_ordinary")]
-    whole = counts.where(~pair).agg(F.sum("n_all").alias("n_all"), F.count(F.lit(1)).alias("kinds"), *left, *total).first()
+    sums = [F.sum(F.least(F.col(c), F.lit(cut))).alias(f"left_{c}") for c in classes] + [F.sum(c).alias(f"sum_{c}") for c in classes]
+    whole = counts.where(~pair).agg(F.sum("n_all").alias("n_all"), F.count(F.lit(1)).alias("kinds"), *sums).first()
     if not whole["sum_n_toxic"] or not whole["sum_n_ordinary"]:  # a class without words: nothing to compare
-        return Model({}, {}, {}, 0.0)
-    back = [whole[f"left_{c}"] / whole[f"sum_{c}"] for c in ("n_toxic", "n_ordinary")]
-
-    def of_word(n_all: float, n: tuple[float, float]) -> list[float]:
-        shared = (n_all + 0.5) / (whole["n_all"] + 0.5 * whole["kinds"])
-        return [max(n[i] - cut, 0) / whole[f"sum_{c}"] + back[i] * shared for i, c in enumerate(("n_toxic", "n_ordinary"))]
-
-    of = {r["gram"]: of_word(r["n_all"], (r["n_toxic"], r["n_ordinary"])) for r in counts.where(~pair & over).collect()}
-    pairs = counts.where(pair).select(parts[0].alias("h"), parts[1].alias("w"), "gram", "n_toxic", "n_ordinary")
-    known = pairs.groupBy("h").agg(*left, *total, F.max(over).alias("any")).where("any").collect()
-    backs = {r["h"]: [(r[f"left_{c}"] or 0) / r[f"sum_{c}"] if r[f"sum_{c}"] else 1.0 for c in ("n_toxic", "n_ordinary")] for r in known}
-    sums = {r["h"]: [r["sum_n_toxic"] or 1, r["sum_n_ordinary"] or 1] for r in known}
-    ends = {r["w"]: r["n_all"] for r in pairs.where(over).select("w").distinct()
-            .join(counts.where(~pair).select(F.col("gram").alias("w"), "n_all"), "w").collect()}
-    table = {}
-    for r in pairs.where(over).collect():
-        below = of.get(r["w"]) or of_word(ends.get(r["w"], 0), (0, 0))
-        p = [max(r[c] - cut, 0) / sums[r["h"]][i] + backs[r["h"]][i] * below[i] for i, c in enumerate(("n_toxic", "n_ordinary"))]
-        table[r["gram"]] = math.log(p[0] / p[1])
-    return Model({w: math.log(p[0] / p[1]) for w, p in of.items()}, table,
-                 {h: math.log(b[0] / b[1]) for h, b in backs.items()}, math.log(back[0] / back[1]))
-
-
-def passages(rows: DataFrame, model: Model) -> DataFrame:
-    """k, h and ratio, that of its most toxic passage, of each row (k, h, t)."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+        return {None: Ratios({}, {}, {}, 0.0)}
+    words = {r["gram"]: r for r in counts.where(~pair & over).collect()}
+    pairs = counts.where(pair).select(parts[0].alias("h"), parts[1].alias("w"), "gram", *classes)
+    kept = pairs.where(over).collect()
+    known = {r["h"]: r for r in pairs.groupBy("h").agg(*sums, F.max(over).alias("any")).where("any").collect()}
+    ends = {r["w"]: r for r in pairs.where(over).select("w").distinct().join(counts.where(~pair).withColumnRenamed("gram", "w"), "w").collect()}
+
+    def back(r, c: str) -> float:
+        """The share of a context's mass that the order below gets."""
+        return r[f"left_{c}"] / r[f"sum_{c}"] if r[f"sum_{c}"] else 1.0
+
+    def likelihoods(r, own: int | None, below: list[float], of) -> list[float]:
+        n = [r[c] - (own == i) for i, c in enumerate(classes)]
+        return [max(n[i] - cut, 0) / max(of[f"sum_{c}"] or 0, 1) + back(of, c) * below[i] for i, c in enumerate(classes)]
+
+    def log_ratio(p: list[float]) -> float:
+        return math.log(p[1] / p[0])
+
+    def of_word(r, own: int | None) -> list[float]:
+        shared = (r["n_all"] + 0.5) / (whole["n_all"] + 0.5 * whole["kinds"])
+        return likelihoods(r, own, [shared, shared], whole)
+
+    def table(own: int | None) -> Ratios:
+        return Ratios({w: log_ratio(of_word(r, own)) for w, r in words.items()},
+                      {r["gram"]: log_ratio(likelihoods(r, own, of_word(ends[r["w"]], own), known[r["h"]])) for r in kept},
+                      {h: log_ratio([back(r, c) for c in classes]) for h, r in known.items()}, log_ratio([back(whole, c) for c in classes]))
+
+    return {own: table(own) for own in (None, 0, 1)}
+
+
+def passages(rows: DataFrame, model: Model, sample: dict[int, int]) -> DataFrame:
+    """k, h, ratio (of its most toxic passage) and, for texts of the sample,
+    left_out (that without the text's own counts), of each row (k, h, t)."""
+    held = rows.sparkSession.sparkContext.broadcast((model, sample))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, sample = held.value
         for texts, part in slices(batches, "t"):
-            ratio = pa.array([held.value.passage(words_of(t)) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([field(part, "k"), field(part, "h"), ratio], ["k", "h", "ratio"])
+            ratio, left_out = [], []
+            for k, t in zip(field(part, "k").to_pylist(), texts, strict=True):
+                seq = words_of(t)
+                ratio.append(model[None].passage(seq))
+                left_out.append(model[sample[k]].passage(seq) if k in sample and sample[k] in model else None)
+            yield pa.RecordBatch.from_arrays([field(part, "k"), field(part, "h"), pa.array(ratio, pa.float64()), pa.array(left_out, pa.float64())], ["k", "h", "ratio", "left_out"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, h long, ratio double")
+    return rows.mapInArrow(run, f"k {kind}, h long, ratio double, left_out double")
 
 
 def calibrate(pairs: list[tuple[float, int]], steps: int = 50) -> tuple[float, float]:
@@ -186,9 +204,8 @@ def _fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, per_class:
     sample = training_sample(docs, labels, key, text, per_class)
     model = fit(docs, sample, key, text)
     src = docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
-    rows = written(passages(src, model), "toxicity")
-    known = rows.sparkSession.createDataFrame(list(sample.items()), "k long, y int") if sample else None
-    slope, base = calibrate([(r["ratio"], r["y"]) for r in rows.join(known, "k").select("ratio", "y").collect()] if sample else [])
+    rows = written(passages(src, model, sample), "toxicity")
+    slope, base = calibrate([(r["left_out"], sample[r["k"]]) for r in rows.where("left_out is not null").dropDuplicates(["k"]).select("k", "left_out").collect()])
     return rows, 1 / (1 + F.exp(-(F.col("ratio") * slope + base)))
 
 
