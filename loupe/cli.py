@@ -23,6 +23,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import config as C
+from .functions import urls as U
 from .operators import extract as E
 from .operators import merge as M
 from .operators import records as R
@@ -53,12 +55,21 @@ def _load_pages(spark: SparkSession, path: str) -> DataFrame:
         (F.col("page_no") if "page_no" in cols else F.lit(1)).cast("int").alias("page_no"))
 
 
-def extract_run(spark: SparkSession, pages: DataFrame, run_no: int) -> dict:
+def extract_run(spark: SparkSession, pages: DataFrame, run_no: int, bronze: str) -> dict:
     """Pages of one run -> new products (C1 with notices applied, J3) and
     walked reviews (C3, C4)."""
     base = R.raw_html_features(pages)
     facts = page_facts(base, keys=["page_id"],
                        passthrough=["url", "kind", "page_product", "page_no"] + R.RAW_FEATURES)
+    # pages are parsed once: all tables of the run, and each replay of their
+    # lineage, read the stored facts
+    facts.write.mode("overwrite").parquet(bronze)
+    facts = spark.read.schema(facts.schema).parquet(bronze)
+    # a page's product: as given, or from its URL, meta, data attributes or script
+    own = U.code_cascade(F.col("url"), E.meta_content("facts", C.META_CODE_PROPERTY),
+                         E.data_attr("facts"), E.script_var("facts"))
+    facts = facts.withColumn("page_product", F.coalesce(F.nullif("page_product", F.lit("")),
+                                                        F.nullif(own, F.lit(""))))
     prods = R.extract_products(facts.filter(F.col("kind") == "product"))
     notices = (R.extract_notices(facts.filter(F.col("kind") == "notice"),
                                  keys=("page_id", "page_product"))
@@ -70,8 +81,10 @@ def extract_run(spark: SparkSession, pages: DataFrame, run_no: int) -> dict:
         F.col("price").cast("string").alias("price"), "price_range", "usage_method",
         "ingredients", "precautions", F.col("page_id").alias("pos"),
         F.lit(run_no).alias("run_ts"))
-    cards = E.explode_cards(facts.filter(F.size("facts.cards") > 0),
-                            keys=("page_id", "page_product", "page_no"))
+    # a review page without cards is kept, as it ends its product's walk
+    cards = E.explode_cards(
+        facts.filter((F.col("kind") == "reviews") | (F.size("facts.cards") > 0)),
+        keys=("page_id", "page_product", "page_no"), empty_pages=True)
     reviews = R.parse_reviews(cards).withColumnRenamed("page_product", "product_code") \
         .filter(F.col("product_code").isNotNull())
     walked = R.walk_reviews(reviews)
@@ -85,7 +98,7 @@ def extract_run(spark: SparkSession, pages: DataFrame, run_no: int) -> dict:
 def run(spark: SparkSession, pages_path: str, store: str, run_id: str, dedup: str = "full"):
     pages = _load_pages(spark, pages_path)
     run_no = int(dt.datetime.now().strftime("%Y%m%d%H%M%S"))
-    new = extract_run(spark, pages, run_no)
+    new = extract_run(spark, pages, run_no, f"{store}/bronze/{run_id}")
     old = {t: CAT.read_table(spark, f"{store}/{t}") for t in TABLES}
     empty_products = new["products"].limit(0)
     result = merge_run(
@@ -151,9 +164,12 @@ def main(argv=None):
     if a.cmd == "run":
         cur = run(spark, a.pages, a.store, a.run_id, a.dedup)
         print("run totals:", cur["totals"])
-        cur["summaries"].select("product_code", "total_reviews", "average_rating").show(20, False)
+        for r in cur["summaries"].select("product_code", "total_reviews",
+                                         "average_rating").toLocalIterator():
+            print(*r, sep="\t")
     elif a.cmd == "list":
-        list_products(spark, a.store).orderBy("ordinal").show(50, False)
+        for r in list_products(spark, a.store).orderBy("ordinal").toLocalIterator():
+            print(*r, sep="\t")
     else:
         out = show_product(spark, a.store, a.code, a.preview, a.export)
         out["product"].show(1, False)

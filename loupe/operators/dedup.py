@@ -62,8 +62,13 @@ def dedup_reviews(reviews: DataFrame, *, rule: str = "full", key: str = "product
 def merge_append(existing: DataFrame, new: DataFrame, *, dedup: str = "full",
                  **kw) -> DataFrame:
     """D3 then D2 by default: union all, then keep-first on the documented
-    key.  ``dedup='none'`` keeps the original append-only behaviour."""
-    return dedup_reviews(existing.unionByName(new, allowMissingColumns=True), rule=dedup, **kw)
+    key; a stored review was seen before any of this run's, whatever its
+    position.  ``dedup='none'`` keeps the original append-only behaviour."""
+    order = kw.pop("order", "pos")
+    seen = F.struct(F.col("_run"), _as_col(order))
+    both = (existing.withColumn("_run", F.lit(0))
+            .unionByName(new.withColumn("_run", F.lit(1)), allowMissingColumns=True))
+    return dedup_reviews(both, rule=dedup, order=seen, **kw).drop("_run")
 
 
 def catalog_merge(old: DataFrame, new: DataFrame, *, key: str = "product_code",

@@ -132,19 +132,21 @@ INGREDIENT_TEXT = C.INGREDIENT_TEXT_PATTERN
 
 def ingredients(facts) -> Column:
     """The h4 naming both the cosmetics act and ingredients -> next
-    sibling (> 20) -> parent's next sibling (> 50) -> parent text after the
-    h4 (> 20); then a 'dt' with an ingredient keyword; then a text pattern."""
+    sibling (> 20) -> first of the parent's later siblings (> 50) -> parent
+    text after the h4 (> 20); then a 'dt' with an ingredient keyword; then a
+    text pattern."""
     f = _f(facts)
     hs = F.filter(f["headings"], lambda h: (h["tag"] == "h4") & h["text"].contains(C.INGREDIENT_HEADING_WORDS[0])
                   & h["text"].contains(C.INGREDIENT_HEADING_WORDS[1]))
     h = F.try_element_at(hs, F.lit(1))
     sp = lambda c: F.regexp_replace(c, "\n", " ")  # noqa: E731  (space-joined texts)
-    parent, head = sp(h["parent_text"]), sp(h["text"])
+    later = F.try_element_at(F.filter(h["parent_later"], lambda t: F.length(t) > 50), F.lit(1))
+    parent, head = h["parent_text"], sp(h["text"])
     at = F.position(head, parent)
     after = strip_ws(F.when(at > 0, F.substr(parent, at + F.length(head), F.length(parent))))
     return F.coalesce(
         F.when(F.length(h["next_text"]) > 20, sp(h["next_text"])),
-        F.when(F.length(h["parent_next_text"]) > 50, sp(h["parent_next_text"])),
+        later,
         F.when(F.length(after) > 20, after),
         dl_value(facts, C.INGREDIENT_DT_KEYWORDS, 20),
         _nz(F.regexp_extract(F.coalesce(f["text"], F.lit("")), INGREDIENT_TEXT, 1)))
@@ -246,8 +248,10 @@ def page_kind(url: Column, category_token: str = C.CATEGORY_PAGE_PARAM,
 
 # ---------------------------------------------------------------- E20, E21
 
-def explode_cards(df: DataFrame, facts="facts", keys=("page_id",)) -> DataFrame:
-    """One row per review card, keeping page order."""
+def explode_cards(df: DataFrame, facts="facts", keys=("page_id",), empty_pages: bool = False) -> DataFrame:
+    """One row per review card, keeping page order; ``empty_pages``
+    keeps a page without cards as one row of NULLs, as a page walk needs."""
+    each = F.explode_outer if empty_pages else F.explode
     return df.select(*keys, F.col(f"{facts}.card_rule").alias("card_rule"),
-                     F.explode(F.col(f"{facts}.cards")).alias("card")).select(
+                     each(F.col(f"{facts}.cards")).alias("card")).select(
         *keys, "card_rule", "card.*")

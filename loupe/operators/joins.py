@@ -1,33 +1,10 @@
-"""Size-checked dimension joins and distributed ordinals."""
+"""Distributed ordinals and surrogate keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default bound for an explicit broadcast: well under executor memory, and
-# checked against the optimizer's size estimate of the *pruned* side.
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan (file sizes scaled by
-    the projected columns); no job runs."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return 1 << 62
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Join a fact table to a dimension: broadcast the dimension only when
-    its estimated size is under ``max_bytes``; otherwise a shuffle join
-    (AQE may still switch to broadcast once runtime sizes are known)."""
-    small = estimated_bytes(dim) <= max_bytes
-    return fact.join(F.broadcast(dim) if small else dim, on, how)
-
-
 def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
     """1-based dense ordinals in ``order`` without a single-partition
     window: sort (range partitioned), tag rows with their partition and
@@ -40,7 +17,7 @@ def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (s.join(F.broadcast(offsets.select("_pid", "_off", "_m0")), "_pid")
+    return (s.join(offsets.select("_pid", "_off", "_m0"), "_pid")
             .withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
             .drop("_pid", "_mid", "_off", "_m0"))
 

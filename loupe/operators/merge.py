@@ -27,9 +27,10 @@ def resume_anti(listing: DataFrame, catalog_codes: DataFrame, catalog_serials: D
                 code: str = "product_code", serial: str = "serial") -> DataFrame:
     """Drop listing rows whose serial OR code is already catalogued.
     Two chained equi anti-joins; a single OR-condition anti-join would plan
-    as a nested loop over the whole catalogue."""
-    codes = catalog_codes.select(F.col(code).alias("_c")).filter(F.col("_c").isNotNull())
-    serials = catalog_serials.select(F.col(serial).alias("_s")).filter(F.col("_s").isNotNull())
+    as a nested loop over the whole catalogue.  An empty code or serial is a
+    missing one and matches nothing."""
+    codes = catalog_codes.select(F.col(code).alias("_c")).filter(F.col("_c").isNotNull() & (F.col("_c") != ""))
+    serials = catalog_serials.select(F.col(serial).alias("_s")).filter(F.col("_s").isNotNull() & (F.col("_s") != ""))
     return (listing.join(codes, listing[code] == codes["_c"], "left_anti")
             .join(serials, listing[serial] == serials["_s"], "left_anti"))
 

@@ -124,13 +124,18 @@ def parse_reviews(cards: DataFrame, *, body_keywords: list | None = None,
 
 def walk_reviews(reviews: DataFrame, *, key: str = "product_code", page: str = "page_no",
                  pos: str = "pos", **kw) -> DataFrame:
-    """C4: valid reviews of the pages the walk reads, deduped across pages
-    (D1), keeping first-seen order."""
-    ok = reviews.filter("valid")
-    kept = page_walk(ok, key=key, page=page, pos=pos, **kw).select(key, page)
-    on_kept = ok.join(kept, [key, page], "left_semi")
+    """C4: valid reviews of the pages the walk reads, deduped across pages,
+    keeping first-seen order.  ``reviews`` holds all parsed cards, invalid
+    ones too, and a row with a NULL ``text`` for a page without cards.
+    ``prefix``: compare only so many characters of a review (D1); by default
+    its whole text."""
+    prefix = kw.pop("prefix", None)
+    kept = page_walk(reviews, key=key, page=page, pos=pos, card="text", valid="valid",
+                     prefix=prefix or (1 << 30), **kw).select(key, page)
+    on_kept = reviews.filter("valid").join(kept, [key, page], "left_semi")
+    body = F.col("review_text")
     return keep_first(on_kept, [key, F.coalesce(F.col("username"), F.lit("")),
-                                F.substring(F.col("review_text"), 1, C.DEDUP_PREFIX_CHARS)],
+                                F.substring(body, 1, prefix) if prefix else body],
                       F.struct(F.col(page), F.col(pos)))
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..session import spread
 
 
 def _rating0(rating: str) -> Column:
@@ -63,7 +62,7 @@ def keyword_counts(reviews: DataFrame, *, key: str = "product_code", text: str =
     contains a space; so the sum partially aggregates."""
     kws = keywords or C.SUMMARY_KEYWORDS
     t = F.col(text)
-    return (spread(reviews).filter(t.isNotNull() & (t != ""))
+    return (reviews.filter(t.isNotNull() & (t != ""))
             .groupBy(key)
             .agg(F.count(F.lit(1)).alias("n_texts"),
                  *[F.sum(keyword_count(t, k)).alias(f"kw_{i}") for i, k in enumerate(kws)]))
@@ -118,7 +117,7 @@ def bigrams(reviews: DataFrame, *, key: str = "product_code", text: str = "revie
     keys = [key] + list(group_extra or [])
     # Tokens are materialised as a column first; the pair lambda then indexes
     # into it (re-deriving the split inside the lambda would be quadratic).
-    base = spread(reviews).select(*keys, F.col(pos).alias("_pos"),
+    base = reviews.select(*keys, F.col(pos).alias("_pos"),
                                   _tokens(F.col(text)).alias("_w"))
     w = F.col("_w")
     pairs = F.filter(
@@ -246,7 +245,7 @@ def product_aggregates(reviews: DataFrame, *, key: str = "product_code",
     kws = keywords or C.SUMMARY_KEYWORDS
     r, t = F.col(rating), F.col(text)
     has_text = t.isNotNull() & (t != "")
-    return spread(reviews).groupBy(key).agg(
+    return reviews.groupBy(key).agg(
         F.count(F.lit(1)).alias("total_reviews"),
         F.sum(F.when(r > 0, r)).cast("long").alias("sum_rating"),
         F.count(F.when(r > 0, r)).alias("n_rated"),

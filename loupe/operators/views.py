@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
-from .joins import join_dimension, surrogate_key, with_ordinal
+from .joins import surrogate_key, with_ordinal
 from .summarize import average_rating, rating_stats
 
 ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -26,9 +25,9 @@ def _s(c) -> Column:
 
 def review_enrich(reviews: DataFrame, products: DataFrame, *, key: str = "product_code",
                   cols=("product_name",)) -> DataFrame:
-    """Copy product columns onto every review (size-checked broadcast
-    of the product dimension)."""
-    return join_dimension(reviews, products.select(key, *cols), key, "left")
+    """Copy product columns onto every review.  A plain equi-join: the
+    session's broadcast threshold and AQE choose the strategy from sizes."""
+    return reviews.join(products.select(key, *cols), key, "left")
 
 
 def product_reviews(reviews: DataFrame, codes: DataFrame, *, key: str = "product_code") -> DataFrame:
@@ -71,8 +70,7 @@ def fk_resolve(reviews: DataFrame, products: DataFrame, *, key: str = "product_c
     """Surrogate product id per review (xxhash64 of the code, no join)
     and whether the product exists."""
     known = products.select(key).distinct().withColumn("_known", F.lit(True))
-    return (join_dimension(reviews.withColumn("product_id", surrogate_key(F.col(key))), known,
-                           key, "left")
+    return (reviews.withColumn("product_id", surrogate_key(F.col(key))).join(known, key, "left")
             .withColumn("matched", F.coalesce("_known", F.lit(False))).drop("_known"))
 
 
@@ -134,7 +132,7 @@ def review_lines_json(reviews: DataFrame, products: DataFrame, *,
                       key: str = "product_code") -> DataFrame:
     """One JSON line per review with product code and name (J4);
     missing strings -> '', rating stays null (F26)."""
-    j = spread(review_enrich(reviews, products, key=key))
+    j = review_enrich(reviews, products, key=key)
     have = set(j.columns)
 
     def field(f):

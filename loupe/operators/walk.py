@@ -22,17 +22,21 @@ def page_walk(reviews: DataFrame, *, key: str = "product_code", page: str = "pag
               pos: str = "pos", user: str = "username", text: str = "review_text",
               max_reviews: int | None = None, max_pages: int | None = None,
               zero_stop: int = C.ZERO_YIELD_STOP,
-              prefix: int = C.DEDUP_PREFIX_CHARS) -> DataFrame:
+              prefix: int = C.DEDUP_PREFIX_CHARS, card: str | None = None,
+              valid: str | None = None) -> DataFrame:
     """Returns one row per kept page: (key, page, new_reviews, running_total).
     ``page`` must number pages densely from 1 within each product; pages
-    with zero cards must be present as rows with a NULL review."""
-    has = F.col(text).isNotNull()
+    with zero cards must be present as rows with a NULL ``card`` (by default
+    the review text).  Cards that are not ``valid`` yield nothing, but their
+    page is not an empty one: it counts towards the zero-yield stop."""
+    is_card = F.col(card or text).isNotNull()
+    has = is_card & F.col(text).isNotNull() & (F.col(valid) if valid else F.lit(True))
     seen = keep_first(
         reviews.filter(has),
         [key, F.coalesce(F.col(user), F.lit("")), F.substring(F.col(text), 1, prefix)],
         F.struct(F.col(page), F.col(pos)))
     yields = seen.groupBy(key, page).agg(F.count(F.lit(1)).alias("new_reviews"))
-    pages = reviews.groupBy(key, page).agg(F.count(F.when(has, 1)).alias("cards"))
+    pages = reviews.groupBy(key, page).agg(F.count(F.when(is_card, 1)).alias("cards"))
     w = Window.partitionBy(key).orderBy(page)
     z = (pages.join(yields, [key, page], "left")
          .withColumn("new_reviews", F.coalesce("new_reviews", F.lit(0)))

@@ -67,47 +67,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Before a CPU-heavy narrow stage (HTML parsing, tokenising): when the
-    input is too small to have been split across the cluster's cores (a
-    small table stored as one row group), spread it round-robin.  The check
-    reads the input size from the plan, so nothing executes while the plan
-    is built; at scale the input is far above cores x split size and this
-    is a no-op (no shuffle)."""
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # no SparkContext handle (remote session)
-        cores = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    want = min_partitions or cores
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    est = input_bytes(df)
-    if est is None:
-        return df
-    return df.repartition(want) if est < want * split else df
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the plan's leaf relations (file sizes of the scans): the
-    input volume, which bounds how many splits the scans can produce.
-    (Catalyst's estimate for the whole plan is unusable here: without
-    column statistics a join is estimated as a product of its inputs.)"""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return None
-
-
-def _bytes(v: str) -> int:
-    v = str(v).strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    for suffix in ("kb", "mb", "gb", "tb", "k", "m", "g", "t", "b"):
-        if v.endswith(suffix):
-            num = v[: -len(suffix)]
-            return int(float(num) * (units.get(suffix[0], 1)))
-    return int(v)

@@ -135,17 +135,38 @@ def write_snapshot(df: DataFrame, base: str, run_id: str, *, partition_by: list
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    write_pointer(spark, base, {"run_id": run_id, "path": path})
+    return path
+
+
+def write_pointer(spark: SparkSession, base: str, value: dict, name: str = POINTER) -> None:
+    """Replace the pointer file in one rename that overwrites, so a reader
+    finds the old value or the new one, also after a crash between them."""
     fs, _ = _fs(spark, base)
     jvm = spark._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}.tmp")
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(base))
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}.tmp")
     out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps({"run_id": run_id, "path": path}).encode()))
+    out.write(bytearray(json.dumps(value).encode()))
     out.close()
-    dst = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}")
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
-    return path
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    files.rename(files.makeQualified(tmp),
+                 files.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")), how)
+
+
+def read_pointer(spark: SparkSession, base: str, name: str = POINTER) -> dict | None:
+    fs, _ = _fs(spark, base)
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream))
+    text = reader.readLine()
+    reader.close()
+    return json.loads(text)
 
 
 def write_snapshot_observed(df: DataFrame, base: str, run_id: str, **kw) -> tuple[str, dict]:
@@ -158,15 +179,8 @@ def write_snapshot_observed(df: DataFrame, base: str, run_id: str, **kw) -> tupl
 
 
 def current_snapshot(spark: SparkSession, base: str) -> str | None:
-    fs, _ = _fs(spark, base)
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}")
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream))
-    text = reader.readLine()
-    reader.close()
-    return json.loads(text)["path"]
+    found = read_pointer(spark, base)
+    return found["path"] if found else None
 
 
 def read_table(spark: SparkSession, base: str, schema: T.StructType | None = None) -> DataFrame | None:

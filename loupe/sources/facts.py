@@ -61,7 +61,8 @@ FACTS = T.StructType([
                                                      T.StructField("td", _S)]))),
     T.StructField("headings", T.ArrayType(T.StructType([
         T.StructField("tag", _S), T.StructField("text", _S), T.StructField("next_text", _S),
-        T.StructField("parent_next_text", _S), T.StructField("parent_text", _S)]))),
+        T.StructField("parent_next_text", _S), T.StructField("parent_later", _ARR_S),
+        T.StructField("parent_text", _S)]))),
     T.StructField("strike", _S),
     T.StructField("probes", T.MapType(_S, _S)),
     T.StructField("breadcrumb", _ARR_S),
@@ -89,18 +90,30 @@ _CARD_TAGS = {"div", "li", "article", "section", "tr"}
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element; ``place`` is its index among its parent's children.
+    Walks keep their own stack, so markup may nest to any depth."""
+
+    __slots__ = ("tag", "attrs", "children", "parent", "place")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.place = 0
+
+    def add(self, child):
+        child.place = len(self.children)
+        self.children.append(child)
 
     # -- text
     def strings(self):
-        for c in self.children:
-            if isinstance(c, str):
+        stack = [iter(self.children)]
+        while stack:
+            c = next(stack[-1], None)
+            if c is None:
+                stack.pop()
+            elif isinstance(c, str):
                 yield c
             elif c.tag not in _HIDDEN:
-                yield from c.strings()
+                stack.append(iter(c.children))
 
     def text(self, sep="", strip=True):
         if strip:
@@ -111,10 +124,14 @@ class _Node:
         return self.attrs.get("class") or ""
 
     def elements(self):
-        for c in self.children:
-            if not isinstance(c, str):
+        stack = [iter(self.children)]
+        while stack:
+            c = next(stack[-1], None)
+            if c is None:
+                stack.pop()
+            elif not isinstance(c, str):
                 yield c
-                yield from c.elements()
+                stack.append(iter(c.children))
 
     def find(self, pred):
         return next((e for e in self.elements() if pred(e)), None)
@@ -122,33 +139,27 @@ class _Node:
     def next_element_sibling(self, tag=None):
         if self.parent is None:
             return None
-        sib = self.parent.children
-        i = next(k for k, c in enumerate(sib) if c is self)
-        for c in sib[i + 1:]:
-            if not isinstance(c, str) and (tag is None or c.tag == tag):
-                return c
-        return None
+        return next(self.later_siblings(tag), None)
 
-    def html(self, limit):
-        out, n = [], 0
+    def later_siblings(self, tag=None):
+        sib = self.parent.children if self.parent is not None else []
+        for i in range(self.place + 1, len(sib)):
+            if not isinstance(sib[i], str) and (tag is None or sib[i].tag == tag):
+                yield sib[i]
 
-        def walk(e):
-            nonlocal n
-            if n > limit:
-                return
+    def html(self, limit):
+        out, n, todo = [], 0, [self]
+        while todo and n <= limit:
+            e = todo.pop()
             if isinstance(e, str):
                 out.append(e)
-                n += len(e)
-                return
-            a = "".join(f' {k}="{v}"' if v is not None else f" {k}" for k, v in e.attrs.items())
-            out.append(f"<{e.tag}{a}>")
+            else:
+                a = "".join(f' {k}="{v}"' if v is not None else f" {k}" for k, v in e.attrs.items())
+                out.append(f"<{e.tag}{a}>")
+                if e.tag not in _VOID:
+                    todo.append(f"</{e.tag}>")
+                todo.extend(reversed(e.children))
             n += len(out[-1])
-            for c in e.children:
-                walk(c)
-            if e.tag not in _VOID:
-                out.append(f"</{e.tag}>")
-                n += len(out[-1])
-        walk(self)
         return "".join(out)[:limit]
 
 
@@ -160,12 +171,12 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         n = _Node(tag, dict(attrs), self.cur)
-        self.cur.children.append(n)
+        self.cur.add(n)
         if tag not in _VOID:
             self.cur = n
 
     def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(_Node(tag, dict(attrs), self.cur))
+        self.cur.add(_Node(tag, dict(attrs), self.cur))
 
     def handle_endtag(self, tag):
         n = self.cur
@@ -301,7 +312,7 @@ def _dl(els):
     for e in els:
         if e.tag == "dt":
             dd = e.next_element_sibling("dd")
-            out.append({"dt": e.text(), "dd": _text_or_none(dd)})
+            out.append({"dt": e.text(), "dd": _text_or_none(dd, "\n")})
     return out
 
 
@@ -312,19 +323,26 @@ def _th_td(els):
             th = e.find(lambda x: x.tag == "th")
             td = e.find(lambda x: x.tag == "td")
             if th is not None and td is not None:
-                out.append({"th": th.text(), "td": td.text()})
+                out.append({"th": th.text(), "td": td.text("\n")})
     return out
 
 
 def _headings(els):
-    out = []
+    """Headings with the blocks after them.  What stands around a heading
+    (its parent's text and later siblings) is only kept for the first h4 that
+    names the ingredients: the one rule that reads it (E12) stops there."""
+    out, named = [], False
     for e in els:
         if e.tag in ("h2", "h3", "h4"):
-            nx = e.next_element_sibling()
-            pn = e.parent.next_element_sibling() if e.parent is not None else None
-            out.append({"tag": e.tag, "text": e.text(), "next_text": _text_or_none(nx),
-                        "parent_next_text": _text_or_none(pn),
-                        "parent_text": _text_or_none(e.parent)})
+            text = e.text()
+            row = {"tag": e.tag, "text": text,
+                   "next_text": _text_or_none(e.next_element_sibling(), "\n"),
+                   "parent_next_text": _text_or_none(e.parent.next_element_sibling(), "\n")}
+            if not named and e.tag == "h4" and all(w in text for w in C.INGREDIENT_HEADING_WORDS):
+                named = True
+                row["parent_later"] = [s.text(" ") for s in e.parent.later_siblings()]
+                row["parent_text"] = e.parent.text(" ")
+            out.append(row)
     return out
 
 
@@ -404,10 +422,9 @@ def page_facts(pages: DataFrame, *, html: str = "html", keys: list | None = None
     columns and the HTML are shipped to Python; ``passthrough`` columns
     (e.g. url, or features computed from the raw HTML in the JVM before this
     stage) ride along unchanged, so no join back to the pages is needed."""
-    from ..session import spread
     keys = list(keys or ["page_id"])
     carry = keys + [c for c in (passthrough or []) if c not in keys]
-    src = spread(pages.select(*carry, html))
+    src = pages.select(*carry, html)
     out_schema = T.StructType([src.schema[k] for k in carry] + [T.StructField("facts", FACTS)])
     pr = dict(probes) if probes is not None else None
     wanted = frozenset(want) if want is not None else None

@@ -24,7 +24,7 @@ from ..operators.extract import explode_cards
 from ..operators.records import parse_reviews
 from ..operators.summarize import finish, merge_partials, partials
 from ..session import checkpoint_dir
-from ..sources.catalog import read_table, write_snapshot
+from ..sources.catalog import read_pointer, write_pointer
 from ..sources.facts import page_facts
 
 
@@ -69,6 +69,7 @@ def ingest(spark: SparkSession, pages_stream: DataFrame, reviews_path: str, *,
 
 
 STATE_TABLES = ("agg", "pairs", "options")
+MANIFEST = "_EPOCH"
 
 
 def summary_upserter(state_base: str, summary_base: str, *, key: str = "product_code",
@@ -84,26 +85,34 @@ def summary_upserter(state_base: str, summary_base: str, *, key: str = "product_
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        done = read_pointer(spark, state_base, MANIFEST)
+        if done is not None and done["epoch"] >= epoch_id:  # replayed: its writes are in place
+            write_pointer(spark, summary_base, {"run_id": done["run_id"], "path": done["summary"]})
+            return
+        read = spark.read.parquet
         fresh = partials(batch, key=key, dicts=dicts)
         touched = batch.select(key).distinct()
-        old = {t: read_table(spark, f"{state_base}/{t}") for t in STATE_TABLES}
-        if any(v is None for v in old.values()):
-            merged, kept = fresh, None
-        else:
+        merged, kept = fresh, None
+        if done is not None:
+            old = {t: read(done[t]) for t in STATE_TABLES}
             hot = {t: old[t].join(touched, key, "left_semi") for t in STATE_TABLES}
             merged = merge_partials(hot, fresh, key=key)
             kept = {t: old[t].join(touched, key, "left_anti") for t in STATE_TABLES}
         run_id = f"epoch={epoch_id:012d}"
+        new = {t: f"{state_base}/{t}/snapshots/{run_id}" for t in STATE_TABLES}
         for t in STATE_TABLES:
-            new_state = merged[t] if kept is None else kept[t].unionByName(merged[t])
-            write_snapshot(new_state, f"{state_base}/{t}", run_id)
+            rows = merged[t] if kept is None else kept[t].unionByName(merged[t])
+            rows.write.mode("overwrite").parquet(new[t])
         # summaries of the touched products, from their merged state
-        state = {t: read_table(spark, f"{state_base}/{t}").join(touched, key, "left_semi")
-                 for t in STATE_TABLES}
+        state = {t: read(new[t]).join(touched, key, "left_semi") for t in STATE_TABLES}
         summ = finish(state, key=key, dicts=dicts).withColumn("epoch", F.lit(epoch_id))
-        prev = read_table(spark, summary_base)
-        out = summ if prev is None else prev.join(touched, key, "left_anti").unionByName(summ)
-        write_snapshot(out, summary_base, run_id)
+        if done is not None:
+            summ = read(done["summary"]).join(touched, key, "left_anti").unionByName(summ)
+        path = f"{summary_base}/snapshots/{run_id}"
+        summ.write.mode("overwrite").parquet(path)
+        # one manifest commits all four tables; a crash before it changes nothing
+        write_pointer(spark, state_base, {"epoch": epoch_id, "run_id": run_id, "summary": path} | new, MANIFEST)
+        write_pointer(spark, summary_base, {"run_id": run_id, "path": path})
 
     return run
 

@@ -53,20 +53,17 @@ def test_with_ordinal_is_dense_and_ordered(spark):
     assert ks == sorted(ks)
 
 
-def test_join_dimension_checks_size(spark):
-    fact = spark.read.parquet(f"{SF001}/lineitem.parquet")
+def test_dimension_join_leaves_the_strategy_to_spark(spark):
+    from loupe.operators import views as V
+    fact = spark.read.parquet(f"{SF001}/lineitem.parquet").withColumnRenamed("l_partkey", "product_code")
     dim = spark.read.parquet(f"{SF001}/part.parquet").select(
-        F.col("p_partkey").alias("l_partkey"), "p_name")
-    small = J.join_dimension(fact, dim, "l_partkey", max_bytes=1 << 30)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        F.col("p_partkey").alias("product_code"), F.col("p_name").alias("product_name"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        big = J.join_dimension(fact, dim, "l_partkey", max_bytes=1)
-        assert "BroadcastHashJoin" not in big._jdf.queryExecution().executedPlan().toString()
+        for df in (V.review_enrich(fact, dim), V.fk_resolve(fact, dim)):
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_merge_run_twice_is_stable(spark):

@@ -69,16 +69,7 @@ def test_upsert_is_one_full_outer_join(spark):
     assert _plan(up).count("FullOuter") >= 1
 
 
-def test_spread_only_for_small_inputs(spark):
-    from loupe.session import _bytes, spread
-    assert _bytes("128m") == 128 << 20 and _bytes("64MB") == 64 << 20 and _bytes("1024") == 1024
-    docs = spark.read.parquet(f"{SF001}/documents.parquet")
-    small = spread(docs)
-    assert "RoundRobinPartitioning" in small._jdf.queryExecution().executedPlan().toString()
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # input >> cores x split
-    try:
-        big = spread(docs)
-        assert "Exchange" not in big._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+def test_no_round_robin_exchange(spark):
+    qs = queries()
+    for name in ("keyword_counts", "cohort_phrases", "export_reviews", "page_links"):
+        assert "RoundRobinPartitioning" not in _plan(qs[name](spark, SF001)), name
