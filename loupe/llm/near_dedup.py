@@ -202,7 +202,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: key, class_id, class_size, kept.
 
-    Equal texts are always of one class, null and empty ones too.  A class's
+    Equal texts are always of one class; so are all texts without words, as
+    null and empty ones.  A class's
     least key is its id, whose rows are ``kept`` (repeated rows alike); a class
     of null keys alone has the id null and is kept.  An empty table gives no
     rows; other columns are not read.
