@@ -4,8 +4,8 @@ Each of ``SKETCHES`` hash functions picks the ``PICKS`` least of a document's
 five-word shingles, each labelled with its number among equal ones, and writes
 them in text order; documents that share such an entry are candidates.  Two
 documents whose labelled shingles, in one order, have a Jaccard similarity of
-0.8 share an entry with probability 0.51 for each hash function, and at least
-one of 20 but for 1 case in a million.  Candidates are verified by aligning
+0.8 share an entry with probability 0.41 for each hash function, and at least
+one of 24 but for 3 cases in a million.  Candidates are verified by aligning
 their words in a band: documents are near when their edit distance is at most
 20 % of the longer one's words.
 
@@ -17,7 +17,7 @@ so large groups of copies cost one alignment each, not all pairs.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,12 @@ from loupe.llm.common import WordHash, field, mixed, shingled, slices, text_of,
 from loupe.llm.components import components
 
 #: Words of a shingle, shingles of an entry, entries of a document.
-SHINGLE, PICKS, SKETCHES = 5, 3, 20
+SHINGLE, PICKS, SKETCHES = 5, 4, 24
 #: Least edit similarity of near documents.
 SIMILAR = 0.8
-#: Pivots of a group in each round after the first, and the size from which
-#: what the first round leaves of a group must share a second entry.
-PIVOTS, LARGE = 8, 32
+#: Pivots of a group in the second round; largest group whose texts are
+#: compared across the border of a pivot's reach.
+PIVOTS, BORDER = 8, 64
 
 
 def order_minhash(texts: list[str], known: WordHash, shingle: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
@@ -122,49 +122,63 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, d int, longer int, near boolean")
 
 
-def near_links(members: DataFrame, texts: DataFrame, least: float = SIMILAR, border: bool = True) -> DataFrame:
+def near_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILAR, sketches: bool = True) -> DataFrame:
     """Verified links (a, b) that connect, within each group of ``members``
-    (entry, node), the texts that are near each other.
+    (entry, node), the texts that are near each other.  ``texts_of`` gives
+    (node, t) for a table of nodes.
 
     Each round aligns all texts of a group to its pivots, its least texts: one
-    in the first round, ``PIVOTS`` later.  Texts near a pivot are done; the
-    others go on without them, until no group has two.  Before one goes on it
-    is also aligned (``border``) to those texts near a pivot that, by the
-    triangle inequality, it may be near to.  What the first round leaves of a large
-    group shares a passage rather than most of its text; there two texts go on
-    as a group only if they share a second entry.
+    in the first round, ``PIVOTS`` and four times as many each round later.
+    Texts near a pivot are done; the others go on without them, until no group
+    has two, so a group costs a few alignments for each text, not all pairs.
+
+    With ``sketches`` (24 entries a text) what the first round leaves of a
+    group of more than ``PIVOTS`` shares a passage rather than most of its
+    text, and goes on where texts share three entries, as texts of similarity
+    0.8 do but for 1 case in 2000.  And in groups of up to ``BORDER`` texts
+    one that is near no pivot is aligned to those near a pivot that, by the
+    triangle inequality, it may be near to.
     """
-    links = known = None
+    texts = known = None
     for round_ in itertools.count():
-        rank = F.row_number().over(Window.partitionBy("entry").orderBy("node"))
-        pivots = written(members.groupBy("entry").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p != q"), "groups")
-        if pivots.isEmpty():
-            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b"))
-        grouped = members.join(pivots.select("entry"), "entry", "left_semi") if round_ else members
-        heads = (grouped.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("entry", F.col("node").alias("p"))
-                 if round_ else pivots.select("entry", "p"))
-        star = written(grouped.join(heads, "entry").where("node != p"), "star")
+        groups = members.groupBy("entry").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q").select("entry", "p", "n")
+        heads = groups
+        if round_:
+            rank = F.row_number().over(Window.partitionBy("entry").orderBy("node"))
+            heads = members.withColumn("rank", rank).where(F.col("rank") <= PIVOTS * 4 ** (round_ - 1)).select("entry", F.col("node").alias("p")).join(groups.select("entry", "n"), "entry")
+        star = written(members.join(heads, "entry").where("node != p"), "star")
+        if star.isEmpty():
+            break
+        if texts is None:
+            texts = written(texts_of(star.select("node").union(star.select("p")).distinct()), "texts")
         pairs = star.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
         found = written(aligned(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), texts, least), "aligned")
         known = found if known is None else known.union(found)
         of = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "d", "longer", "near")
         told = written(star.withColumns({"x": F.greatest("node", "p"), "y": F.least("node", "p")}).join(of, ["x", "y"])
-                       .select("entry", "node", "p", "d", "longer", "near"), "told")
-        state = told.groupBy("entry", "node").agg(F.max("near").alias("near"))
-        left = written(state.where("not near").select("entry", "node").join(heads.select("entry", F.col("p").alias("node")), ["entry", "node"], "left_anti"), "left")
-        edge = written(_border(told, left, least).join(known, ["a", "b"], "left_anti"), "border") if border else None
-        if edge is not None and not edge.isEmpty():
-            extra = written(aligned(edge, texts, least), "aligned")
-            found, known = found.union(extra), known.union(extra)
-        ties = found.where("near").select("a", "b")
-        links = ties if links is None else links.union(ties)
+                       .select("entry", "n", "node", "p", "d", "longer", "near"), "told")
+        # a group's pivots are decided: each has been aligned to all others
+        apart = told.groupBy("entry", "node").agg(F.max("near").alias("near")).where("not near").select("entry", "node")
+        left = written(apart.join(told.select("entry", F.col("p").alias("node")), ["entry", "node"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+        inner = told.where(F.col("n") <= BORDER)
+        if sketches and not inner.where("not near and d is not null").isEmpty():
+            edge = written(_border(inner, left, least).join(known, ["a", "b"], "left_anti"), "border")
+            if not edge.isEmpty():
+                known = known.union(written(aligned(edge, texts, least), "aligned"))
         members = left
-        if round_ == 0:
-            large = left.groupBy("entry").count().where(F.col("count") > LARGE).select("entry")
-            big = left.join(large, "entry", "left_semi")
-            second = big.alias("x").join(big.alias("y"), F.expr("x.node = y.node and x.entry < y.entry"))
-            members = left.join(large, "entry", "left_anti").union(second.select(F.xxhash64("x.entry", "y.entry").alias("entry"), F.col("x.node").alias("node")))
-            members = written(members.distinct(), "members")
+        if sketches and round_ == 0:
+            large = written(left.groupBy("entry").count().where(F.col("count") > PIVOTS).select("entry"), "large")
+            if not large.isEmpty():
+                of = left.join(large, "entry", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("entry")).alias("e"))  # at most SKETCHES
+                size = F.size("e")
+                three = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.transform(
+                    F.filter(F.sequence(F.lit(0), size - 1), lambda m: (i < j) & (j < m)), lambda m: F.xxhash64(F.get("e", i), F.get("e", j), F.get("e", m)))))))
+                members = written(left.join(large, "entry", "left_anti").union(of.select(F.explode(three).alias("entry"), "node")), "members")
+    if known is None:
+        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return known.where("near").select("a", "b")
 
 
 def _border(told: DataFrame, left: DataFrame, least: float) -> DataFrame:
@@ -188,11 +202,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     ``keeper`` the node that stands for the class."""
     t = docs.select(F.col(key).alias("k"), node_of(text).alias("node"), text_of(text).alias("t"))
     entries = written(sketched(t.select("node", "t")).distinct(), "entries")
-    shared = entries.groupBy("entry").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p != q").select("entry")
-    members = written(entries.join(shared, "entry", "left_semi"), "members")
-    needed = members.select("node").distinct()
-    texts = written(t.select("node", "t").join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    roots = components(near_links(members, texts, least))
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return t.select("node", "t").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    roots = components(near_links(entries, texts_of, least))
     nodes = t.groupBy("node").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k")).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = written(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n"), "nodes")
     classes = nodes.groupBy("root").agg(F.min(F.struct("first", "node")).alias("one"), F.sum("n").alias("class_size"))
