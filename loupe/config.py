@@ -63,6 +63,7 @@ PRICE_BAND_BOUNDS = [10000, 30000, 50000, 100000, 200000]
 PRICE_BAND_LABELS = ["1만원 미만", "1-3만원", "3-5만원", "5-10만원", "10-20만원", "20만원 이상"]
 
 # Thresholds.
+NAME_PRICE_FLOOR = 1000  # a price in a name counts above this
 CARD_MIN_CHARS = 20
 BODY_MIN_CHARS = 10            # body must be longer than this
 BODY_FALLBACK_BELOW = 20       # element body shorter than this -> fall back to lines

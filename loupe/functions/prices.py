@@ -79,7 +79,7 @@ NAME_DELETIONS = [
 
 def name_clean(name: Column, min_len: int = 0) -> Column:
     out = reduce(lambda acc, p: F.regexp_replace(acc, p, ""), NAME_DELETIONS, name)
-    out = F.trim(out)
+    out = F.trim(out, F.lit(C.PY_WHITESPACE))
     if min_len:
         out = F.when(F.length(out) < min_len, F.lit("")).otherwise(out)
     return out

@@ -27,7 +27,7 @@ def rating_from_text(text: Column) -> Column:
     """F19 text stage: the first match of the three alternatives; the
     number is the (only) digit run of the matched text.  One regex pass over
     the text, a second over the short match."""
-    m = F.regexp_substr(text, F.lit(RATING_TEXT_PATTERN))
+    m = F.regexp_substr(text, F.lit("(?U)" + RATING_TEXT_PATTERN))
     return F.nullif(F.regexp_extract(F.coalesce(m, F.lit("")), r"(\d+)", 1), F.lit("")) \
         .try_cast("int")
 
@@ -51,8 +51,10 @@ OPTION_PATTERNS = C.OPTION_PATTERNS
 def first_match(text: Column, patterns: list, group: int) -> Column:
     """Group of the first pattern that matches (NULL when none does); the
     groups used here are never empty on a match, so '' means no match and
-    each pattern is evaluated once."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])
+    each pattern is evaluated once.  ``(?U)``: white space is Unicode's, so a
+    no-break space counts."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, "(?U)" + p, group), F.lit(""))
+                        for p in patterns])
 
 
 def option_parse(text: Column) -> Column:

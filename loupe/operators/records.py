@@ -53,7 +53,16 @@ def extract_products(pages: DataFrame, *, facts: str = "facts", url: str = "url"
     u = F.col(url)
     cp = E.class_price(facts)
     strike = E.strike_price(facts)
-    listp = F.coalesce(strike, P.list_price(cp["price"], cp["discount"]))
+    # a heading may hold the whole listing line: discount, price, name, rating, count (F1-F7);
+    # what the page itself states comes first
+    h1 = R.strip_ws(_or_empty(f["h1"]))
+    line = P.parse_listing(h1)
+    said = line["sale_price"].isNotNull()
+    name = F.when(said, P.name_clean(line["name"])).otherwise(h1)
+    from_name = F.when(line["sale_price"] > C.NAME_PRICE_FLOOR, line["sale_price"])
+    discount = F.coalesce(cp["discount"], F.when(said, line["discount"]))
+    current = F.coalesce(cp["price"], P.sale_price(from_name, line["discount"]))
+    listp = F.coalesce(strike, P.list_price(cp["price"], cp["discount"]), from_name)
     cats = E.breadcrumb_categories(facts)
     code = U.code_cascade(u, E.meta_content(facts, C.META_CODE_PROPERTY), E.data_attr(facts),
                           E.script_var(facts))
@@ -62,13 +71,13 @@ def extract_products(pages: DataFrame, *, facts: str = "facts", url: str = "url"
         _or_empty(code).alias("product_code"),
         _or_empty(U.url_serial(u)).alias("online_sn"),
         u.alias("product_url"),
-        _or_empty(R.strip_ws(_or_empty(f["h1"]))).alias("product_name"),
+        _or_empty(name).alias("product_name"),
         cats["category"].alias("category"), cats["sub_category"].alias("sub_category"),
-        listp.alias("price"), cp["price"].alias("current_price"),
-        cp["discount"].alias("discount_pct"),
+        listp.alias("price"), current.alias("current_price"),
+        discount.alias("discount_pct"),
         F.when(listp.isNotNull(), P.price_band(listp)).otherwise(F.lit("")).alias("price_range"),
-        E.page_rating(facts, F.col("raw_rating")).alias("rating"),
-        F.col("raw_review_count").alias("review_count"),
+        F.coalesce(E.page_rating(facts, F.col("raw_rating")), F.when(said, line["rating"])).alias("rating"),
+        F.coalesce(F.col("raw_review_count"), F.when(said, line["review_count"])).alias("review_count"),
         text_field(facts, C.USAGE_KEYWORDS).alias("usage_method"),
         R.ingredients_cap(E.ingredients(facts)).alias("ingredients"),
         text_field(facts, C.PRECAUTION_KEYWORDS).alias("precautions"),

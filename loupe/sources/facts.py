@@ -218,7 +218,9 @@ _CARD_RULES = [
     ("data-review", lambda e: "data-review" in e.attrs),
     ("id~/review/i", lambda e: _RX_ID.search(e.attrs.get("id") or "") is not None),
 ]
-_FALLBACK = re.compile(C.CARD_FALLBACK_PATTERN)
+# only whether it matches is asked, so a run needs one character: with the
+# repeats a page of one long word would take quadratic time
+_FALLBACK = re.compile(C.CARD_FALLBACK_PATTERN.replace(r"\w+\*+", r"\w\*").replace(r"\d+", r"\d"))
 _FALLBACK_HINT = re.compile(C.CARD_FALLBACK_HINT)
 
 
