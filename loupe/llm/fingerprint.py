@@ -36,8 +36,8 @@ def packed(s: Column) -> Column:
 
 def unpacked(text: Column) -> Column:
     digits = F.hex(F.unbase64(text))
-    parts = F.sequence(F.lit(0), F.length(digits) / 16 - 1)
-    each = F.transform(parts, lambda i: F.conv(F.substring(digits, (i * 16 + 1).cast("int"), F.lit(16)), 16, -10).cast("long"))
+    parts = F.sequence(F.lit(0), (F.length(digits) / 16).cast("int") - 1)
+    each = F.transform(parts, lambda i: F.conv(F.substring(digits, i * 16 + 1, F.lit(16)), 16, -10).cast("long"))
     return F.when(F.length(digits) > 0, each).otherwise(F.array().cast("array<long>"))
 
 
