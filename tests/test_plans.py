@@ -70,6 +70,6 @@ def test_upsert_is_one_full_outer_join(spark):
 
 
 def test_no_round_robin_exchange(spark):
-    qs = queries()
+    qs = all_queries()
     for name in ("keyword_counts", "cohort_phrases", "export_reviews", "page_links"):
         assert "RoundRobinPartitioning" not in _plan(qs[name](spark, SF001)), name
