@@ -175,7 +175,7 @@ def test_contamination_edges(spark):
 
 
 def passage_case():
-    shared = [prose(40 + i, n) for i, n in enumerate((50, 55, 80))]
+    shared = [prose(4000 + i, n) for i, n in enumerate((50, 55, 80))]
     rows = [(i, prose(i, 30 + i), "en", "a", 1) for i in range(30)]
     for i in range(30, 60):
         rows.append((i, f"{prose(i, 20 + i)} {shared[i % 3]} {prose(i + 1000, 30)}", "en", "a", 1))
@@ -194,7 +194,7 @@ def test_repeated_passages(spark):
             covered[r.doc_id] |= set(range(r.start, r.start + r.words))
     assert set(covered) == set(range(33, 61))
     for k, spans in covered.items():  # within the passage, and it is found in each document but the first
-        passage = words_of(shared[k % 3])
+        passage = words_of(shared[k % 3] if k < 60 else rows[60][1])
         at = next((s for s in range(len(words[k])) if words[k][s:s + len(passage)] == passage), 0)
         assert spans <= set(range(at, at + len(passage))) and len(spans) >= WORDS
 
