@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loupe.llm.alignment import edit_distance, similar
 from loupe.llm.common import WordHash, words_of
 from loupe.llm.components import components
-from loupe.llm.decontaminate import Items, contaminated, drop_contaminated
+from loupe.llm.decontaminate import Items, contaminated, drop_contaminated, passage
 from loupe.llm.near_dedup import drop_near_duplicates, near_duplicates, near_links
 from loupe.llm.substring_dedup import GAP, WORDS, paragraph_rows, repeated, without_repeats
 
@@ -163,6 +163,43 @@ def test_lsh_recall_at_the_limit():
     assert sum((t, i) in got for t, i in enumerate(want)) >= 0.9 * len(want)
 
 
+def changed(words, kind, edits, rng):
+    words = list(words)
+    for _ in range(edits):
+        if kind == "del":
+            del words[rng.randrange(len(words))]
+        else:
+            words.insert(rng.randrange(1, len(words)), f"new{rng.randrange(10**6)}")
+    return words
+
+
+@pytest.mark.parametrize("kind", ["del", "ins"])
+@pytest.mark.parametrize("around", [0, 60])
+def test_recall_with_words_lost_or_gained(kind, around):
+    """At the most edits that count; without text around it, the document is the passage alone."""
+    rng = random.Random(11)
+    items = [(i, prose(50 + i, rng.randint(14, 60))) for i in range(40)]
+    texts, want = [], []
+    for i, text in items * 4:
+        w = words_of(text)
+        texts.append(" ".join([prose(8000 + len(texts), around), *changed(w, kind, len(w) // 5, rng), prose(9000 + len(texts), around)]))
+        want.append(i)
+    got = {(t, i): d for t, i, _, d in Items(items, 0.8).matches(texts, WordHash())}
+    assert sum((t, i) in got for t, i in enumerate(want)) >= 0.95 * len(want)
+    assert all(d <= len(words_of(dict(items)[i])) // 5 for (_, i), d in got.items())
+
+
+def test_passage_matches_brute_force():
+    rng = random.Random(12)
+    for _ in range(1500):
+        letters = rng.choice([2, 4, 30])
+        text, words = ([rng.randrange(letters) for _ in range(rng.randint(a, 12))] for a in (0, 1))
+        most = rng.randrange(len(words))
+        runs = [(table_distance(text[a:b], words), abs(b - a - len(words)), a) for a in range(len(text)) for b in range(a + 1, len(text) + 1)]
+        best = min(runs, default=(99, 0, 0))
+        assert passage(text, words, most) == (best if best[0] <= most else None)
+
+
 def test_contamination_edges(spark):
     items, rows = leak_case()
     empty, none = frame(spark, [], SCHEMA), frame(spark, [], "item_id long, text string")
