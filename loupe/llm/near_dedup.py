@@ -32,9 +32,8 @@ from loupe.llm.components import components
 SHINGLE, PICKS, SKETCHES = 5, 4, 24
 #: Least edit similarity of near documents.
 SIMILAR = 0.8
-#: Pivots of a group in the second round; largest group whose texts are
-#: compared across the border of a pivot's reach.
-PIVOTS, BORDER = 8, 64
+#: Pivots of a group in the second round.
+PIVOTS = 8
 
 
 def order_minhash(texts: list[str], known: WordHash, shingle: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
@@ -131,15 +130,15 @@ def near_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], l
     in the first round, ``PIVOTS`` and four times as many each round later.
     Texts near a pivot are done; the others go on without them, until no group
     has two, so a group costs a few alignments for each text, not all pairs.
+    At the end a text near a pivot and one that is not, but may be near the
+    first by the triangle inequality, are aligned unless tied by then.
 
     With ``sketches`` (24 entries a text) what the first round leaves of a
     group of more than ``PIVOTS`` shares a passage rather than most of its
-    text, and goes on where texts share three entries, as texts of similarity
-    0.8 do but for 1 case in 2000.  And in groups of up to ``BORDER`` texts
-    one that is near no pivot is aligned to those near a pivot that, by the
-    triangle inequality, it may be near to.
+    text, and is dealt anew by rare pairs of words, without loss (``dealt``).
     """
     texts = known = None
+    pivots = []
     for round_ in itertools.count():
         groups = members.groupBy("entry").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q").select("entry", "p", "n")
         heads = groups
@@ -159,36 +158,71 @@ def near_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], l
                        .select("entry", "n", "node", "p", "d", "longer", "near"), "told")
         # a group's pivots are decided: each has been aligned to all others
         apart = told.groupBy("entry", "node").agg(F.max("near").alias("near")).where("not near").select("entry", "node")
+        pivots.append(told)
         left = written(apart.join(told.select("entry", F.col("p").alias("node")), ["entry", "node"], "left_anti"), "left")
         if left.isEmpty():
             break
-        inner = told.where(F.col("n") <= BORDER)
-        if sketches and not inner.where("not near and d is not null").isEmpty():
-            edge = written(_border(inner, left, least).join(known, ["a", "b"], "left_anti"), "border")
-            if not edge.isEmpty():
-                known = known.union(written(aligned(edge, texts, least), "aligned"))
         members = left
         if sketches and round_ == 0:
             large = written(left.groupBy("entry").count().where(F.col("count") > PIVOTS).select("entry"), "large")
             if not large.isEmpty():
-                of = left.join(large, "entry", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("entry")).alias("e"))  # at most SKETCHES
-                size = F.size("e")
-                three = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.transform(
-                    F.filter(F.sequence(F.lit(0), size - 1), lambda m: (i < j) & (j < m)), lambda m: F.xxhash64(F.get("e", i), F.get("e", j), F.get("e", m)))))))
-                members = written(left.join(large, "entry", "left_anti").union(of.select(F.explode(three).alias("entry"), "node")), "members")
+                anew = dealt(texts.join(left.join(large, "entry", "left_semi").select("node").distinct(), "node", "left_semi"), least)
+                members = written(left.join(large, "entry", "left_anti").union(anew), "members")
     if known is None:
         return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    return known.where("near").select("a", "b")
-
+    links = known.where("near").select("a", "b")
+    if sketches and pivots:
+        told = pivots[0]
+        for more in pivots[1:]:
+            told = told.union(more)
+        edge = written(_border(told, components(links), least).join(known, ["a", "b"], "left_anti"), "border")
+        if not edge.isEmpty():
+            links = links.union(written(aligned(edge, texts, least), "aligned").where("near").select("a", "b"))
+    return links
+
+
+def dealt(texts: DataFrame, least: float) -> DataFrame:
+    """entry, node: groups such that near ones of ``texts`` (node, t) share one.
+
+    An edit changes at most two of a text's pairs of consecutive words (each
+    labelled with its number among equal ones), so two near texts of m words
+    or more have 0.6 m - 1 of them in common, and in any one order of all
+    pairs one of the first 0.4 m + 1 of each.  That order is from rare to
+    common, so that pairs of a passage that many share come last.
+    """
 
-def _border(told: DataFrame, left: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a group's texts, one left over and one near a pivot,
-    whose distances to the pivot allow them to be near each other."""
-    far = (told.join(left, ["entry", "node"], "left_semi").where("d is not null")
-           .select("entry", "p", F.col("node").alias("u"), F.col("d").alias("du"), F.col("longer").alias("lu")))
-    tied = told.where("near and d > 0").select("entry", "p", F.col("node").alias("v"), F.col("d").alias("dv"), F.col("longer").alias("lv"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for ts, part in slices(batches, "t"):
+            nodes, tokens, firsts = [], [], []
+            for i, t in enumerate(ts):
+                seq = words_of(t)
+                grams = np.sort(shingled(known.of([seq]), 2))
+                number = np.arange(len(grams)) - np.searchsorted(grams, grams)  # among equal ones
+                tokens.append(mixed(grams + mixed(number.astype(np.uint64))))
+                nodes.extend([i] * len(grams))
+                firsts.extend([int(2 * len(seq) * (1 - least) + 1e-9) + 1] * len(grams))
+            entries = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([field(part, "node").take(pa.array(nodes, pa.int64())), pa.array(entries.view(np.int64)), pa.array(firsts, pa.int32())], ["node", "entry", "firsts"])
+
+    kind = texts.schema["node"].dataType.simpleString()
+    tokens = written(texts.select("node", "t").mapInArrow(run, f"node {kind}, entry long, firsts int"), "tokens")
+    often = tokens.groupBy("entry").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "entry"))
+    return tokens.join(often, "entry").withColumn("rank", rank).where("rank <= firsts and often > 1").select("entry", "node")
+
+
+def _border(told: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), one near a pivot and one not, whose distances to the
+    pivot allow them to be near each other; without those tied by ``roots``."""
+    most = 2 * (1 - least) / least  # of the longer's words: both near the same text between them
+    of = roots.select(F.col("node").alias("of"), "root")
+    apart = told.where(~F.col("near") & (F.col("d") <= most * F.col("longer") + 1)).select("p", F.col("node").alias("u"), F.col("d").alias("du"), F.col("longer").alias("lu")).distinct()
+    apart = (apart.join(of.withColumnsRenamed({"of": "u", "root": "ru"}), "u", "left").join(of.withColumnsRenamed({"of": "p", "root": "rp"}), "p", "left")
+             .where(F.coalesce("ru", "u") != F.coalesce("rp", "p")).select("p", "u", "du", "lu"))
+    tied = told.where("near and d > 0").select("p", F.col("node").alias("v"), F.col("d").alias("dv"), F.col("longer").alias("lv")).distinct()
     may = F.col("du") - F.col("dv") <= F.floor(F.greatest("lu", "lv") * (1 - least) + 1e-9)
-    return far.join(tied, ["entry", "p"]).where(may).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    return apart.join(tied, "p").where(may).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
 
 
 def node_of(text: str = "text"):

@@ -113,6 +113,29 @@ def test_rounds_lose_no_link(spark):
     assert got == want
 
 
+def linked(spark, texts, **how):
+    nodes = spark.createDataFrame(list(texts.items()), "node long, t string")
+    members = nodes.select(F.lit(7).cast("long").alias("entry"), "node")
+    got = grouped([(r.a, r.b) for r in near_links(members, lambda wanted: nodes.join(wanted, "node", "left_semi"), **how).collect()], texts)
+    words = {n: words_of(t) for n, t in texts.items()}
+    return got, grouped([(a, b) for a in words for b in words if a < b and similar(words[a], words[b], 0.8)], texts)
+
+
+def test_large_groups_lose_no_link(spark):
+    """Copies with own headers and footers, near the bare text but not each
+    other, and copies of many texts that share a passage, all of one group."""
+    base, texts = prose(1, 100), {}
+    for i in range(45):
+        texts[i] = f"{prose(100 + i, 22)} {base}"
+        texts[100 + i] = f"{base} {prose(200 + i, 22)}"
+    texts[50] = base
+    for i in range(150):
+        own = f"{prose(9, 40)} {prose(300 + i, 60)}"
+        texts[1000 + 2 * i], texts[1001 + 2 * i] = own, edited(own, i, 12)
+    got, want = linked(spark, texts)
+    assert len(texts) > 350 and got == want
+
+
 def leak_case():
     items = [(i, prose(100 + i, n)) for i, n in enumerate([14, 20, 25, 33, 40, 59, 5, 1])] + [(90, ""), (91, None), (92, prose(101, 20))]
     rng, rows, k = random.Random(2), [], 0
