@@ -171,7 +171,7 @@ def near_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], l
     if known is None:
         return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
     links = known.where("near").select("a", "b")
-    if sketches and pivots:
+    if pivots:
         told = pivots[0]
         for more in pivots[1:]:
             told = told.union(more)

@@ -136,6 +136,18 @@ def test_large_groups_lose_no_link(spark):
     assert len(texts) > 350 and got == want
 
 
+def test_paragraph_links_cross_a_pivot(spark):
+    """Copies of a paragraph, near the original but not each other, the least of them the pivot."""
+    words = words_of(prose(1, WORDS))
+    texts = {9: " ".join(words)}
+    for i in range(6):
+        copy = list(words)
+        copy[3 * i:3 * i + 3] = [f"new{i}{j}" for j in range(3)]
+        texts[i if i < 3 else 10 + i] = " ".join(copy)
+    got, want = linked(spark, texts, sketches=False)
+    assert len(set(want.values())) == 1 and got == want
+
+
 def leak_case():
     items = [(i, prose(100 + i, n)) for i, n in enumerate([14, 20, 25, 33, 40, 59, 5, 1])] + [(90, ""), (91, None), (92, prose(101, 20))]
     rng, rows, k = random.Random(2), [], 0
