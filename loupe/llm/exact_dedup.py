@@ -34,8 +34,12 @@ LEAST = 64
 #: A micro-batch ends, and state is stored, after about so many bytes of files.
 BATCH_BYTES = 1 << 40
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lies in RocksDB, which is not to reserve megabytes of disk for the
+#: logs of each of many small stores.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,12 +66,14 @@ def located(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Col
 
 @contextmanager
 def _on_disk(spark: SparkSession):
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
     try:
+        for k, v in _STORE.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def arrivals(spark: SparkSession, path: str, **options) -> DataFrame:
