@@ -85,8 +85,13 @@ INGREDIENT_CAP_CHARS = 2000
 INGREDIENT_MIN_CHARS = 20
 
 # Review-card patterns.
-CARD_CLASS_ORDER = [r"reviewCard", r"(?i)reviewCard", r"(?i)review.*item|item.*review",
-                    r"(?i)review|comment|후기|리뷰"]
+CARD_TAGS = ["div", "li", "article", "section", "tr"]
+CARD_TEXT_TAGS = ["div", "li", "article"]
+# tried in this order: the class CARD_CLASS itself, a class that holds it, the
+# CARD_CLASS_PATTERNS (case-insensitive), a class with one of CARD_KEYWORDS, an
+# attribute data-review, an id of CARD_ID_PATTERN, text of the fallback patterns
+CARD_CLASS = "reviewCard"
+CARD_CLASS_PATTERNS = ["reviewCard", "review.*item|item.*review", "review|comment|후기|리뷰"]
 CARD_EXCLUDE_CLASS = "reviewArea"
 CARD_FALLBACK_PATTERN = r"\w+\*+|\d+대|여성|남성|지성|건성|수분"
 CARD_FALLBACK_HINT = r"지속력|촉촉|유분|향|각질"
@@ -117,6 +122,8 @@ LOGO_ALT_PATTERN = "로고|brand"
 CLASS_DISCOUNT = "priceBox__rate|discountRate|discount.*rate"
 CLASS_PRICE = "priceBox__price|currentPrice|salePrice"
 CLASS_STRIKE = "strike|del|original|old"
+STRUCK_CLASSES = ["original", "old", "strike"]
+CLASS_SECTION = "dSection|section"
 CLASS_PAGE_RATING = "star|rating|score"
 CLASS_BRAND_NAME = "brand.*name|brand.*title"
 CARD_ID_PATTERN = "review|comment|리뷰|후기"

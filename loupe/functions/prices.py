@@ -25,21 +25,6 @@ def parse_number(c: Column) -> Column:
     return F.regexp_replace(c, r"[,원\s]", "").try_cast("long")
 
 
-def discount_pct(text: Column) -> Column:
-    """first '(\\d+)%' as INT."""
-    return F.nullif(F.regexp_extract(text, r"(\d+)%", 1), F.lit("")).try_cast("int")
-
-
-def price_won(text: Column) -> Column:
-    """first 'N,NNN원' as LONG."""
-    return parse_number(F.nullif(F.regexp_extract(text, "(" + NUM + ")원", 1), F.lit("")))
-
-
-def paren_count(text: Column) -> Column:
-    """first '(N,NNN)' as LONG."""
-    return parse_number(F.nullif(F.regexp_extract(text, r"\((" + NUM + r")\)", 1), F.lit("")))
-
-
 def parse_listing(text: Column) -> Column:
     """F1-F7 in one pass: struct(discount INT, sale_price LONG, name STRING,
     rating STRING, review_count LONG).  The price next to '%' is the sale

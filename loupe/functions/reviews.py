@@ -119,26 +119,44 @@ def notes_from_pairs(dts: Column, dds: Column, k: int = 3) -> Column:
                               lambda a, b: F.concat(a, F.lit(": "), b)), 1, k)
 
 
-def notes_from_dictionary(body: Column, all_text: Column, dictionary=None,
+def feature_map(dts, dds) -> Column:
+    """All notes as label -> value; the first of a label that
+    comes twice."""
+    empty = F.array().cast("array<string>")
+    dts, dds = F.coalesce(F.col(dts), empty), F.coalesce(F.col(dds), empty)
+    n = F.least(F.size(dts), F.size(dds))
+    pairs = F.zip_with(F.slice(dts, 1, n), F.slice(dds, 1, n), lambda a, b: F.struct(a.alias("key"), b.alias("value")))
+    first = F.filter(pairs, lambda p, i: F.array_position(F.slice(dts, 1, n), p["key"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+def notes_from_dictionary(body: str, all_text: str, dictionary=None,
                           k: int = 3, max_chars: int = C.NOTE_MAX_CHARS) -> Column:
-    """per label, the first pattern present (case-sensitive) in the
+    """F25 of two columns, given by name: per label, the first pattern present (case-sensitive) in the
     body or the card text whose case-insensitive search in the body (or the
     card text when the body is empty) succeeds; note = match to end of line,
-    stripped, 50 chars.  First three labels with a note."""
+    stripped, 50 chars.  A note that an earlier label has already does not
+    count (the label's next pattern does); first three labels with a note."""
     d = dictionary if dictionary is not None else C.NOTE_DICTIONARY
-    body = F.coalesce(body, F.lit(""))
-    all_text = F.coalesce(all_text, F.lit(""))
-    search_in = F.when(body != "", body).otherwise(all_text)
-    per_label = []
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    labels = []
     for label, pats in d:
         # a pattern counts when present (case-sensitive) and found by the
         # case-insensitive search; the regex runs only for present patterns
-        hit = F.coalesce(*[
-            F.nullif(F.when(body.contains(p) | all_text.contains(p),
-                            F.regexp_extract(search_in, "(?i)\\Q" + p + "\\E[^\\n]*", 0)),
-                     F.lit("")) for p in pats])
-        per_label.append(F.concat(F.lit(label + ": "), F.substring(strip_ws(hit), 1, max_chars)))
-    return F.slice(F.array_compact(F.array(*per_label)), 1, k)
+        found = [f"IF(contains(s.body, {quoted(p)}) OR contains(s.all, {quoted(p)}), "
+                 + quoted("(?i)\\Q" + p + "\\E[^\\n]*") + ", NULL)" for p in pats]
+        labels.append(f"struct({quoted(label)} AS label, array_compact(array({', '.join(found)})) AS patterns)")
+    # label by label, the first note that none before has
+    note = (f"substring(trim(BOTH {quoted(C.PY_WHITESPACE)} FROM regexp_extract(s.in, p, 0)), 1, {max_chars})")
+    fresh = f"get(filter(transform(x.patterns, p -> {note}), n -> n <> '' AND NOT array_contains(acc.notes, n)), 0)"
+    step = ("get(transform(array(" + fresh + "), n -> IF(n IS NULL, acc, struct(concat(acc.notes, array(n)) AS notes, "
+            "concat(acc.lines, array(concat(x.label, ': ', n))) AS lines))), 0)")
+    none = "cast(array() AS array<string>)"
+    lines = (f"aggregate(filter(array({', '.join(labels)}), l -> size(l.patterns) > 0), struct({none} AS notes, {none} AS lines), "
+             f"(acc, x) -> {step}, acc -> slice(acc.lines, 1, {k}))")
+    body, all_text = f"coalesce({body}, '')", f"coalesce({all_text}, '')"
+    source = f"struct({body} AS body, {all_text} AS all, IF({body} <> '', {body}, {all_text}) AS in)"
+    return F.expr(f"get(transform(array({source}), s -> {lines}), 0)")
 
 
 def text_cap(text: Column, cap: int = C.TEXT_CAP_CHARS, min_len: int = C.TEXT_MIN_CHARS) -> Column:

@@ -1,449 +1,323 @@
 """E0 — page facts: the one Python (Arrow) stage.
 
-Each page's HTML is parsed once, inside ``mapInPandas`` (Arrow batches, one
-Python worker per task), with the standard-library ``HTMLParser``; the
-result is a flat struct of facts — title, h1, links, meta tags, data
-attributes, script text, visible text, dt/dd and th/td pairs, headings with
-their following blocks, struck-through text, first text per class probe,
-breadcrumb, logo alt, and review cards.  Every extraction rule after this
-(regexes, cascades, dedup, joins) is Column code over these facts.
-
-Only ``(key columns, html)`` cross into Python; the facts come back as
-Arrow.  Pages are independent, so the stage scales with the number of
-tasks; nothing is collected.
+Each page's HTML is read once, inside ``mapInArrow``, with the
+standard-library ``HTMLParser``, and comes back as a flat table of nodes: one
+struct an element, in document order.  An element's place in that order
+(``at``) and the place of its last descendant (``last``) say what is inside
+what; ``parent``, ``next`` (the next sibling element) and ``turn`` (the next
+sibling with another tag) are places as well.  ``t0`` and ``t1`` bound the
+element's visible text in the page's array of text nodes.  Python chooses
+nothing: every rule (which heading, which price, what is a review card) is
+Column code over these numbers (``operators.nodes``, ``operators.extract``).
+
+Only ``(key columns, html)`` cross into Python.  Pages are independent, so the
+stage scales with the number of tasks; nothing is collected.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .. import config as C
 
-_S = T.StringType()
-_ARR_S = T.ArrayType(_S)
-
-CARD = T.StructType([
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("cls", _S),
-    T.StructField("text", _S),          # get_text('\n', strip=True)
-    T.StructField("user", _S),
-    T.StructField("user_desc", _S),
-    T.StructField("star_class", _S),
-    T.StructField("star_icons_wrap", T.IntegerType()),
-    T.StructField("star_icons", T.IntegerType()),
-    T.StructField("rating_text", _S),
-    T.StructField("body", _S),
-    T.StructField("note_dt", _ARR_S),
-    T.StructField("note_dd", _ARR_S),
-    T.StructField("sample", _S),        # first 1,000 chars of the card's HTML
-    T.StructField("data", T.MapType(_S, _S)),  # the card's own data-* attributes
-])
+_S, _I = T.StringType(), T.IntegerType()
+
+NODE = T.StructType(
+    [T.StructField(c, _I) for c in ("at", "last", "parent", "next", "turn", "t0", "t1", "r0", "r1", "b0", "b1")]
+    + [T.StructField("tag", _S), T.StructField("cls", _S), T.StructField("own", _S),
+       T.StructField("attrs", T.MapType(_S, _S))])
 
 FACTS = T.StructType([
-    T.StructField("title", _S),
-    T.StructField("h1", _S),
-    T.StructField("links", T.ArrayType(T.StructType([T.StructField("href", _S),
-                                                     T.StructField("text", _S)]))),
-    T.StructField("meta", T.ArrayType(T.StructType([T.StructField("name", _S),
-                                                    T.StructField("property", _S),
-                                                    T.StructField("content", _S)]))),
-    T.StructField("data_attrs", T.MapType(_S, _S)),
-    T.StructField("scripts", _S),
-    T.StructField("text", _S),
-    T.StructField("dl", T.ArrayType(T.StructType([T.StructField("dt", _S),
-                                                  T.StructField("dd", _S)]))),
-    T.StructField("th_td", T.ArrayType(T.StructType([T.StructField("th", _S),
-                                                     T.StructField("td", _S)]))),
-    T.StructField("headings", T.ArrayType(T.StructType([
-        T.StructField("tag", _S), T.StructField("text", _S), T.StructField("next_text", _S),
-        T.StructField("parent_next_text", _S), T.StructField("parent_later", _ARR_S),
-        T.StructField("parent_text", _S)]))),
-    T.StructField("strike", _S),
-    T.StructField("probes", T.MapType(_S, _S)),
-    T.StructField("breadcrumb", _ARR_S),
-    T.StructField("logo_alt", _S),
-    T.StructField("card_rule", _S),
-    T.StructField("cards", T.ArrayType(CARD)),
+    T.StructField("nodes", T.ArrayType(NODE)),
+    T.StructField("texts", T.ArrayType(_S)),   # visible text nodes, stripped, without empty ones
+    T.StructField("raw", T.ArrayType(_S)),     # the same unstripped, and
+    T.StructField("html", T.BinaryType()),     # the page itself: only where cards are asked for
+    T.StructField("error", _S),                # what ended the parsing early, if anything did
 ])
 
-# Class probes: name -> case-insensitive pattern; facts.probes[name] is the
-# text of the first element whose class matches.
-DEFAULT_PROBES = {
-    "rate": C.CLASS_DISCOUNT,
-    "price": C.CLASS_PRICE,
-    "strike_class": C.CLASS_STRIKE,
-    "rating": C.CLASS_PAGE_RATING,
-    "brand_name": C.CLASS_BRAND_NAME,
-}
-
-FACTS_SLICE = 256   # pages per yielded output frame
-
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-         "param", "source", "track", "wbr"}
-_HIDDEN = {"script", "style", "template", "noscript"}
-_CARD_TAGS = {"div", "li", "article", "section", "tr"}
-
-
-class _Node:
-    """An element; ``place`` is its index among its parent's children.
-    Walks keep their own stack, so markup may nest to any depth."""
-
-    __slots__ = ("tag", "attrs", "children", "parent", "place")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
-        self.place = 0
-
-    def add(self, child):
-        child.place = len(self.children)
-        self.children.append(child)
-
-    # -- text
-    def strings(self):
-        stack = [iter(self.children)]
-        while stack:
-            c = next(stack[-1], None)
-            if c is None:
-                stack.pop()
-            elif isinstance(c, str):
-                yield c
-            elif c.tag not in _HIDDEN:
-                stack.append(iter(c.children))
-
-    def text(self, sep="", strip=True):
-        if strip:
-            return sep.join(s.strip() for s in self.strings() if s.strip())
-        return sep.join(self.strings())
-
-    def cls(self):
-        return self.attrs.get("class") or ""
-
-    def elements(self):
-        stack = [iter(self.children)]
-        while stack:
-            c = next(stack[-1], None)
-            if c is None:
-                stack.pop()
-            elif not isinstance(c, str):
-                yield c
-                stack.append(iter(c.children))
-
-    def find(self, pred):
-        return next((e for e in self.elements() if pred(e)), None)
-
-    def next_element_sibling(self, tag=None):
-        if self.parent is None:
-            return None
-        return next(self.later_siblings(tag), None)
-
-    def later_siblings(self, tag=None):
-        sib = self.parent.children if self.parent is not None else []
-        for i in range(self.place + 1, len(sib)):
-            if not isinstance(sib[i], str) and (tag is None or sib[i].tag == tag):
-                yield sib[i]
-
-    def html(self, limit):
-        out, n, todo = [], 0, [self]
-        while todo and n <= limit:
-            e = todo.pop()
-            if isinstance(e, str):
-                out.append(e)
-            else:
-                a = "".join(f' {k}="{v}"' if v is not None else f" {k}" for k, v in e.attrs.items())
-                out.append(f"<{e.tag}{a}>")
-                if e.tag not in _VOID:
-                    todo.append(f"</{e.tag}>")
-                todo.extend(reversed(e.children))
-            n += len(out[-1])
-        return "".join(out)[:limit]
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", {}, None)
-        self.cur = self.root
+#: A frame of results ends after so many pages or bytes of HTML.
+FACTS_SLICE, FACTS_BYTES = 256, 8 << 20
 
-    def handle_starttag(self, tag, attrs):
-        n = _Node(tag, dict(attrs), self.cur)
-        self.cur.add(n)
-        if tag not in _VOID:
-            self.cur = n
+_VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
+                   "param", "source", "track", "wbr"})
+_HIDDEN = frozenset({"script", "style", "template", "noscript"})
 
-    def handle_startendtag(self, tag, attrs):
-        self.cur.add(_Node(tag, dict(attrs), self.cur))
-
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
-
-    def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def parse(html: str) -> _Node:
-    t = _Tree()
-    try:
-        t.feed(html or "")
-        t.close()
-    except Exception:  # malformed markup: keep what was parsed
-        pass
-    return t.root
-
-
-def _rx(p):
-    return re.compile(p, re.I)
-
-
-_RX_CARD = re.compile(C.CARD_CLASS_ORDER[1])
-_RX_ITEM = re.compile(C.CARD_CLASS_ORDER[2])
-_RX_REVIEW = re.compile(C.CARD_CLASS_ORDER[3])
-_RX_ID = _rx(C.CARD_ID_PATTERN)
-
-_CARD_RULES = [
-    ("class=reviewCard", lambda e: C.CARD_CLASS_ORDER[0] in e.cls().split()),
-    ("class~reviewCard", lambda e: C.CARD_CLASS_ORDER[0] in e.cls()),
-    ("class~/reviewCard/i", lambda e: _RX_CARD.search(e.cls()) is not None),
-    ("class~/review.*item/i", lambda e: _RX_ITEM.search(e.cls()) is not None),
-    ("class~/review/i", lambda e: _RX_REVIEW.search(e.cls()) is not None),
-    ("class~review-kw", lambda e: any(k in e.cls().lower() for k in C.CARD_KEYWORDS)),
-    ("data-review", lambda e: "data-review" in e.attrs),
-    ("id~/review/i", lambda e: _RX_ID.search(e.attrs.get("id") or "") is not None),
-]
-# only whether it matches is asked, so a run needs one character: with the
-# repeats a page of one long word would take quadratic time
-_FALLBACK = re.compile(C.CARD_FALLBACK_PATTERN.replace(r"\w+\*+", r"\w\*").replace(r"\d+", r"\d"))
-_FALLBACK_HINT = re.compile(C.CARD_FALLBACK_HINT)
-
-
-def _find_cards(els):
-    cand = [e for e in els if e.tag in _CARD_TAGS]
-    for name, rule in _CARD_RULES:
-        hits = [e for e in cand if rule(e) and C.CARD_EXCLUDE_CLASS not in e.cls()]
-        if hits:
-            return name, hits
-    hits = []
-    for e in cand:
-        if e.tag not in ("div", "li", "article"):
-            continue
-        t = e.text(strip=False)
-        if len(t) > 50 and _FALLBACK.search(t) and (len(t) > 100 or _FALLBACK_HINT.search(t)):
-            hits.append(e)
-    return ("text-pattern" if hits else None), hits
-
-
-_USER = [_rx(C.CLASS_USER_TITLE), _rx(C.CLASS_USER_FALLBACK)]
-_DESC = [_rx(C.CLASS_USER_DESC), _rx(C.CLASS_USER_DESC_FALLBACK)]
-_STAR_WRAP = _rx(C.CLASS_STAR_WRAP)
-_STAR_ICON = _rx(C.CLASS_STAR_ICON)
-_RATING_EL = _rx(C.CLASS_RATING_ELEMENT)
-_BODY_CLS = _rx(C.CLASS_REVIEW_BODY)
-_PRD_STYLE = _rx(C.CLASS_REVIEW_NOTES)
-
-
-def _first_text(card, patterns, span_first=True):
-    for p in patterns:
-        if span_first:
-            e = card.find(lambda x: x.tag == "span" and p.search(x.cls()))
-            if e is not None:
-                return e.text()
-        e = card.find(lambda x: p.search(x.cls()))
-        if e is not None:
-            return e.text()
-    return None
-
-
-def _card(card, pos):
-    wrap = card.find(lambda x: x.tag == "div" and _STAR_WRAP.search(x.cls()))
-    icons_wrap = None
-    if wrap is not None:
-        icons_wrap = sum(1 for x in wrap.elements() if x.tag == "i" and _STAR_ICON.search(x.cls()))
-    icons = sum(1 for x in card.elements() if x.tag == "i" and _STAR_ICON.search(x.cls()))
-    rel = card.find(lambda x: _RATING_EL.search(x.cls()))
-    body = (card.find(lambda x: x.tag == "p" and "txt" in x.cls().split())
-            or card.find(lambda x: x.tag == "p" and "txt" in x.cls())
-            or card.find(lambda x: x.tag == "div" and "txt" in x.cls().split())
-            or card.find(lambda x: x.tag in ("p", "div") and _BODY_CLS.search(x.cls())))
-    style = card.find(lambda x: x.tag == "div" and _PRD_STYLE.search(x.cls()))
-    dts = [x.text() for x in style.elements() if x.tag == "dt"] if style is not None else []
-    dds = [x.text() for x in style.elements() if x.tag == "dd"] if style is not None else []
-    return {
-        "pos": pos, "cls": card.cls(), "text": card.text("\n"),
-        "user": _first_text(card, _USER[:1]) or _first_text(card, _USER[1:], span_first=False),
-        "user_desc": _first_text(card, _DESC[:1]) or _first_text(card, _DESC[1:], span_first=False),
-        "star_class": wrap.cls() if wrap is not None else None,
-        "star_icons_wrap": icons_wrap, "star_icons": icons,
-        "rating_text": rel.text() if rel is not None else None,
-        "body": body.text() if body is not None else None,
-        "note_dt": dts, "note_dd": dds,
-        "sample": card.html(C.TEXT_CAP_CHARS),
-        "data": {k: (v or "") for k, v in card.attrs.items() if k.startswith("data-")},
-    }
-
-
-ALL_FACTS = frozenset(f.name for f in FACTS.fields)
-
-
-def _first(els, tag):
-    return next((e for e in els if e.tag == tag), None)
-
-
-def _text_or_none(e, sep=""):
-    return e.text(sep) if e is not None else None
-
-
-def _data_attrs(els):
-    out = {}
-    for e in els:
-        for k, v in e.attrs.items():
-            if k.startswith("data-") and k not in out:
-                out[k] = v if v is not None else ""
-    return out
-
-
-def _dl(els):
-    out = []
-    for e in els:
-        if e.tag == "dt":
-            dd = e.next_element_sibling("dd")
-            out.append({"dt": e.text(), "dd": _text_or_none(dd, "\n")})
-    return out
+# Markup that every parser reads alike: tags with well-formed attributes,
+# comments without "--" inside, a doctype.
+_PLAIN = re.compile(
+    r"""<(?:([a-zA-Z][a-zA-Z0-9:-]*)((?:\s++[^\s"'<>/=&]++(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`/]+(?=[\s>])))?)*)\s*(/?)>"""
+    r"""|/([a-zA-Z][a-zA-Z0-9:-]*)\s*>|!--(?:(?!--)[^>])*-->|![dD][oO][cC][tT][yY][pP][eE][^<>]*>)""")
+_ATTR = re.compile(r"""([^\s"'<>/=&]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>=`/]+))?""")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style")}
 
 
-def _th_td(els):
-    out = []
-    for e in els:
-        if e.tag == "tr":
-            th = e.find(lambda x: x.tag == "th")
-            td = e.find(lambda x: x.tag == "td")
-            if th is not None and td is not None:
-                out.append({"th": th.text(), "td": td.text("\n")})
+def _attributes(written: str) -> dict:
+    out = {}
+    for name, value in _ATTR.findall(written):
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        elif not value:
+            value = None
+        out[name.lower()] = unescape(value) if value and "&" in value else value
     return out
 
 
-def _headings(els):
-    """Headings with the blocks after them.  What stands around a heading
-    (its parent's text and later siblings) is only kept for the first h4 that
-    names the ingredients: the one rule that reads it (E12) stops there."""
-    out, named = [], False
-    for e in els:
-        if e.tag in ("h2", "h3", "h4"):
-            text = e.text()
-            row = {"tag": e.tag, "text": text,
-                   "next_text": _text_or_none(e.next_element_sibling(), "\n"),
-                   "parent_next_text": _text_or_none(e.parent.next_element_sibling(), "\n")}
-            if not named and e.tag == "h4" and all(w in text for w in C.INGREDIENT_HEADING_WORDS):
-                named = True
-                row["parent_later"] = [s.text(" ") for s in e.parent.later_siblings()]
-                row["parent_text"] = e.parent.text(" ")
-            out.append(row)
-    return out
-
+class Nodes:
+    """A page's elements as columns: one entry an element in each list.
+    Markup may nest to any depth.  ``spans``: note where in the page each
+    element stands."""
+
+    def __init__(self, html: str, spans: bool):
+        self.html, self.spans, self.error = html, spans, None
+        self._reset()
+        if not self._plain():
+            self._reset()
+            self._lenient()
+        self._text()
+        while self._open:
+            self._shut(len(html))
+
+    def _reset(self):
+        self.tag, self.attrs, self.parent, self.last, self.own = [], [], [], [], {}
+        self.r0, self.r1, self.b0, self.b1, self.raw = [], [], [], [], []
+        self._open, self._count, self._data, self._hidden = [], {}, [], 0
+
+    # -- the tree
+    def start(self, tag: str, attrs: dict | None, place: int, end: int, closed: bool):
+        if self._data:
+            self._text()
+        at, n = len(self.tag), len(self.raw)
+        self.tag.append(tag)
+        self.attrs.append(attrs)
+        self.parent.append(self._open[-1] if self._open else -1)
+        self.last.append(at)
+        self.r0.append(n)
+        self.r1.append(n)
+        if self.spans:
+            self.b0.append(place)
+            self.b1.append(end)
+        if not closed and tag not in _VOID:
+            self._open.append(at)
+            self._count[tag] = self._count.get(tag, 0) + 1
+            if tag in _HIDDEN:
+                self._hidden += 1
+
+    def end(self, tag: str, place: int, end: int):
+        if self._data:
+            self._text()
+        if self._count.get(tag):
+            while self.tag[self._open[-1]] != tag:
+                self._shut(place)
+            self._shut(end)
+
+    def _shut(self, place: int):
+        at = self._open.pop()
+        tag = self.tag[at]
+        self._count[tag] -= 1
+        if tag in _HIDDEN:
+            self._hidden -= 1
+        self.last[at], self.r1[at] = len(self.tag) - 1, len(self.raw)
+        if self.spans:
+            self.b1[at] = place
+
+    def data(self, said: str):
+        self._data.append(said)
+
+    def _text(self):
+        """What was read since the last tag is one text node."""
+        said = "".join(self._data)
+        self._data.clear()
+        if not self._hidden:
+            if said:
+                self.raw.append(said)
+        elif self.tag[self._open[-1]] in _HIDDEN:
+            self.own[self._open[-1]] = self.own.get(self._open[-1], "") + said
+
+    # -- reading
+    def _plain(self) -> bool:
+        """The page, if all its markup is of the plain kind; False at the first
+        that is not."""
+        html, at, n = self.html, 0, len(self.html)
+        find, match = html.find, _PLAIN.match
+        while at < n:
+            lt = find("<", at)
+            if lt < 0:
+                lt = n
+            if lt > at:
+                said = html[at:lt]
+                self._data.append(unescape(said) if "&" in said else said)
+            if lt == n:
+                return True
+            m = match(html, lt)
+            if m is None:
+                return False
+            at = m.end()
+            tag, attrs, closed, ended = m.groups()
+            if tag:
+                tag = tag.lower()
+                self.start(tag, _attributes(attrs) if attrs else None, lt, at, bool(closed))
+                if tag in _ENDS and not closed:
+                    close = _ENDS[tag].search(html, at)
+                    if close is None:
+                        return False
+                    if close.start() > at:
+                        self._data.append(html[at:close.start()])
+                    self.end(tag, close.start(), close.end())
+                    at = close.end()
+            elif ended:
+                self.end(ended.lower(), lt, at)
+            else:  # a comment or doctype
+                self._text()
+        return True
+
+    def _lenient(self):
+        """The page as the standard library's parser reads it."""
+        parser = _Lenient(self)
+        try:
+            parser.feed(self.html)
+            parser.close()
+        except Exception as e:  # what was read so far is kept, with the reason
+            self.error = f"{type(e).__name__}: {e}"[:200]
+
+    def samples(self) -> tuple[list[int], list[int]]:
+        """Bytes of the page at which each element's sample (its first
+        ``TEXT_CAP_CHARS`` characters) begins and ends."""
+        ends = [min(b, a + C.TEXT_CAP_CHARS) for a, b in zip(self.b0, self.b1)]
+        if self.html.isascii():
+            return self.b0, ends
+        point = np.frombuffer(self.html.encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = np.concatenate([[0], np.cumsum(1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF))])
+        return width[self.b0].tolist(), width[ends].tolist()
+
+
+class _Lenient(HTMLParser):
+    def __init__(self, nodes: Nodes):
+        super().__init__(convert_charrefs=True)
+        self.nodes = nodes
+        self.handle_data = nodes.data
+        self._lines = [0, *accumulate(len(x) + 1 for x in nodes.html.split("\n"))] if nodes.spans else None
 
-def _strike(els):
-    e = next((e for e in els if e.tag in ("s", "strike", "del")), None) or next(
-        (e for e in els if "line-through" in (e.attrs.get("style") or "")), None)
-    return _text_or_none(e)
+    def _place(self) -> int:
+        """Where in the page the parser stands."""
+        if self._lines is None:
+            return 0
+        line, column = self.getpos()
+        return self._lines[line - 1] + column
 
+    def _start(self, tag, attrs, closed):
+        place = self._place()
+        self.nodes.start(tag, dict(attrs) or None, place, place + len(self.get_starttag_text() or ""), closed)
 
-def _probes(els, probes):
-    classed = [e for e in els if e.attrs.get("class")]
-    out = {}
-    for name, pat in probes.items():
-        rx = _rx(pat)
-        e = next((x for x in classed if rx.search(x.attrs["class"])), None)
-        if e is not None:
-            out[name] = e.text()
-    return out
+    def handle_starttag(self, tag, attrs):
+        self._start(tag, attrs, False)
 
+    def handle_startendtag(self, tag, attrs):
+        self._start(tag, attrs, True)
 
-def _breadcrumb(els):
-    rx = _rx(C.CLASS_BREADCRUMB)
-    bc = next((e for e in els if e.attrs.get("class") and rx.search(e.attrs["class"])), None)
-    if bc is None:
-        return None
-    return [t for t in (a.text() for a in bc.elements() if a.tag == "a") if t]
-
-
-def _logo_alt(els):
-    rx = _rx(C.LOGO_ALT_PATTERN)
-    e = next((e for e in els if e.tag == "img" and rx.search(e.attrs.get("alt") or "")), None)
-    return e.attrs.get("alt") if e is not None else None
-
-
-# fact name -> rule over (root, element list, probes); computed only on demand
-_FACT_RULES = {
-    "title": lambda r, els, p: _text_or_none(_first(els, "title")),
-    "h1": lambda r, els, p: _text_or_none(_first(els, "h1")),
-    "links": lambda r, els, p: [{"href": e.attrs.get("href") or "", "text": e.text()}
-                                for e in els if e.tag == "a"],
-    "meta": lambda r, els, p: [{"name": e.attrs.get("name"), "property": e.attrs.get("property"),
-                                "content": e.attrs.get("content")}
-                               for e in els if e.tag == "meta"],
-    "data_attrs": lambda r, els, p: _data_attrs(els),
-    "scripts": lambda r, els, p: "\n".join("".join(c for c in e.children if isinstance(c, str))
-                                           for e in els if e.tag == "script"),
-    "text": lambda r, els, p: r.text("\n"),
-    "dl": lambda r, els, p: _dl(els),
-    "th_td": lambda r, els, p: _th_td(els),
-    "headings": lambda r, els, p: _headings(els),
-    "strike": lambda r, els, p: _strike(els),
-    "probes": lambda r, els, p: _probes(els, p),
-    "breadcrumb": lambda r, els, p: _breadcrumb(els),
-    "logo_alt": lambda r, els, p: _logo_alt(els),
-}
-
-
-def extract_facts(html: str, probes: dict | None = None, want=None) -> dict:
-    """Facts of one page; ``want`` (a set of FACTS field names) limits the
-    work to the facts a job reads, the others stay NULL."""
-    root = parse(html)
-    probes = probes if probes is not None else DEFAULT_PROBES
-    els = list(root.elements())
-    want = ALL_FACTS if want is None else frozenset(want)
-    out = {k: rule(root, els, probes) for k, rule in _FACT_RULES.items() if k in want}
-    if "cards" in want or "card_rule" in want:
-        rule, cards = _find_cards(els)
-        out["card_rule"] = rule
-        out["cards"] = [_card(c, i) for i, c in enumerate(cards)]
-    return out
+    def handle_endtag(self, tag):
+        place = self._place()
+        end = self.nodes.html.find(">", place) + 1 if self._lines else 0
+        self.nodes.end(tag, place, end or len(self.nodes.html))
+
+    def handle_comment(self, data):
+        self.nodes._text()
+
+    handle_decl = handle_comment
+
+
+def _offsets(lengths) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]) if len(lengths) else [0], pa.int32())
+
+
+def siblings(parent: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each element the place of its next sibling, and of the next one
+    with another tag; -1: none.  ``parent`` tells all parents apart."""
+    order = np.argsort(parent, kind="stable")
+    p, t, n = parent[order], tag[order], len(parent)
+    following, turn = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    if n:
+        same = np.flatnonzero(p[1:] == p[:-1])
+        following[order[same]] = at[order[same + 1]]
+        bounds = np.append(np.flatnonzero((p[1:] != p[:-1]) | (t[1:] != t[:-1])) + 1, n)
+        after = bounds[np.searchsorted(bounds, np.arange(n), "right")]
+        inside = np.flatnonzero(after < n)
+        inside = inside[p[after[inside]] == p[inside]]
+        turn[order[inside]] = at[order[after[inside]]]
+    return following, turn
+
+
+def _arrow(pages: list[Nodes], cards: bool) -> pa.StructArray:
+    """The pages' nodes as one Arrow column, without a Python object a node."""
+    sizes = np.array([len(p.tag) for p in pages], np.int64)
+    base = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(pages)), sizes)
+    join = lambda name: np.array([x for p in pages for x in getattr(p, name)], np.int64)
+    tags = [x for p in pages for x in p.tag]
+    at, parent, r0, r1 = np.arange(len(tags)) - base[of], join("parent"), join("r0"), join("r1")
+    codes: dict[str, int] = {}
+    code = np.array([codes.setdefault(t, len(codes)) for t in tags], np.int64)
+    following, turn = siblings(np.where(parent < 0, -1 - of, parent + base[of]), code, at)
+    # of the text nodes, those that are not empty once stripped
+    stripped = [s.strip() for p in pages for s in p.raw]
+    raws = np.array([len(p.raw) for p in pages], np.int64)
+    first = np.cumsum(raws) - raws
+    before = np.concatenate([[0], np.cumsum([bool(s) for s in stripped])]).astype(np.int64)
+    t0, t1 = (before[r + first[of]] - before[first[of]] for r in (r0, r1))
+    if cards:
+        spans = [p.samples() for p in pages]
+        b0, b1 = (np.array([x for s in spans for x in s[i]], np.int64) for i in (0, 1))
+    else:
+        b0 = b1 = np.zeros(len(tags), np.int64)
+    whole = {"at": at, "last": join("last"), "parent": parent, "next": following, "turn": turn, "t0": t0, "t1": t1, "r0": r0, "r1": r1, "b0": b0, "b1": b1}
+    columns = [pa.array(whole[f.name].astype(np.int32), mask=(whole[f.name] < 0) if f.name in ("next", "turn") else None)
+               for f in NODE.fields if f.dataType == _I]
+    attrs = [a or {} for p in pages for a in p.attrs]
+    own = [p.own.get(i) for p in pages for i in range(len(p.tag))] if any(p.own for p in pages) else pa.nulls(len(tags), pa.string())
+    pairs = pa.MapArray.from_arrays(_offsets([len(a) for a in attrs]), pa.array([k for a in attrs for k in a], pa.string()),
+                                    pa.array([v for a in attrs for v in a.values()], pa.string()))
+    columns += [pa.array(tags, pa.string()), pa.array([a.get("class") or "" for a in attrs], pa.string()),
+                own if isinstance(own, pa.Array) else pa.array(own, pa.string()), pairs]
+    nodes = pa.ListArray.from_arrays(_offsets(sizes), pa.StructArray.from_arrays(columns, [f.name for f in NODE.fields]))
+    said = before[np.append(first, len(stripped))]
+    texts = pa.ListArray.from_arrays(pa.array(said, pa.int32()), pa.array([s for s in stripped if s], pa.string()))
+    raw = pa.array([p.raw if cards else None for p in pages], pa.list_(pa.string()))
+    html = pa.array([p.html.encode("utf-8", "replace") if cards else None for p in pages], pa.binary())
+    return pa.StructArray.from_arrays([nodes, texts, raw, html, pa.array([p.error for p in pages], pa.string())], [f.name for f in FACTS.fields])
 
 
 def page_facts(pages: DataFrame, *, html: str = "html", keys: list | None = None,
-               probes: dict | None = None, passthrough: list | None = None,
-               want=None) -> DataFrame:
+               passthrough: list | None = None, cards: bool = False) -> DataFrame:
     """(keys..., html) -> (keys..., passthrough..., facts).  Only the key
     columns and the HTML are shipped to Python; ``passthrough`` columns
     (e.g. url, or features computed from the raw HTML in the JVM before this
-    stage) ride along unchanged, so no join back to the pages is needed."""
+    stage) ride along unchanged, so no join back to the pages is needed.
+    ``cards``: bring what only the rules for review cards read."""
     keys = list(keys or ["page_id"])
     carry = keys + [c for c in (passthrough or []) if c not in keys]
     src = pages.select(*carry, html)
     out_schema = T.StructType([src.schema[k] for k in carry] + [T.StructField("facts", FACTS)])
-    pr = dict(probes) if probes is not None else None
-    wanted = frozenset(want) if want is not None else None
-
-    def run(batches):
-        # emit in slices so the facts of one Arrow batch of large pages never
-        # sit in memory at once
-        for b in batches:
-            for lo in range(0, len(b), FACTS_SLICE):
-                part = b.iloc[lo:lo + FACTS_SLICE]
-                out = part[carry].copy()
-                out["facts"] = [extract_facts(h, pr, wanted) for h in part[html]]
-                yield out
-
-    return src.mapInPandas(run, out_schema)
-
 
-def facts_frame(rows: list[dict]) -> pd.DataFrame:
-    """Test helper: facts for literal HTML strings, without Spark."""
-    return pd.DataFrame([extract_facts(r) for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # results leave in slices, so the nodes of one Arrow batch of large
+        # pages never sit in memory at once
+        for batch in batches:
+            column, done, size = batch.column(len(carry)), [], 0
+            for i in range(batch.num_rows):
+                text = column[i].as_py()
+                done.append(Nodes(text or "", cards))
+                size += len(text or "")
+                if len(done) == FACTS_SLICE or size >= FACTS_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(i + 1 - len(done), len(done))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:len(carry)], _arrow(done, cards)], [*carry, "facts"])
+                    done, size = [], 0
+
+    return src.mapInArrow(run, out_schema)

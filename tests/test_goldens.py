@@ -177,7 +177,7 @@ def test_scalar_text_rules(spark):
     assert arr.select(R.notes_from_pairs(F.col("a"), F.col("b")).alias("n")).first()["n"] == \
         ["지속력: 좋음", "향: 은은"]
     notes = spark.createDataFrame([("발림이 부드러움\n향은 은은해요",)], "t string").select(
-        R.notes_from_dictionary(F.col("t"), F.col("t")).alias("n")).first()["n"]
+        R.notes_from_dictionary("t", "t").alias("n")).first()["n"]
     assert notes == ["사용감: 발림이 부드러움", "향: 향은 은은해요"]
 
 
