@@ -35,6 +35,31 @@ def resume_anti(listing: DataFrame, catalog_codes: DataFrame, catalog_serials: D
             .join(serials, listing[serial] == serials["_s"], "left_anti"))
 
 
+def _known_values(values: DataFrame, column: str, name: str) -> DataFrame:
+    return values.select(F.col(column).alias(name)).filter(F.col(name) != "").distinct()
+
+
+def mark_known(rows: DataFrame, codes: DataFrame, serials: DataFrame, *, code: str = "product_code",
+               serial: str = "serial", known_code: str = "product_code", known_serial: str = "serial") -> DataFrame:
+    """J1 as a flag: ``rows`` with ``known``: whether an earlier run has the
+    code or the serial.  Two equi-joins on distinct values; empty ones match
+    nothing."""
+    c = _known_values(codes, known_code, "_c").withColumn("_has_c", F.lit(True))
+    s = _known_values(serials, known_serial, "_s").withColumn("_has_s", F.lit(True))
+    out = rows.join(c, rows[code] == c["_c"], "left").join(s, rows[serial] == s["_s"], "left")
+    return out.withColumn("known", F.coalesce("_has_c", "_has_s", F.lit(False))).drop("_c", "_s", "_has_c", "_has_s")
+
+
+def fill_from_listing(detail: DataFrame, listing: DataFrame, *, url: str = "product_url",
+                      fields=("product_code", "product_name")) -> DataFrame:
+    """J2 from the detail's side: a product page without code or name takes
+    that of the listing entry that links to it; products that no listing has
+    stay as they are.  One entry a URL."""
+    entry = listing.select(F.col(url).alias("_url"), *[F.col(f).alias(f"_l_{f}") for f in fields])
+    j = detail.join(entry, detail[url] == entry["_url"], "left")
+    return j.select(*[first_nonempty(detail[c], f"_l_{c}").alias(c) if c in fields else detail[c] for c in detail.columns])
+
+
 def listing_fill(listing: DataFrame, detail: DataFrame, *, key: str = "pos",
                  url: str = "product_url",
                  fields=("product_code", "product_name")) -> DataFrame:
@@ -79,19 +104,56 @@ def upsert(current: DataFrame, updates: DataFrame, *, key: str, fields: list,
     return j.select(*sel)
 
 
+def _key_counts(df: DataFrame, key: str, not_null: list) -> DataFrame:
+    """One row a key: its rows, and how many lack each required column."""
+    return df.groupBy(F.col(key).alias("key")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_null_{i}") for i, c in enumerate(not_null)])
+
+
+def _broken(key: str, not_null: list) -> Column:
+    """Of a row of ``_key_counts``: struct(constraint, n) of each constraint
+    that it breaks."""
+    one = lambda name, n, bad: F.when(bad, F.struct(F.lit(name).alias("constraint"), n.alias("n")))
+    return F.array_compact(F.array(
+        one("unique", F.col("_n"), F.col("key").isNotNull() & (F.col("_n") > 1)),
+        *[one(f"not_null:{c}", F.col(f"_null_{i}"), F.col(f"_null_{i}") > 0) for i, c in enumerate(not_null)]))
+
+
 def constraint_violations(df: DataFrame, *, key: str, not_null: list) -> DataFrame:
     """Duplicate keys and NULL required columns, as a violations table
-    (constraint, key, n)."""
-    dup = (df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > 1)
-           .select(F.lit("unique").alias("constraint"), F.col(key).alias("key"),
-                   F.col("count").alias("n")))
-    nn = [df.filter(F.col(c).isNull()).groupBy(F.col(key).alias("key")).count()
-          .select(F.lit(f"not_null:{c}").alias("constraint"), "key", F.col("count").alias("n"))
-          for c in not_null]
-    out = dup
-    for x in nn:
-        out = out.unionByName(x)
-    return out
+    (constraint, key, n): one conditional aggregate by key, whatever the
+    number of constraints."""
+    return _key_counts(df, key, not_null).select("key", F.inline(_broken(key, not_null))).select("constraint", "key", "n")
+
+
+def strict(df: DataFrame, *, key: str, not_null: list) -> DataFrame:
+    """D9 in the plan: ``df``, whose reading (so, the write of it) fails at
+    the first broken constraint."""
+    told = F.get("_bad", F.lit(0))
+    message = F.concat(F.lit("constraint "), told["constraint"], F.lit(f" broken by {key} "), F.coalesce(F.col("key").cast("string"), F.lit("NULL")))
+    counts = _key_counts(df, key, not_null).withColumn("_bad", _broken(key, not_null)).select(
+        F.col("key").alias("_key"), F.when(F.size("_bad") > 0, F.raise_error(message).cast("boolean")).otherwise(True).alias("_fine"))
+    return df.join(counts, df[key].eqNullSafe(F.col("_key"))).filter("_fine").drop("_key", "_fine")
+
+
+def missing_key_reason(key: str) -> Column:
+    """Why a row cannot be stored; NULL if it can."""
+    c = F.col(key)
+    return F.when(c.isNull(), "null key").when(c == "", "empty key")
+
+
+def with_key(df: DataFrame, *, key: str, strict: bool = False) -> DataFrame:
+    """The rows that have a key.  ``strict``: a row without one ends the
+    job that reads them, instead of being left to ``without_key``."""
+    reason = missing_key_reason(key)
+    if strict:
+        return df.filter(F.when(reason.isNotNull(), F.raise_error(F.concat(reason, F.lit(f": {key}"))).cast("boolean")).otherwise(True))
+    return df.filter(reason.isNull())
+
+
+def without_key(df: DataFrame, *, key: str) -> DataFrame:
+    """The quarantine: the other rows, with the reason."""
+    return df.withColumn("reason", missing_key_reason(key)).filter(F.col("reason").isNotNull())
 
 
 def orphans(children: DataFrame, parents: DataFrame, *, key: str = "product_code") -> DataFrame:

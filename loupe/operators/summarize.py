@@ -68,6 +68,39 @@ def keyword_counts(reviews: DataFrame, *, key: str = "product_code", text: str =
                  *[F.sum(keyword_count(t, k)).alias(f"kw_{i}") for i, k in enumerate(kws)]))
 
 
+def _overlaps_itself(keyword: Column) -> Column:
+    """Whether two occurrences can overlap: some end of it is its beginning."""
+    n = F.length(keyword)
+    starts = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(starts, lambda i: F.substr(keyword, F.lit(1), i) == F.substr(keyword, n - i + 1, i))
+
+
+def dictionary_counts(reviews: DataFrame, dictionary: DataFrame, *, key: str = "product_code", text: str = "review_text",
+                      pos: str = "pos", keyword: str = "keyword") -> DataFrame:
+    """A5 / U2 with the dictionary as a table of any size: (key, keyword, n)
+    of every keyword that occurs.  Each text gives its windows of the
+    keywords' lengths once, whatever the number of keywords; a join with the
+    dictionary finds the occurrences, which are counted like str.count does:
+    each keyword alone, and where one can overlap itself, from left to right.
+    ``pos`` tells the rows apart."""
+    words = dictionary.select(F.col(keyword).alias("_kw")).filter("_kw <> ''").distinct()
+    lengths = words.agg(F.collect_set(F.length("_kw")).alias("_l")).scalar()  # as many as lengths differ
+    words = words.withColumn("_folds", _overlaps_itself(F.col("_kw")))
+    rows = reviews.filter(F.coalesce(F.col(text), F.lit("")) != "").select(
+        F.col(key).alias("_key"), F.col(pos).alias("_row"), F.split(F.col(text), "").alias("_chars"), lengths.alias("_lengths"))
+    rows = rows.withColumn("_n", F.explode("_lengths")).filter(F.size("_chars") >= F.col("_n"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("_chars") - F.col("_n") + 1),
+                          lambda i: F.array_join(F.slice("_chars", i, F.col("_n")), ""))
+    found = rows.select("_key", "_row", "_n", F.posexplode(windows).alias("_at", "_w")).join(words, F.col("_w") == F.col("_kw"))
+    alone = found.filter(~F.col("_folds")).groupBy("_key", "_kw").agg(F.count(F.lit(1)).alias("n"))
+    # places of one keyword in one text, at most the text's length
+    folded = found.filter("_folds").groupBy("_key", "_row", "_kw", "_n").agg(F.array_sort(F.collect_list("_at")).alias("_places"))
+    free = lambda acc, at: F.when(at >= acc["end"], F.struct((at + F.col("_n")).alias("end"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    count = F.aggregate("_places", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), free, lambda acc: acc["n"])
+    folded = folded.groupBy("_key", "_kw").agg(F.sum(count).alias("n"))
+    return alone.unionByName(folded).select(F.col("_key").alias(key), F.col("_kw").alias(keyword), "n")
+
+
 def keyword_long(counts: DataFrame, *, key: str = "product_code",
                  keywords: list | None = None) -> DataFrame:
     """Wide keyword counts -> (key, keyword, kw_pos, n)."""
@@ -237,15 +270,10 @@ def summary_text_col(name: Column, n_texts: Column, top_keywords: Column,
     return F.when(F.coalesce(n_texts, F.lit(0)) > 0, body).otherwise(F.lit(C.SUMMARY_NO_TEXTS))
 
 
-def product_aggregates(reviews: DataFrame, *, key: str = "product_code",
-                       text: str = "review_text", rating: str = "rating",
-                       keywords: list | None = None) -> DataFrame:
-    """A1-A5 in one grouped aggregate (one scan, map-side combine): rating
-    statistics, number of non-empty texts and every keyword count."""
-    kws = keywords or C.SUMMARY_KEYWORDS
+def _aggregates(reviews: DataFrame, keys: list, text: str, rating: str, keywords: list, more: list) -> DataFrame:
     r, t = F.col(rating), F.col(text)
     has_text = t.isNotNull() & (t != "")
-    return reviews.groupBy(key).agg(
+    return reviews.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_reviews"),
         F.sum(F.when(r > 0, r)).cast("long").alias("sum_rating"),
         F.count(F.when(r > 0, r)).alias("n_rated"),
@@ -254,44 +282,64 @@ def product_aggregates(reviews: DataFrame, *, key: str = "product_code",
         F.count(F.when(r.isNull(), 1)).alias("unrated_count"),
         F.count(F.when(has_text, 1)).alias("n_texts"),
         *[F.sum(F.when(has_text, keyword_count(t, k))).cast("long").alias(f"kw_{i}")
-          for i, k in enumerate(kws)])
+          for i, k in enumerate(keywords)], *more)
+
+
+def product_aggregates(reviews: DataFrame, *, key: str = "product_code",
+                       text: str = "review_text", rating: str = "rating",
+                       keywords: list | None = None) -> DataFrame:
+    """A1-A5 in one grouped aggregate (one scan, map-side combine): rating
+    statistics, number of non-empty texts and every keyword count."""
+    return _aggregates(reviews, [key], text, rating, keywords or C.SUMMARY_KEYWORDS, [])
+
+
+def _sums(keywords: list) -> list[str]:
+    return ["total_reviews", "sum_rating", "n_rated", "positive_count", "negative_count", "unrated_count", "n_texts",
+            *[f"kw_{i}" for i in range(len(keywords))]]
 
 
 def partials(reviews: DataFrame, *, key: str = "product_code", text: str = "review_text",
              rating: str = "rating", option: str = "option", pos: str = "pos",
              dicts: C.Dictionaries = C.DEFAULT_DICTS) -> dict:
-    """The three mergeable partial aggregates behind A14 (one scan each):
-    per-product sums, phrase counts, option counts."""
-    return {
-        "agg": product_aggregates(reviews, key=key, text=text, rating=rating,
-                                  keywords=dicts.keywords),
-        "pairs": cohort_pairs(reviews, key=key, text=text, rating=rating, pos=pos),
-        "options": option_counts(reviews, key=key, option=option, pos=pos),
-    }
+    """The two mergeable partial aggregates behind A14 (one scan each): the
+    sums of A1-A5 per product and option with the option's first appearance
+    (what A11 needs; the product's own sums follow from them), and the phrase
+    counts."""
+    of = reviews.withColumn("_option", F.coalesce(F.col(option), F.lit("")))
+    sums = _aggregates(of, [F.col(key), F.col("_option").alias("option")], text, rating, dicts.keywords, [F.min(pos).alias("first_pos")])
+    return {"options": sums, "pairs": cohort_pairs(reviews, key=key, text=text, rating=rating, pos=pos)}
 
 
 def merge_partials(a: dict, b: dict, *, key: str = "product_code") -> dict:
     """Combine two sets of partials (sums add, first positions take the
     minimum): the incremental form of A1-A11."""
-    agg = a["agg"].unionByName(b["agg"])
-    sums = [c for c in agg.columns if c != key]
     pairs = a["pairs"].unionByName(b["pairs"])
     opts = a["options"].unionByName(b["options"])
+    sums = [c for c in opts.columns if c not in (key, "option", "first_pos")]
     return {
-        "agg": agg.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in sums]),
+        "options": opts.groupBy(key, "option").agg(
+            *[F.sum(c).cast("long").alias(c) for c in sums], F.min("first_pos").alias("first_pos")),
         "pairs": pairs.groupBy(key, "band", "phrase").agg(
             F.sum("n").cast("long").alias("n"), F.min("first_seen").alias("first_seen")),
-        "options": opts.groupBy(key, "option").agg(
-            F.sum("n").cast("long").alias("n"), F.min("first_pos").alias("first_pos")),
     }
 
 
+def roll_up(options: DataFrame, keywords: list, *, key: str = "product_code") -> DataFrame:
+    """The product's sums and its most frequent option (A11: a tie goes to the
+    first seen) from the sums per option."""
+    real = F.col("option") != ""
+    best = F.min_by(F.when(real, F.struct(F.col("option"), F.col("total_reviews").alias("n"))),
+                    F.when(real, F.struct((-F.col("total_reviews")).alias("neg_n"), F.col("first_pos"))))
+    rolled = options.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in _sums(keywords)], best.alias("_b"))
+    return rolled.select(key, *_sums(keywords), F.col("_b.option").alias("top_option"), F.col("_b.n").alias("top_option_n"))
+
+
 def finish(parts: dict, products: DataFrame | None = None, *, key: str = "product_code",
            name: str = "product_name", dicts: C.Dictionaries = C.DEFAULT_DICTS,
            external: DataFrame | None = None) -> DataFrame:
     """A12-A14 from partials: top keywords, polarity, phrases, option, key
     points, template (or external) summary, rounded average."""
-    agg = parts["agg"]
+    agg = roll_up(parts["options"], dicts.keywords, key=key)
     kw_cols = [f"kw_{i}" for i in range(len(dicts.keywords))]
     # Top keywords and polarity are row-level on the one per-product row
     # (a 22-entry array sort), so the aggregate is computed once.
@@ -307,12 +355,11 @@ def finish(parts: dict, products: DataFrame | None = None, *, key: str = "produc
     stats = agg.select(*[c for c in agg.columns if c not in kw_cols],
                        top.alias("top_keywords"), polarity.alias("polarity"))
     phrases = _phrase_lists(parts["pairs"], key=key)
-    opt = best_option(parts["options"], key=key)
     if products is not None:
         base = products.select(key, name).join(stats, key, "left")
     else:
         base = stats.withColumn(name, F.lit(None).cast("string"))
-    j = base.join(phrases, key, "left").join(opt, key, "left")
+    j = base.join(phrases, key, "left")
     template = summary_text_col(F.col(name), F.col("n_texts"), F.col("top_keywords"),
                                 F.col("polarity"))
     if external is not None:
@@ -336,7 +383,7 @@ def summarize(reviews: DataFrame, products: DataFrame | None = None, *,
               key: str = "product_code", name: str = "product_name", text: str = "review_text",
               rating: str = "rating", option: str = "option", pos: str = "pos",
               dicts: C.Dictionaries = C.DEFAULT_DICTS, summarizer=None) -> DataFrame:
-    """The composite summary record per product: three scans of the
+    """The composite summary record per product: two scans of the
     reviews (``partials``), each combined map-side, then ``finish``.  With
     ``products`` given, every product appears; those without reviews get
     the fixed empty summary.

@@ -3,8 +3,7 @@
 Exports are JSON Lines: one product document per line (product info,
 statistics, summary — all bounded), and one line per review keyed by
 product.  The original's single nested document per brand (all reviews in
-one array) does not scale; ``envelope`` builds it only for callers that
-bound the product set themselves.
+one array) would be one row of one task, and is not built.
 """
 
 from __future__ import annotations
@@ -59,11 +58,12 @@ def product_list(products: DataFrame, reviews: DataFrame, summaries: DataFrame |
     average when a summary exists, numbered 1.. in ``order``.  Reviews are
     aggregated to one row per product before the join (no N+1)."""
     counts = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("n_reviews"))
-    j = products.join(counts, key, "left").withColumn(
+    # numbered first: the narrow table is what is read for the bounds
+    j = with_ordinal(products, [order]).join(counts, key, "left").withColumn(
         "n_reviews", F.coalesce("n_reviews", F.lit(0)))
     if summaries is not None:
         j = j.join(summaries.select(key, "average_rating"), key, "left")
-    return with_ordinal(j, [order])
+    return j
 
 
 def fk_resolve(reviews: DataFrame, products: DataFrame, *, key: str = "product_code") -> DataFrame:
@@ -147,7 +147,8 @@ def review_lines_json(reviews: DataFrame, products: DataFrame, *,
 def product_view_json(products: DataFrame, summaries: DataFrame, *,
                       key: str = "product_code") -> DataFrame:
     """Product info with ISO timestamps and a summary object, or null
-    when the product has no summary; reviews go out as review lines."""
+    when the product has no summary; its reviews go out one a line
+    (``view_review_lines``)."""
     ts = lambda c: F.date_format(F.col(c), ISO_TS) if c in products.columns \
         else F.lit(None).cast("string")
     extra = [c for c in summaries.columns if c != key and c not in products.columns]
@@ -165,20 +166,22 @@ def product_view_json(products: DataFrame, summaries: DataFrame, *,
     return j.select(key, F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def envelope(lines: DataFrame, *, group: str, order: str, field: str = "reviews") -> DataFrame:
-    """The original's single-document form for a *bounded* set of groups:
-    one document per ``group`` with all its lines in ``order``.  Each group
-    is collected into one row, so only use it where a group's size is known
-    to be small (e.g. a preview); bulk exports stay JSON Lines."""
-    agg = lines.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("json")))).alias("_a"),
-        F.count(F.lit(1)).alias("total"))
-    return agg.select(group, F.concat(
-        F.lit('{"total": '), F.col("total").cast("string"), F.lit(f', "{field}": ['),
-        F.array_join(F.transform("_a", lambda s: s["json"]), ", "), F.lit("]}")).alias("json"))
+VIEW_REVIEW_FIELDS = ["username", "user_info", "rating", "option", "review_type", "review_text"]
+
+
+def view_review_lines(reviews: DataFrame, *, key: str = "product_code", id: str = "review_id",
+                      created: str = "created_at") -> DataFrame:
+    """One JSON line per review of the product view: its id and when it
+    was stored (ISO) besides its fields; missing ones stay null."""
+    have = set(reviews.columns)
+    field = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+    at = F.date_format(F.col(created), ISO_TS) if created in have else F.lit(None).cast("string")
+    doc = F.struct(field(id, "long").alias("id"), *[field(c, "int" if c == "rating" else "string").alias(c) for c in VIEW_REVIEW_FIELDS],
+                   at.alias("created_at"))
+    return reviews.select(key, F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
 __all__ = ["review_enrich", "product_reviews", "products_with_reviews", "product_lookup",
            "product_view", "product_list", "fk_resolve", "review_preview", "max_products",
-           "product_info_json", "review_lines_json", "product_view_json", "envelope",
+           "product_info_json", "review_lines_json", "product_view_json", "view_review_lines",
            "rating_stats"]

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .dedup import keep_first
+from .dedup import digest
 
 
 def page_walk(reviews: DataFrame, *, key: str = "product_code", page: str = "page_no",
-              pos: str = "pos", user: str = "username", text: str = "review_text",
+              user: str = "username", text: str = "review_text",
               max_reviews: int | None = None, max_pages: int | None = None,
               zero_stop: int = C.ZERO_YIELD_STOP,
               prefix: int = C.DEDUP_PREFIX_CHARS, card: str | None = None,
@@ -31,11 +31,11 @@ def page_walk(reviews: DataFrame, *, key: str = "product_code", page: str = "pag
     page is not an empty one: it counts towards the zero-yield stop."""
     is_card = F.col(card or text).isNotNull()
     has = is_card & F.col(text).isNotNull() & (F.col(valid) if valid else F.lit(True))
-    seen = keep_first(
-        reviews.filter(has),
-        [key, F.coalesce(F.col(user), F.lit("")), F.substring(F.col(text), 1, prefix)],
-        F.struct(F.col(page), F.col(pos)))
-    yields = seen.groupBy(key, page).agg(F.count(F.lit(1)).alias("new_reviews"))
+    # a review counts for the first page that has it; its digest is enough for that
+    cards = reviews.filter(has)
+    hashed = digest([F.coalesce(F.col(user), F.lit("")), F.substring(F.col(text), 1, prefix)])
+    first = cards.select(key, page, *hashed).groupBy(key, "_h1", "_h2", "_h3").agg(F.min(page).alias(page))
+    yields = first.groupBy(key, page).agg(F.count(F.lit(1)).alias("new_reviews"))
     pages = reviews.groupBy(key, page).agg(F.count(F.when(is_card, 1)).alias("cards"))
     w = Window.partitionBy(key).orderBy(page)
     z = (pages.join(yields, [key, page], "left")
