@@ -20,10 +20,6 @@ PAGES_SCHEMA = T.StructType([
 ])
 
 
-def read_pages_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def read_pages_dir(spark: SparkSession, path: str, *, pattern: str = "*.html") -> DataFrame:
     """One row per saved page (whole file as one value)."""
     raw = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
