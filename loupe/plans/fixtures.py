@@ -111,14 +111,14 @@ def catalog_old(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run 2 catalogue: parts of size <= 15 with changed names; size 1 has a
-    NULL name (absent), 2 an empty name, 3 no key, 4 an empty category,
-    5 a NULL sub-category."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_size") <= 15)
-    s = F.col("p_size")
+    """Run 2 catalogue: every part with changed names; those above size 15 are
+    new products; size 1 has a NULL name (absent), 2 an empty name, 3 no key,
+    4 an empty category, 5 a NULL sub-category, 6 an empty key."""
+    p = table(spark, sf_dir, "part")
+    s, code = F.col("p_size"), F.col("p_partkey").cast("string")
     return p.select(
-        F.when(s == 3, F.lit(None).cast("string"))
-         .otherwise(F.col("p_partkey").cast("string")).alias("product_code"),
+        F.when(s == 3, F.lit(None).cast("string")).when(s == 6, F.lit(""))
+         .when(s > 15, F.concat(code, F.lit("-n"))).otherwise(code).alias("product_code"),
         F.when(s == 1, F.lit(None).cast("string")).when(s == 2, F.lit(""))
          .otherwise(F.upper("p_name")).alias("product_name"),
         F.when(s == 4, F.lit("")).otherwise(F.concat("p_brand", F.lit("*"))).alias("category"),
@@ -127,6 +127,11 @@ def catalog_new(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(2).alias("run_ts"))
 
 
+def with_unknown(df: DataFrame, mark: str = "-x") -> DataFrame:
+    """The rows and each again under a code that nothing else has."""
+    return df.unionByName(df.withColumn("product_code", F.concat("product_code", F.lit(mark))))
+
+
 def walk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CV with repeats injected: every conversation gets turns 8-12 copying
     turn 0, then pages are renumbered densely from 1 per conversation."""

@@ -113,6 +113,43 @@ def notice_pages(spark: SparkSession, sf: str) -> DataFrame:
     return x.select(F.col("k").alias("page_id"), html.alias("html"))
 
 
+# ---------------------------------------------------------------- listing pages (part)
+
+PER_LISTING = 50
+
+# one row a part: its listing and place there
+SRC_LISTING = f"""SELECT p_partkey AS k, p_partkey // {PER_LISTING} AS g, p_name AS name, p_size AS s,
+       '{BASE}/product/detail?onlineProdSn=' || CAST(p_partkey * 7 AS VARCHAR)
+         || CASE WHEN p_size > 5 THEN '&onlineProdCode=' || CAST(p_partkey AS VARCHAR) ELSE '' END AS url,
+       CASE WHEN p_size > 5 THEN CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey * 7 AS VARCHAR) END AS code,
+       CAST(p_partkey * 7 AS VARCHAR) AS serial
+FROM part"""
+
+
+def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that list the parts, 50 each (so what is collected is bounded):
+    every product is linked twice, by its name and by its picture, next to
+    links that are no products; name, kind and declared count vary."""
+    x = product_src(spark, sf)
+    sn = (F.col("k") * 7).cast("string")
+    href = _cat("/product/detail?onlineProdSn=", sn, F.when(F.col("s") > 5, _cat(
+        "&onlineProdCode=", F.col("k").cast("string"))).otherwise(F.lit("")))
+    link = _cat('<li><a href="', href, '">', esc(F.col("name")), '</a><a href="', href, '"><img src="x.png"></a></li>')
+    pages = x.select(F.floor(F.col("k") / PER_LISTING).alias("g"), "k", link.alias("c")).groupBy("g").agg(
+        F.array_sort(F.collect_list(F.struct("k", "c"))).alias("rows"))
+    g = F.col("g").cast("string")
+    name = (F.when(F.col("g") % 4 == 0, _cat("<h1>Hall ", g, " 브랜드관 소개</h1>"))
+             .when(F.col("g") % 4 == 1, _cat('<div class="brandName">House ', g, "</div>"))
+             .when(F.col("g") % 4 == 2, _cat('<img src="l.png" alt="Mark ', g, ' 로고">')).otherwise(F.lit("")))
+    n = F.size("rows") + F.when(F.col("g") % 5 == 0, 3).otherwise(0)
+    html = _cat("<html><head><title>Shop ", g, " - 쇼핑몰 | 목록</title></head><body>", name,
+                F.when(F.col("g") % 3 == 0, F.lit("")).otherwise(_cat("<p>총 ", n.cast("string"), "개의 상품</p>")),
+                '<ul><li><a href="/event/1">event</a></li>', F.array_join(F.transform("rows", lambda r: r["c"]), ""),
+                '</ul><a href="">top</a></body></html>')
+    url = F.when(F.col("g") % 2 == 0, _cat(BASE, "/display/brand?brandSn=", g)).otherwise(_cat(BASE, "/display/list?displayCategorySn=", g))
+    return pages.select(F.col("g").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
 # ---------------------------------------------------------------- review pages (documents)
 
 CARDS_PER_PAGE = 5
@@ -181,11 +218,33 @@ def review_pages(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("source").alias("product_code"), "page_no", html.alias("html"))
 
 
+def _card_of(k: Column) -> Column:
+    return _cat(
+        '<div class="reviewCard" data-review="', k.cast("string"), '">',
+        '<span class="profileCard__userTitle">', F.col("username"), "</span>",
+        F.when(F.col("rating").isNotNull(),
+               _cat('<div class="icoStarWrap star', F.col("rating").cast("string"), '"></div>'))
+         .otherwise(F.lit("")),
+        '<p class="txt">Customer review text: ', esc(F.col("text")), "</p></div>")
+
+
+def bundle_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Product, notice and review pages of every part in one table: (page_id,
+    kind, url, html).  A part's reviews are five documents."""
+    x = review_src(spark, sf)
+    cards = x.select(F.floor(F.col("doc_id") / CARDS_PER_PAGE).alias("page_id"), "doc_id", _card_of(F.col("doc_id")).alias("c"))
+    reviews = cards.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "c"))).alias("rows")).select(
+        "page_id", F.lit("reviews").alias("kind"), F.lit("").alias("url"),
+        _cat("<html><body>", F.array_join(F.transform("rows", lambda r: r["c"]), ""), "</body></html>").alias("html"))
+    products = product_pages(spark, sf).select("page_id", F.lit("product").alias("kind"), "url", "html")
+    notices = notice_pages(spark, sf).select("page_id", F.lit("notice").alias("kind"), F.lit("").alias("url"), "html")
+    return products.unionByName(notices).unionByName(reviews)
+
+
 def review_cards(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.extract import explode_cards
     from ..sources.facts import page_facts
-    f = page_facts(review_pages(spark, sf), keys=["page_key", "product_code", "page_no"],
-                   want={"cards", "card_rule"})
+    f = page_facts(review_pages(spark, sf), keys=["page_key", "product_code", "page_no"], cards=True)
     return explode_cards(f, keys=("page_key", "product_code", "page_no")).withColumn(
         "doc_id", F.col("data")["data-review"].cast("long"))
 

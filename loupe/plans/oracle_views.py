@@ -44,12 +44,17 @@ CAT_OLD = """SELECT CAST(p_partkey AS VARCHAR) AS product_code, p_name AS produc
        p_brand AS category, p_type AS sub_category, p_partkey AS pos, 1 AS run_ts
 FROM part"""
 
-CAT_NEW = """SELECT CASE WHEN p_size = 3 THEN NULL ELSE CAST(p_partkey AS VARCHAR) END AS product_code,
+CAT_NEW = """SELECT CASE WHEN p_size = 3 THEN NULL WHEN p_size = 6 THEN ''
+            WHEN p_size > 15 THEN CAST(p_partkey AS VARCHAR) || '-n' ELSE CAST(p_partkey AS VARCHAR) END AS product_code,
        CASE WHEN p_size = 1 THEN NULL WHEN p_size = 2 THEN '' ELSE upper(p_name) END AS product_name,
        CASE WHEN p_size = 4 THEN '' ELSE p_brand || '*' END AS category,
        CASE WHEN p_size = 5 THEN NULL ELSE p_type END AS sub_category,
        p_partkey AS pos, 2 AS run_ts
-FROM part WHERE p_size <= 15"""
+FROM part"""
+
+# each product and each again under a code that nothing else has
+PRX = """SELECT * FROM pr UNION ALL SELECT * REPLACE (product_code || '-x' AS product_code) FROM pr"""
+RVX = """SELECT * FROM rv UNION ALL SELECT * REPLACE (product_code || '-x' AS product_code) FROM rv"""
 
 WALK = """SELECT conv_id AS product_code,
        DENSE_RANK() OVER (PARTITION BY conv_id ORDER BY turn) AS page_no,

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup as D
 from ..operators import merge as M
+from ..operators import runs as R
 from ..operators import summarize as S
 from ..operators.walk import page_walk
 from . import fixtures as X
-from .oracle_views import (CAT_NEW, CAT_OLD, DOCS, DOCS_NEW, DOCS_OLD, RV, WALK,
+from .oracle_views import (CAT_NEW, CAT_OLD, DOCS, DOCS_NEW, DOCS_OLD, PR, RV, RVX, WALK,
                            with_views)
 from .registry import query
 
@@ -55,18 +56,8 @@ SELECT (SELECT count(*) FROM old) AS n_existing, (SELECT count(*) FROM new) AS n
        (SELECT count(DISTINCT product_code) FROM u) AS n_products
 """)
 def q_run_totals(spark, sf):
-    """Run totals in one aggregate over the tagged union (one scan per
-    run, no separate count jobs)."""
-    old, new = X.docs_runs(spark, sf)
-    u = old.withColumn("_run", F.lit(1)).unionByName(new.withColumn("_run", F.lit(2)))
-    key = F.struct("product_code", "username", D.strip_ws(F.col("review_text")))
-    # distinct-key counts are exact (count_distinct on the struct key)
-    return u.agg(
-        F.count(F.when(F.col("_run") == 1, 1)).alias("n_existing"),
-        F.count(F.when(F.col("_run") == 2, 1)).alias("n_new"),
-        F.count(F.lit(1)).alias("n_appended"),
-        F.count_distinct(key).alias("n_merged"),
-        F.count_distinct("product_code").alias("n_products"))
+    """Run totals, each run read once."""
+    return R.run_totals(*X.docs_runs(spark, sf))
 
 
 _CATS = with_views(cat_old=CAT_OLD, cat_new=CAT_NEW)
@@ -114,9 +105,13 @@ _STATS_SQL = """SELECT product_code, COUNT(*) AS total_reviews,
 FROM rv {where} GROUP BY product_code"""
 
 
+_RUN1 = "CASE WHEN l_linenumber >= 6 THEN product_code || '-o' ELSE product_code END"
+_RUN2 = "CASE WHEN l_linenumber <= 3 THEN product_code ELSE product_code || '-n' END"
+
+
 @query("summary_upsert", oracle=with_views(rv=RV) + f""", cur AS ({_STATS_SQL.format(
-    where="WHERE l_linenumber <= 3")}),
-upd AS (SELECT * FROM ({_STATS_SQL.format(where="")}) WHERE total_reviews > 30)
+    where="").replace("FROM rv", f"FROM (SELECT * REPLACE ({_RUN1} AS product_code) FROM rv)")}),
+upd AS ({_STATS_SQL.format(where="").replace("FROM rv", f"FROM (SELECT * REPLACE ({_RUN2} AS product_code) FROM rv)")})
 SELECT COALESCE(c.product_code, u.product_code) AS product_code,
        CASE WHEN u.product_code IS NOT NULL THEN u.total_reviews ELSE c.total_reviews END
          AS total_reviews,
@@ -130,20 +125,19 @@ SELECT COALESCE(c.product_code, u.product_code) AS product_code,
 FROM cur c FULL OUTER JOIN upd u ON c.product_code = u.product_code
 """)
 def q_summary_upsert(spark, sf):
-    """Summaries of run 1 (line numbers <= 3) updated by run 2's full
-    summaries of busy products; every metric is replaced, created kept."""
+    """Summaries of run 1 updated by run 2's; each run has all reviews,
+    some of them under codes the other lacks; every metric is replaced,
+    created kept."""
     rv = X.reviews_rv(spark, sf)
     fields = ["total_reviews", "sum_rating", "positive_count", "negative_count"]
 
-    def stats(df):
-        s = S.rating_stats(df)
+    def stats(code: str):
+        s = S.rating_stats(rv.withColumn("product_code", F.expr(code)))
         return s.select("product_code", "total_reviews",
                         F.coalesce("sum_rating", F.lit(0)).alias("sum_rating"),
                         "positive_count", "negative_count")
-    cur = (stats(rv.filter(F.col("l_linenumber") <= 3))
-           .withColumn("created_run", F.lit(1)).withColumn("updated_run", F.lit(1)))
-    upd = stats(rv).filter(F.col("total_reviews") > 30)
-    return M.upsert(cur, upd, key="product_code", fields=fields, run_ts=F.lit(2),
+    cur = stats(_RUN1).withColumn("created_run", F.lit(1)).withColumn("updated_run", F.lit(1))
+    return M.upsert(cur, stats(_RUN2), key="product_code", fields=fields, run_ts=F.lit(2),
                     created="created_run", updated="updated_run", absent_is_null=False)
 
 
@@ -159,14 +153,14 @@ WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_size < 10
                   AND CAST(p.p_partkey * 7 AS VARCHAR) = l.serial)
 """)
 def q_resume_anti(spark, sf):
+    """The stored codes and serials are those of all parts; of size 10 or
+    more, and of other types, they are marked so that no listing has them."""
     p = X.table(spark, sf, "part")
-    listing = p.select(F.col("p_partkey").cast("string").alias("product_code"),
-                       (F.col("p_partkey") * 7).cast("string").alias("serial"),
-                       F.col("p_name").alias("product_name"))
-    by_code = p.filter(F.col("p_size") < 10).select(
-        F.col("p_partkey").cast("string").alias("product_code"))
-    by_serial = p.filter(F.col("p_type") == "SMALL").select(
-        (F.col("p_partkey") * 7).cast("string").alias("serial"))
+    code, serial = F.col("p_partkey").cast("string"), (F.col("p_partkey") * 7).cast("string")
+    unknown = lambda c, known: F.when(known, c).otherwise(F.concat(c, F.lit("-x")))
+    listing = p.select(code.alias("product_code"), serial.alias("serial"), F.col("p_name").alias("product_name"))
+    by_code = p.select(unknown(code, F.col("p_size") < 10).alias("product_code"))
+    by_serial = p.select(unknown(serial, F.col("p_type") == "SMALL").alias("serial"))
     return M.resume_anti(listing, by_code, by_serial)
 
 
@@ -214,8 +208,10 @@ def q_notice_override(spark, sf):
     basic = p.select(code, F.col("p_type").alias("usage_method"),
                      F.col("p_brand").alias("ingredients"), F.col("p_name").alias("precautions"))
     s = F.col("p_size")
-    notice = p.filter(s <= 20).select(
-        code,
+    # above size 20 the notices are of products that nobody has
+    notice = p.select(
+        F.when(s <= 20, F.col("p_partkey").cast("string"))
+         .otherwise(F.concat(F.col("p_partkey").cast("string"), F.lit("-x"))).alias("product_code"),
         F.when(s <= 5, F.lit("")).otherwise(F.concat(F.lit("use "), "p_type")).alias("usage_method"),
         F.when(s <= 10, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("ing "), "p_brand")).alias("ingredients"),
@@ -240,15 +236,14 @@ def q_constraint_check(spark, sf):
                                    not_null=["product_code", "product_name"])
 
 
-@query("orphans", oracle=with_views(rv=RV) + """
-SELECT product_code, COUNT(*) AS n FROM rv
-WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_size < 45
-                  AND CAST(p.p_partkey AS VARCHAR) = rv.product_code)
+@query("orphans", oracle=with_views(rv=RV, pr=PR, rvx=RVX) + """
+SELECT product_code, COUNT(*) AS n FROM rvx
+WHERE product_code NOT IN (SELECT product_code FROM pr)
 GROUP BY product_code
 """)
 def q_orphans(spark, sf):
-    prods = X.products_pr(spark, sf).filter(F.col("p_size") < 45)
-    return (M.orphans(X.reviews_rv(spark, sf), prods)
+    children = X.with_unknown(X.reviews_rv(spark, sf))
+    return (M.orphans(children, X.products_pr(spark, sf))
             .groupBy("product_code").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -258,10 +253,7 @@ FROM cat_new WHERE product_code IS NULL OR product_code = ''
 """)
 def q_missing_key(spark, sf):
     """Rows without a key go to quarantine with a reason."""
-    n = X.catalog_new(spark, sf)
-    c = F.col("product_code")
-    return n.filter(c.isNull() | (c == "")).select(
-        "pos", F.when(c.isNull(), "null key").otherwise("empty key").alias("reason"))
+    return M.without_key(X.catalog_new(spark, sf), key="product_code").select("pos", "reason")
 
 
 @query("page_walk", oracle=with_views(walk=WALK) + """, firsts AS (

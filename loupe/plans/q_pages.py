@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import urls as U
 from ..operators import extract as E
-from ..operators import merge as M
 from ..operators import records as R
 from ..operators.dedup import keep_first
 from ..sources.facts import page_facts
@@ -25,9 +24,7 @@ def _pages(spark, sf):
 
 def _facts(spark, sf):
     """Facts of the driver pages, with the url carried through."""
-    return page_facts(_pages(spark, sf), keys=["page_id"], passthrough=["url"],
-                      want={"title", "h1", "probes", "logo_alt", "meta", "data_attrs",
-                            "scripts", "links"})
+    return page_facts(_pages(spark, sf), keys=["page_id"], passthrough=["url"])
 
 
 def _unescape_sql(x: str) -> str:
@@ -63,32 +60,31 @@ def q_page_scan(spark, sf):
        regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS scripts
 FROM pages""")
 def q_page_facts(spark, sf):
-    f = page_facts(_pages(spark, sf), want={"title", "h1", "links", "scripts"})
-    return f.select("page_id", "facts.title", "facts.h1",
-                    F.size("facts.links").alias("n_links"), "facts.scripts")
+    f = page_facts(_pages(spark, sf))
+    return f.select("page_id", E.title().alias("title"), E.h1().alias("h1"),
+                    F.size(E.links()).alias("n_links"), E.scripts().alias("scripts"))
 
 
 @query("page_h1", oracle=f"SELECT page_id, {_H1_SQL} AS h1 FROM pages")
 def q_page_h1(spark, sf):
-    return page_facts(_pages(spark, sf), want={"h1"}).select("page_id", "facts.h1")
+    return page_facts(_pages(spark, sf)).select("page_id", E.h1().alias("h1"))
 
 
 @query("page_links", oracle=f"WITH {_LINKS_SQL} SELECT page_id, pos, href, text FROM links")
 def q_page_links(spark, sf):
-    return E.explode_links(page_facts(_pages(spark, sf), want={"links"})).withColumn(
+    return E.explode_links(page_facts(_pages(spark, sf))).withColumn(
         "pos", F.col("pos").cast("long"))
 
 
 @query("link_filter", oracle=f"""WITH {_LINKS_SQL}
-SELECT page_id, pos, '{BASE}' || href AS product_url FROM links
-WHERE href <> '' AND starts_with(href, '/') AND contains('{BASE}' || href, '/t')""")
+SELECT page_id, pos, CASE WHEN starts_with(href, '/') AND contains('{BASE}' || href, '/t')
+       THEN '{BASE}' || href END AS product_url FROM links""")
 def q_link_filter(spark, sf):
-    """E3 with the required path fragment '/t' (driver pages have no
-    product-detail links)."""
-    links = E.explode_links(page_facts(_pages(spark, sf), want={"links"}))
+    """Every link with its product URL, NULL for those that are none (the
+    required path fragment is '/t', as driver pages have no product links)."""
+    links = E.explode_links(page_facts(_pages(spark, sf)))
     u = E.absolute_product_link(F.col("href"), BASE, must_contain="/t")
-    return links.select("page_id", F.col("pos").cast("long").alias("pos"), u.alias("product_url")) \
-        .filter(F.col("product_url").isNotNull())
+    return links.select("page_id", F.col("pos").cast("long").alias("pos"), u.alias("product_url"))
 
 
 @query("link_dedup", oracle=f"""WITH {_LINKS_SQL}
@@ -97,7 +93,7 @@ SELECT '{BASE}' || href AS product_url, min((page_id, pos))[1] AS page_id,
 FROM links WHERE href <> '' GROUP BY 1""")
 def q_link_dedup(spark, sf):
     """By absolute URL, first seen (page, position) wins."""
-    links = E.explode_links(page_facts(_pages(spark, sf), want={"links"}))
+    links = E.explode_links(page_facts(_pages(spark, sf)))
     x = links.select("page_id", F.col("pos").cast("long").alias("pos"),
                      E.absolute_product_link(F.col("href"), BASE, must_contain="/")
                      .alias("product_url")).filter(F.col("product_url").isNotNull())
@@ -111,7 +107,7 @@ def q_link_dedup(spark, sf):
        regexp_extract(regexp_extract(html, '<script>(.*?)</script>', 1, 's'), 'track\\((\\d+)\\)', 1)
          AS v FROM pages""")
 def q_script_var(spark, sf):
-    f = page_facts(_pages(spark, sf), want={"scripts"})
+    f = page_facts(_pages(spark, sf))
     return f.select("page_id", F.coalesce(E.script_var("facts", r"track\((\d+)\)"), F.lit(""))
                     .alias("v"))
 
@@ -175,39 +171,25 @@ def q_code_cascade(spark, sf):
 
 
 @query("listing_completeness", oracle=f"""WITH {_LINKS_SQL}
-SELECT page_id, COUNT(*) AS n_links, COUNT(DISTINCT href) AS n_distinct,
-       COUNT(*) AS declared, COUNT(DISTINCT href) >= COUNT(*) AS complete
-FROM links GROUP BY page_id""")
+SELECT p.page_id, COUNT(l.href) AS n_links, COUNT(DISTINCT l.href) AS n_distinct,
+       NULL::BIGINT AS declared, NULL::BOOLEAN AS complete
+FROM pages p LEFT JOIN links l ON l.page_id = p.page_id GROUP BY p.page_id""")
 def q_listing_completeness(spark, sf):
-    """Distinct product links against the declared count (E19 on the
-    page text, else the number of anchors)."""
-    f = page_facts(_pages(spark, sf), want={"links", "text"})
-    links = E.explode_links(f)
-    agg = links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"),
-                                       F.count_distinct("href").alias("n_distinct"))
-    declared = f.select("page_id", E.declared_count(F.coalesce("facts.text", F.lit("")))
-                        .alias("declared_text"))
-    j = agg.join(declared, "page_id")
-    d = F.coalesce("declared_text", "n_links")
-    return j.select("page_id", "n_links", "n_distinct", d.alias("declared"),
-                    (F.col("n_distinct") >= d).alias("complete"))
+    """Distinct links against the count that the page declares (E19;
+    driver pages declare none, ``listing_totals`` has pages that do).  Pages
+    without links are kept; all within the page's arrays."""
+    f = page_facts(_pages(spark, sf)).select("page_id", E.links().alias("links"), E.declared_count(
+        F.coalesce(E.page_text(), F.lit(""))).alias("declared"))
+    n = F.size(F.array_distinct(F.transform("links", lambda e: e["href"]))).cast("long")
+    return f.select("page_id", F.size("links").cast("long").alias("n_links"), n.alias("n_distinct"), "declared",
+                    (n >= F.col("declared")).alias("complete"))
 
 
 # ---------------------------------------------------------------- synthesised product pages
 
-# facts a product page job reads (no review cards)
-PRODUCT_FACTS = {"title", "h1", "meta", "data_attrs", "scripts", "text", "dl", "th_td",
-                 "headings", "strike", "probes", "breadcrumb", "logo_alt"}
-
-
-# facts a notice page job reads
-NOTICE_FACTS = {"dl", "th_td", "text", "headings"}
-
-
 def _prod_facts(spark, sf):
     p = R.raw_html_features(H.product_pages(spark, sf))
-    return page_facts(p, keys=["page_id"], passthrough=["url"] + R.RAW_FEATURES,
-                      want=PRODUCT_FACTS)
+    return page_facts(p, keys=["page_id"], passthrough=["url"] + R.RAW_FEATURES)
 
 
 _SRC = f"WITH src AS ({H.SRC_PRODUCT})\n"
@@ -215,39 +197,39 @@ _SRC = f"WITH src AS ({H.SRC_PRODUCT})\n"
 
 @query("dl_pairs", oracle=_SRC + "SELECT k AS page_id, usage, prec AS precautions FROM src")
 def q_dl_pairs(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"dl"})
+    f = page_facts(H.product_pages(spark, sf))
     return f.select("page_id", E.dl_value("facts", C.USAGE_KEYWORDS).alias("usage"),
                     E.dl_value("facts", C.PRECAUTION_KEYWORDS).alias("precautions"))
 
 
 @query("th_td_pairs", oracle=_SRC + "SELECT k AS page_id, 'Made in KR by ' || brand AS origin FROM src")
 def q_th_td_pairs(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"th_td"})
+    f = page_facts(H.product_pages(spark, sf))
     return f.select("page_id", E.th_td_value("facts", ["제조국"]).alias("origin"))
 
 
 @query("keyword_after", oracle=_SRC + "SELECT k AS page_id, usage FROM src")
 def q_keyword_after(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"text"})
-    return f.select("page_id", E.keyword_after(F.col("facts.text"), ["How to Use"]).alias("usage"))
+    f = page_facts(H.product_pages(spark, sf))
+    return f.select("page_id", E.keyword_after(E.page_text(), ["How to Use"]).alias("usage"))
 
 
 @query("heading_block", oracle=_SRC + "SELECT k AS page_id, usage FROM src")
 def q_heading_block(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"headings"})
+    f = page_facts(H.product_pages(spark, sf))
     return f.select("page_id", E.heading_block("facts", ["How to Use"]).alias("usage"))
 
 
 @query("ingredients", oracle=_SRC + "SELECT k AS page_id, ingr AS ingredients FROM src")
 def q_ingredients(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"headings", "dl", "text"})
+    f = page_facts(H.product_pages(spark, sf))
     return f.select("page_id", E.ingredients("facts").alias("ingredients"))
 
 
 @query("breadcrumb", oracle=_SRC + """SELECT k AS page_id, brand AS category, ptype AS sub_category
 FROM src""")
 def q_breadcrumb(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"breadcrumb", "meta"})
+    f = page_facts(H.product_pages(spark, sf))
     b = E.breadcrumb_categories("facts")
     return f.select("page_id", b["category"].alias("category"),
                     b["sub_category"].alias("sub_category"))
@@ -256,27 +238,27 @@ def q_breadcrumb(spark, sf):
 @query("meta_content", oracle=_SRC + """SELECT k AS page_id, 'M' || CAST(k AS VARCHAR) AS code,
   ptype AS category FROM src""")
 def q_meta_content(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"meta"})
+    f = page_facts(H.product_pages(spark, sf))
     return f.select("page_id", E.meta_content("facts", "product.*code|code").alias("code"),
                     E.meta_content("facts", "category").alias("category"))
 
 
 @query("data_attr", oracle=_SRC + "SELECT k AS page_id, 'D' || CAST(k AS VARCHAR) AS code FROM src")
 def q_data_attr(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"data_attrs"})
+    f = page_facts(H.product_pages(spark, sf))
     return f.select("page_id", E.data_attr("facts").alias("code"))
 
 
 @query("strike_price", oracle=_SRC + "SELECT k AS page_id, list AS price FROM src")
 def q_strike_price(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"strike", "probes"})
+    f = page_facts(H.product_pages(spark, sf))
     return f.select("page_id", E.strike_price("facts").alias("price"))
 
 
 @query("class_price", oracle=_SRC + """SELECT k AS page_id, CAST(d AS INTEGER) AS discount,
   CAST(sale AS BIGINT) AS price FROM src""")
 def q_class_price(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"probes", "text"})
+    f = page_facts(H.product_pages(spark, sf))
     cp = E.class_price("facts")
     return f.select("page_id", cp["discount"].alias("discount"), cp["price"].alias("price"))
 
@@ -289,8 +271,8 @@ def q_page_rating(spark, sf):
 
 @query("declared_count", oracle=_SRC + "SELECT k AS page_id, CAST(s AS BIGINT) AS declared FROM src")
 def q_declared_count(spark, sf):
-    f = page_facts(H.product_pages(spark, sf), want={"text"})
-    return f.select("page_id", E.declared_count(F.col("facts.text")).alias("declared"))
+    f = page_facts(H.product_pages(spark, sf))
+    return f.select("page_id", E.declared_count(E.page_text()).alias("declared"))
 
 
 def _band_sql(x: str) -> str:
@@ -315,7 +297,7 @@ def q_product_facts(spark, sf):
   ingr AS ingredients, prec AS precautions FROM src""")
 def q_notice_facts(spark, sf):
     """Notice-page text fields over four page layouts."""
-    return R.extract_notices(page_facts(H.notice_pages(spark, sf), want=NOTICE_FACTS))
+    return R.extract_notices(page_facts(H.notice_pages(spark, sf)))
 
 
 # ---------------------------------------------------------------- synthesised review pages
@@ -341,7 +323,7 @@ def q_card_explode(spark, sf):
   CASE WHEN doc_id % 3 = 0 THEN '지속력: ' || lang ELSE '' END AS special_note_1,
   CASE WHEN doc_id % 3 = 0 THEN '발색: ' || source ELSE '' END AS special_note_2,
   '' AS special_note_3,
-  length({_strip_sql("'Customer review text: ' || text")}) AS body_len, true AS valid
+  {_strip_sql("'Customer review text: ' || text")} AS review_text, true AS valid
 FROM src""")
 def q_review_facts(spark, sf):
     """Review record of each card."""
@@ -349,26 +331,24 @@ def q_review_facts(spark, sf):
     return r.select("doc_id", "username", "user_info", "age", "gender", "skin_type_1",
                     "skin_type_2", "rating", "option", "review_type", "special_note_1",
                     "special_note_2", "special_note_3",
-                    F.length("review_text").cast("long").alias("body_len"), "valid")
+                    "review_text", "valid")
 
 
-@query("product_bundle", oracle=_SRC + """, rv AS (
-  SELECT l_partkey AS k, COUNT(*) AS total_reviews FROM lineitem GROUP BY 1)
+@query("product_bundle", oracle=_SRC + f""", rv AS (
+  SELECT doc_id // {H.CARDS_PER_PAGE} AS k, COUNT(*) AS total_reviews, SUM(rating) AS sum_rating
+  FROM ({H.src_review_sql()}) GROUP BY 1)
 SELECT s.code AS product_code, s.name AS product_name, s.usage AS usage_method,
-       s.ingr AS ingredients, s.prec AS precautions, COALESCE(rv.total_reviews, 0) AS total_reviews
+       s.ingr AS ingredients, s.prec AS precautions, CAST(s.sale AS BIGINT) AS current_price,
+       COALESCE(rv.total_reviews, 0) AS total_reviews, CAST(COALESCE(rv.sum_rating, 0) AS BIGINT) AS sum_rating
 FROM src s LEFT JOIN rv ON rv.k = s.k""")
 def q_product_bundle(spark, sf):
     """Product record (C1) with the notice page's text fields winning
-    when non-empty (J3), plus the product's review count.  Reviews stay a
-    separate table keyed by product (no per-product array)."""
-    prod = R.extract_products(_prod_facts(spark, sf))
-    notice = R.extract_notices(page_facts(H.notice_pages(spark, sf), want=NOTICE_FACTS))
-    merged = M.notice_override(prod, notice, key="page_id")
-    counts = (X.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("page_id"))
-              .agg(F.count(F.lit(1)).alias("total_reviews")))
-    return (merged.join(counts, "page_id", "left")
-            .select("product_code", "product_name", "usage_method", "ingredients", "precautions",
-                    F.coalesce("total_reviews", F.lit(0)).alias("total_reviews")))
+    when non-empty (J3), plus the product's parsed reviews; all pages of all
+    kinds are parsed once."""
+    pages = R.raw_html_features(H.bundle_pages(spark, sf))
+    f = page_facts(pages, keys=["page_id"], passthrough=["kind", "url"] + R.RAW_FEATURES, cards=True)
+    return R.product_bundle(f).select("product_code", "product_name", "usage_method", "ingredients", "precautions",
+                                      "current_price", "total_reviews", "sum_rating")
 
 
 def _name_clean_sql(x: str) -> str:
@@ -381,44 +361,76 @@ def _name_clean_sql(x: str) -> str:
 
 
 @query("listing_extract", oracle=f"""WITH {_LINKS_SQL},
-firsts AS (SELECT '{BASE}' || href AS product_url, arg_min(page_id, (page_id, pos)) AS page_id,
-                  arg_min(pos, (page_id, pos)) AS pos, arg_min(text, (page_id, pos)) AS raw_name
-           FROM links WHERE href <> '' AND contains('{BASE}' || href, '/t') GROUP BY 1)
+firsts AS (SELECT page_id, '{BASE}' || href AS product_url, min(pos) AS pos, arg_min(text, pos) AS raw_name
+           FROM links WHERE href <> '' GROUP BY ALL)
 SELECT page_id, pos, product_url, {_name_clean_sql('raw_name')} AS product_name,
-       '' AS product_code FROM firsts""")
+       COALESCE(NULLIF({_H1_SQL}, ''), 'unknown') AS listing_name,
+       '' AS product_code FROM firsts JOIN pages USING (page_id)""")
 def q_listing_extract(spark, sf):
-    """C6 on the driver pages (product paths stand in as '/t')."""
-    f = page_facts(_pages(spark, sf), want={"links"})
-    out = R.extract_listing(f, must_contain="/t")
-    return out.withColumn("pos", F.col("pos").cast("long"))
-
-
-@query("brand_run", oracle=f"""WITH {_LINKS_SQL},
-lst AS (SELECT DISTINCT '{BASE}' || href AS product_url FROM links
-        WHERE href <> '' AND contains('{BASE}' || href, '/t')),
-cat AS (SELECT DISTINCT '{BASE}' || l.href AS product_url FROM links l JOIN pages p
-        ON p.page_id = l.page_id WHERE contains(p.url, 'ref='))
-SELECT (SELECT COUNT(*) FROM links) AS n_links,
-       (SELECT COUNT(*) FROM lst) AS n_products,
-       (SELECT COUNT(*) FROM lst WHERE product_url IN (SELECT product_url FROM cat)) AS n_skipped,
-       (SELECT COUNT(*) FROM lst WHERE product_url NOT IN (SELECT product_url FROM cat)) AS n_new""")
+    """C6 on the driver pages: each is a listing, all its links products."""
+    out = R.extract_listing(_facts(spark, sf), must_contain="/")
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), "product_url", "product_name", "listing_name",
+                      "product_code")
+
+
+_LISTING_SRC = f"""WITH src AS ({H.SRC_LISTING}),
+said AS (
+  SELECT DISTINCT g, CASE g % 4 WHEN 0 THEN 'Hall ' || g WHEN 1 THEN 'House ' || g WHEN 2 THEN 'Mark ' || g ELSE 'Shop ' || g END AS name,
+         CASE WHEN g % 2 = 0 THEN 'brand' ELSE 'category' END AS kind,
+         CASE WHEN g % 3 > 0 THEN count(*) OVER (PARTITION BY g) + CASE WHEN g % 5 = 0 THEN 3 ELSE 0 END END AS declared
+  FROM src)
+"""
+
+
+@query("listing_products", oracle=_LISTING_SRC + """
+SELECT g AS page_id, s.name AS listing_name, kind AS listing_kind, declared, url AS product_url, code AS product_code, serial,
+       CASE WHEN length(src.name) < 3 THEN '' ELSE src.name END AS product_name
+FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS rk FROM src) src JOIN said s USING (g) WHERE rk <= 40""")
+def q_listing_products(spark, sf):
+    """Listing pages of the shop's own form: each product once though it
+    is linked twice (its first link counts), at most 40 a listing (L2)."""
+    f = page_facts(H.listing_pages(spark, sf), passthrough=["url"])
+    out = R.extract_listing(f, max_products=40)
+    return out.select("page_id", "listing_name", "listing_kind", "declared", "product_url", "product_code", "serial", "product_name")
+
+
+def _crawled(spark, sf):
+    """What earlier runs have: all parts, those above size 9 under other codes,
+    those that are not SMALL under other serials."""
+    p = X.table(spark, sf, "part")
+    code, serial = F.col("p_partkey").cast("string"), (F.col("p_partkey") * 7).cast("string")
+    other = lambda c, same: F.when(same, c).otherwise(F.concat(c, F.lit("-x")))
+    return p.select(other(code, F.col("p_size") < 10).alias("product_code"), other(serial, F.col("p_type") == "SMALL").alias("serial"))
+
+
+@query("brand_run", oracle=_LISTING_SRC + """, done AS (
+  SELECT p_partkey AS k, p_size < 10 AS by_code, p_type = 'SMALL' AS by_serial FROM part),
+marked AS (
+  SELECT src.*, EXISTS (SELECT 1 FROM done WHERE by_code AND CAST(done.k AS VARCHAR) = src.code)
+             OR EXISTS (SELECT 1 FROM done WHERE by_serial AND CAST(done.k * 7 AS VARCHAR) = src.serial) AS known FROM src),
+t AS (SELECT g, count(*) AS n, count(CASE WHEN known THEN 1 END) AS skipped FROM marked GROUP BY g)
+SELECT g AS page_id, name, kind, declared, CAST(2 * n + 2 AS BIGINT) AS n_links, n AS n_products, skipped AS n_skipped, n - skipped AS n_new,
+       n >= declared AS complete
+FROM t JOIN said USING (g)""")
 def q_brand_run(spark, sf):
-    """One brand run's totals: listing (C6), resume against the
-    catalogue of earlier runs (J1, here: the links of 'ref=' pages), new
-    vs skipped (A15)."""
-    f = _facts(spark, sf)
-    listing = R.extract_listing(f.select("page_id", "facts"), must_contain="/t")
-    all_links = E.explode_links(f.select("page_id", "facts"))
-    cat = (E.explode_links(f.filter(F.col("url").contains("ref=")).select("page_id", "facts"))
-           .select(F.concat(F.lit(BASE), "href").alias("product_url")).distinct())
-    new = M.resume_anti(listing.withColumn("serial", F.lit(None).cast("string")),
-                        cat,
-                        cat.select(F.lit(None).cast("string").alias("serial")),
-                        code="product_url", serial="serial")
-    # one aggregate over a tagged union: no joins between the counts
-    tagged = (all_links.select(F.lit("link").alias("t"))
-              .unionByName(listing.select(F.lit("product").alias("t")))
-              .unionByName(new.select(F.lit("new").alias("t"))))
-    c = lambda v: F.count(F.when(F.col("t") == v, 1))
-    return tagged.agg(c("link").alias("n_links"), c("product").alias("n_products"),
-                      (c("product") - c("new")).alias("n_skipped"), c("new").alias("n_new"))
+    """The totals of a run over all listings: name, kind, declared count,
+    links, products, those that earlier runs have (J1) and new ones (A15),
+    completeness (A16); the listings are parsed once."""
+    f = page_facts(H.listing_pages(spark, sf), passthrough=["url"])
+    return R.listing_totals(f, _crawled(spark, sf))
+
+
+@query("page_totals", oracle=f"""WITH {_LINKS_SQL},
+cat AS (SELECT DISTINCT '{BASE}/' || regexp_extract(text, '[^\x20\x09-\x0D]+') AS u FROM documents),
+per AS (SELECT page_id, '{BASE}' || href AS u FROM links WHERE href <> '' GROUP BY ALL)
+SELECT p.page_id, COALESCE(NULLIF({_H1_SQL}, ''), 'unknown') AS name,
+       CAST((SELECT count(*) FROM links l WHERE l.page_id = p.page_id) AS BIGINT) AS n_links,
+       count(per.u) AS n_products, count(cat.u) AS n_skipped, count(per.u) - count(cat.u) AS n_new
+FROM pages p LEFT JOIN per ON per.page_id = p.page_id LEFT JOIN cat ON cat.u = per.u GROUP BY p.page_id, p.html""")
+def q_page_totals(spark, sf):
+    """C7 on the driver pages: each is a listing of all its links, looked up
+    by URL in a catalogue of the documents' first words."""
+    word = F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0)
+    cat = X.table(spark, sf, "documents").select(F.concat(F.lit(BASE + "/"), word).alias("product_code"), F.lit("").alias("serial"))
+    out = R.listing_totals(_facts(spark, sf), cat, must_contain="/", code=lambda u: u, serial=lambda u: F.lit(""))
+    return out.select("page_id", "name", "n_links", "n_products", "n_skipped", "n_new")

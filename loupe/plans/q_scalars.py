@@ -10,6 +10,8 @@ from ..functions import prices as PR_
 from ..functions import reviews as RF
 from ..functions import users as U
 from ..functions.users import match_order
+from ..operators import extract as E
+from ..sources import catalog as CAT
 from . import fixtures as X
 from .registry import query
 
@@ -433,9 +435,7 @@ def q_card_text_filter(spark, sf):
     """The text-pattern fallback for review cards."""
     d = _docs(spark, sf)
     t = F.col("text")
-    keep = (t.rlike("(?U)" + C.CARD_FALLBACK_PATTERN) & (F.length(t) > 50)
-            & (t.rlike(C.CARD_FALLBACK_HINT) | (F.length(t) > 100)))
-    return d.filter(keep).select("doc_id")
+    return d.filter(E.card_text("text")).select("doc_id")
 
 
 @query("text_caps", oracle=f"""WITH src AS (
@@ -478,23 +478,29 @@ TEST_NOTE_DICTIONARY = [("A", ["the", "and"]), ("B", ["de", "la"]), ("C", ["der"
 
 
 def _notes_dict_sql() -> str:
-    labels = []
-    for label, pats in TEST_NOTE_DICTIONARY:
-        whens = []
+    """Per label the notes of its patterns; each label takes its first that no
+    earlier one took."""
+    cands, picks = [], []
+    for i, (label, pats) in enumerate(TEST_NOTE_DICTIONARY):
+        found = []
         for p in pats:
-            rx = "(?i)" + p + "[^\\n]*"
-            ext = "regexp_extract(text, '" + rx + "', 0)"
-            whens.append(f"WHEN contains(text, '{p}') AND regexp_matches(text, '{rx}') THEN "
-                         f"'{label}: ' || substr({_strip_sql(ext)}, 1, 50)")
-        labels.append("CASE " + " ".join(whens) + " END")
-    arr = "list_filter([" + ", ".join(labels) + "], lambda x: x IS NOT NULL)"
-    return f"SELECT doc_id, array_to_string(({arr})[1:3], ' | ') AS notes FROM documents"
+            ext = _strip_sql("regexp_extract(text, '(?i)" + p + "[^\\n]*', 0)")
+            found.append(f"CASE WHEN contains(text, '{p}') THEN NULLIF(substr({ext}, 1, 50), '') END")
+        cands.append(f"list_filter([{', '.join(found)}], lambda x: x IS NOT NULL) AS c{i}")
+    prev = "c"
+    steps = f"WITH c AS (SELECT doc_id, {', '.join(cands)} FROM documents)"
+    for i, (label, _) in enumerate(TEST_NOTE_DICTIONARY):
+        taken = "[" + ", ".join(f"n{j}" for j in range(i)) + "]::VARCHAR[]"
+        steps += f", s{i} AS (SELECT *, list_filter(c{i}, lambda x: NOT list_contains({taken}, x))[1] AS n{i} FROM {prev})"
+        prev = f"s{i}"
+        picks.append(f"'{label}: ' || n{i}")
+    return steps + f" SELECT doc_id, array_to_string((list_filter([{', '.join(picks)}], lambda x: x IS NOT NULL))[1:3], ' | ') AS notes FROM {prev}"
 
 
 @query("notes_dict", oracle=_notes_dict_sql())
 def q_notes_dict(spark, sf):
     d = _docs(spark, sf)
-    n = RF.notes_from_dictionary(F.col("text"), F.col("text"), TEST_NOTE_DICTIONARY)
+    n = RF.notes_from_dictionary("text", "text", TEST_NOTE_DICTIONARY)
     return d.select("doc_id", F.array_join(n, " | ").alias("notes"))
 
 
@@ -524,6 +530,4 @@ def q_output_name(spark, sf):
     'brand_YYYYMMDD' from the run time."""
     e = X.table(spark, sf, "events")
     given = F.concat(F.lit("reviews_"), F.coalesce("event_type", F.lit("")))
-    return e.select("event_id", F.coalesce(
-        F.nullif(F.element_at(F.split(given, "_"), -1), F.lit("")),
-        F.concat(F.lit("brand_"), F.date_format("ts", "yyyyMMdd"))).alias("base_name"))
+    return e.select("event_id", CAT.output_base_name(given, F.lit(""), F.col("ts")).alias("base_name"))

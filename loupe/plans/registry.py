@@ -13,7 +13,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ["q_summary", "q_merge", "q_scalars", "q_pages", "q_views"]
+_MODULES = ["q_summary", "q_merge", "q_scalars", "q_pages", "q_views", "q_stored"]
 
 
 def query(name: str, oracle: str | None = None):

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from loupe.sources import catalog as CAT
@@ -29,19 +30,68 @@ def test_missing_catalog_is_empty(spark, tmpdir_path):
 
 
 def test_envelope_roundtrip(spark, tmpdir_path):
-    items = spark.createDataFrame([(0, "a", "A"), (1, "b", None)],
-                                  "pos int, product_code string, product_name string")
-    doc = CAT.envelope_document(items, brand_url=F.lit("u"), crawled_at=F.lit("t")).first()["json"]
-    d = json.loads(doc)
-    assert d["total_products"] == 2 and d["products"][1]["product_name"] is None
+    doc = {"brand_url": "u", "crawled_at": "t", "total_products": 2,
+           "products": [{"product_code": "a", "product_name": "A"}, {"product_code": "b", "product_name": None}]}
     path = os.path.join(tmpdir_path, "env")
     os.makedirs(path)
     with open(os.path.join(path, "f.json"), "w") as f:
-        f.write(doc)
+        json.dump(doc, f)
     prods, _ = CAT.read_catalog(spark, path)
     assert [r["product_code"] for r in prods.orderBy("pos").collect()] == ["a", "b"]
 
 
+def test_files_of_other_versions_are_kept_and_counted(spark, tmpdir_path):
+    """More fields, fewer, other types, items that are no objects, another
+    shape, no JSON: nothing is dropped unseen."""
+    files = {
+        "now.json": {"brand_url": "u", "reviews": [{"username": "a", "rating": 5, "product_code": "p"}]},
+        "more.json": {"brand_url": "u", "schema": 2, "reviews": [
+            {"username": "b", "rating": 4, "helpful": 12, "photos": ["x", "y"]}, {"username": "c"}]},
+        "less.json": {"reviews": [{"rating": "4"}, {"rating": [1]}, "oops", None]},
+        "shape.json": {"brand_url": "u", "items": []},
+        "empty.json": {"brand_url": "u", "reviews": []},
+    }
+    for name, doc in files.items():
+        with open(os.path.join(tmpdir_path, name), "w", encoding="utf-8") as f:
+            json.dump(doc, f, indent=1)
+    with open(os.path.join(tmpdir_path, "cut.json"), "w") as f:
+        f.write('{"brand_url": "u", "reviews": [{"usern')
+    rows, bad = CAT.read_reviews(spark, tmpdir_path)
+    got = {(r.file.rsplit("/", 1)[1], r.pos): r for r in rows.withColumn("more", F.to_json("more")).collect()}
+    assert sorted(got) == [("less.json", 0), ("less.json", 1), ("more.json", 0), ("more.json", 1), ("now.json", 0)]
+    assert got["now.json", 0].rating == 5 and got["now.json", 0].brand_url == "u" and got["now.json", 0].more == "{}"
+    assert json.loads(got["more.json", 0].more) == {"helpful": 12, "photos": ["x", "y"]}
+    assert got["less.json", 0].rating == 4 and got["less.json", 1].rating is None and got["more.json", 1].rating is None
+    seen = {r.file.rsplit("/", 1)[1]: (r.status, r.n_items, r.n_odd) for r in bad.collect()}
+    assert seen == {"less.json": ("ok", 4, 2), "shape.json": ("no items", 0, 0), "cut.json": ("broken", 0, 0)}
+    assert bad.filter("status = 'broken'").first().sample.startswith('{"brand_url"')
+
+
+def test_tables_become_current_together(spark, tmpdir_path):
+    store = os.path.join(tmpdir_path, "store")
+    assert CAT.store_version(spark, store) == 0 and CAT.read_store(spark, store, "a") is None
+
+    def parts(n, run):
+        return {t: CAT.write_part(spark.range(n).withColumnRenamed("id", "k"), store, t, run, sort_key="k")[0] for t in "abcd"}
+
+    assert CAT.commit(spark, store, 0, "r1", parts(3, "r1")) == 1
+    for written in range(5):  # a run that dies after any number of its writes, the last one just before its commit
+        for t in "abcd"[:written]:
+            CAT.write_part(spark.range(9).withColumnRenamed("id", "k"), store, t, "dead")
+        assert [CAT.read_store(spark, store, t).count() for t in "abcd"] == [3] * 4
+    second, third = parts(4, "r2"), parts(5, "r3")
+    assert CAT.commit(spark, store, 1, "r2", second) == 2
+    with pytest.raises(CAT.StoreChanged):  # it read version 1 as well
+        CAT.commit(spark, store, 1, "r3", third)
+    assert [CAT.read_store(spark, store, t).count() for t in "abcd"] == [4] * 4
+    assert CAT.commit(spark, store, 2, "r4", {"a": third["a"]}, note="only one") == 3
+    assert [CAT.read_store(spark, store, t).count() for t in "abcd"] == [5, 4, 4, 4]
+    assert CAT.read_store(spark, store, "a", version=1).count() == 3
+    assert CAT.read_manifest(spark, store)["note"] == "only one"
+    path, rows = CAT.write_part(spark.range(7), store, "a", "r5")
+    assert rows == 7 and spark.read.parquet(path).count() == 7
+
+
 def test_snapshots_swap_pointer(spark, tmpdir_path):
     base = os.path.join(tmpdir_path, "products")
     assert CAT.read_table(spark, base) is None
