@@ -25,16 +25,26 @@ from loupe.llm.token_counts import _tokenizer
 #: letters and digits spelled out for the characters of ``common.plain``.
 PLAIN_PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
 
-#: A space begins a pre-token unless white space stands before it: the cases
-#: that a plain text can have.
+#: A space begins a chunk unless white space stands before it: the cases that a
+#: plain text can have.
 RUNS = ("  ", "\n ", "\r ", "\t ")
 
-#: Chunks and pre-tokens that a worker remembers.
-MEMO = 600_000
+#: Chunks that a worker remembers; other pre-tokens (numbers, signs).
+MEMO, PIECES = 1_000_000, 100_000
+
+#: Stands for a space that begins no chunk; no plain text holds it.
+INSIDE = "\x01"
+
+#: Signs that are a pre-token of their own after a word.
+SIGNS = ".,;:!?"
 
 
 class ChunkIds(dict):
-    """Ids (little-endian unsigned 32-bit) of a space and the chunk after it."""
+    """Ids (little-endian unsigned 32-bit) of a space and the chunk after it.
+
+    A word is one pre-token, a word and a sign two, of which the word is
+    remembered alone once half the memory is used: rare words come with any
+    sign, so remembering each form would cost the memory of other words."""
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
@@ -43,22 +53,32 @@ class ChunkIds(dict):
         self.letters = "".join(byte_letters())
         self.known: dict[str, bytes] = {}
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.signs = {sign: self.ids(sign) for sign in SIGNS}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.merge(" " + chunk)
+        if chunk.isalpha():
+            ids = self.ids(" " + chunk)
+        elif len(self) > MEMO // 2 and chunk[-1:] in self.signs and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self.signs[chunk[-1]]
+        else:
+            ids = self.merge(" " + chunk.replace(INSIDE, " "))
         if len(self) < MEMO:
             self[chunk] = ids
         return ids
 
+    def ids(self, pre: str) -> bytes:
+        """Of one pre-token."""
+        word = pre.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def merge(self, text: str) -> bytes:
         """Of a text of plain characters (``common.plain``)."""
         out = b""
         for pre in self.split(text):
             ids = self.known.get(pre)
             if ids is None:
-                word = pre.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-                if len(self.known) < MEMO:
+                ids = self.ids(pre)
+                if len(self.known) < PIECES:
                     self.known[pre] = ids
             out += ids
         return out
@@ -67,9 +87,12 @@ class ChunkIds(dict):
         if not plain(text) or any(s in text for s in self.specials):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if any(run in text for run in RUNS):
-            return self.merge(text)
+            for run in RUNS:
+                text = text.replace(run, run[0] + INSIDE)
+            while INSIDE + " " in text:
+                text = text.replace(INSIDE + " ", INSIDE + INSIDE)
         first, *rest = text.split(" ")
-        return self.merge(first) + b"".join(map(self.__getitem__, rest))
+        return self.merge(first.replace(INSIDE, " ")) + b"".join(map(self.__getitem__, rest))
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
