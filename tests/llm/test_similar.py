@@ -9,7 +9,7 @@ from loupe.llm.common import WordHash, words_of
 from loupe.llm.components import components
 from loupe.llm.decontaminate import Items, contaminated, drop_contaminated, passage
 from loupe.llm.near_dedup import drop_near_duplicates, near_duplicates, near_links
-from loupe.llm.substring_dedup import GAP, WORDS, paragraph_rows, repeated, without_repeats
+from loupe.llm.substring_dedup import GAP, WORDS, ends_apart, paragraph_rows, repeated, without_repeats
 
 from .cases import SCHEMA, clashing, edited, frame, keyed, odd_rows, prose
 
@@ -291,3 +291,9 @@ def test_repeats_cut_and_edges(spark):
     assert repeated(frame(spark, [], SCHEMA)).collect() == []
     twice = repeated(frame(spark, odd_rows())).collect()
     assert {(r.doc_id, r.first) for r in twice} == {(5, 4)}
+
+
+def test_ends_that_are_not_shared():
+    a, b = "x s1 s2 s3 s4".split(), "y s1 s2 s3 s4 z".split()
+    assert ends_apart(a, b) == (1, 0) and ends_apart(b, a) == (1, 1)
+    assert ends_apart(a, a) == (0, 0) and ends_apart(["a"], ["b"]) == (0, 0) and ends_apart("a b".split(), "c d".split()) == (0, 0)
