@@ -30,7 +30,7 @@ PLAIN_PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s
 RUNS = ("  ", "\n ", "\r ", "\t ")
 
 #: Chunks that a worker remembers; other pre-tokens (numbers, signs).
-MEMO, PIECES = 1_000_000, 100_000
+MEMO, PIECES = 1_500_000, 100_000
 
 #: Stands for a space that begins no chunk; no plain text holds it.
 INSIDE = "\x01"
