@@ -51,9 +51,9 @@ def plain_ascii(text: str) -> bool:
 class ChunkIds(dict):
     """Ids (little-endian unsigned 32-bit) of a space and the chunk after it.
 
-    A word is one pre-token, a word and a sign two, of which the word is
-    remembered alone once half the memory is used: rare words come with any
-    sign, so remembering each form would cost the memory of other words."""
+    A word is one pre-token, a word and a sign two, of which the word is looked
+    up; once half the memory is used only the word is remembered: rare words
+    come with any sign, and each form would cost the memory of another word."""
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
@@ -69,8 +69,10 @@ class ChunkIds(dict):
         if chunk.isalpha():
             # ASCII letters stand for themselves
             ids = self.of(self.space + chunk) if chunk.isascii() else self.ids(" " + chunk)
-        elif len(self) > MEMO // 2 and chunk[-1:] in self.signs and chunk[:-1].isalpha():
-            return self[chunk[:-1]] + self.signs[chunk[-1]]
+        elif chunk[-1:] in self.signs and chunk[:-1].isalpha():
+            ids = self[chunk[:-1]] + self.signs[chunk[-1]]
+            if len(self) > MEMO // 2:
+                return ids
         else:
             ids = self.merge(" " + chunk.replace(INSIDE, " "))
         if len(self) < MEMO:
