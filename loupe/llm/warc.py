@@ -7,11 +7,13 @@ record (plain text), each with an id of its own and WARC-Refers-To its source.
 Records are text whose blocks are counted in UTF-8 bytes, so Spark's text
 writer stores them with its line end set to the two line breaks that close a
 WARC record: any file system will do, and a lost task is written again whole.
+The files are gzipped.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -116,8 +118,10 @@ def response(page: str, url: str, html: str, captured: str) -> str:
 
 
 def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file, by their lengths; a
-    header that is given twice keeps its first value."""
+    """Headers and block of each record of a WARC file, gzipped or not, by
+    their lengths; a header that is given twice keeps its first value."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while (at := data.find(VERSION[:5].encode(), at)) >= 0:
         end = data.find(BREAK.encode() * 2, at)
@@ -152,7 +156,8 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[str]:
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    (records.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path))
+    (records.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", FILE_RECORDS)
+     .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -220,12 +225,14 @@ def derived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         return F.regexp_extract("block", rf"(?m)^{name}: ?(.*?)\r?$", 1)
 
     kind = pages.schema[key].dataType.simpleString()
-    meta = rows.where("type = 'metadata'").select(
-        F.when(F.col("source") != "", F.col("source")).cast(kind).alias(key), "uri", F.col("refers_to").alias("response_id"), F.col("id").alias("metadata_id"),
+    meta = F.struct(
+        F.when(F.col("source") != "", F.col("source")).cast(kind).alias(key), "uri", F.col("id").alias("metadata_id"),
         said("source-payload-digest").alias("payload_digest"), F.col("digest").alias("metadata_digest"), said("title").alias("title"),
         F.regexp_count("block", F.lit(r"(?m)^outlink: ")).cast("long").alias("outlinks"), (F.col("verified") & (said("source-verified") == "true")).alias("ok"))
-    text = rows.where("type = 'conversion'").select(F.col("refers_to").alias("response_id"), F.col("id").alias("conversion_id"), F.col("digest").alias("conversion_digest"),
-                                                    F.col("block").alias("text"), F.col("verified").alias("whole"))
-    # repeated rows: both sides repeat, so one conversion is kept for each response
-    out = meta.join(text.dropDuplicates(["response_id"]), "response_id")
-    return out.withColumn("verified", F.col("ok") & F.col("whole")).drop("ok", "whole")
+    text = F.struct(F.col("id").alias("conversion_id"), F.col("digest").alias("conversion_digest"), F.col("block").alias("text"), F.col("verified").alias("whole"))
+    # equal response ids mean equal pages: repeated rows are counted and dealt out again
+    one = rows.select(F.col("refers_to").alias("response_id"), F.when(F.col("type") == "metadata", meta).alias("m"), F.when(F.col("type") == "conversion", text).alias("t")) \
+        .groupBy("response_id").agg(F.max("m").alias("m"), F.max("t").alias("t"), F.count("m").alias("n")).where("m IS NOT NULL AND t IS NOT NULL")
+    out = one.select("response_id", "m.*", "t.*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_copy"))
+    return out.withColumn("verified", F.col("ok") & F.col("whole")).select(
+        "response_id", key, "uri", "metadata_id", "payload_digest", "metadata_digest", "title", "outlinks", "conversion_id", "conversion_digest", "text", "verified")

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,16 @@ def test_warc_chain(spark, tmpdir_path):
     assert derived(frame(spark, [], PAGES)).collect() == []
 
 
+def test_warc_files_are_small_and_read_once(spark, tmpdir_path):
+    pages = [(i, f"http://a/{i}", f"<title>{i}</title>" + "<p>one line of many</p>" * 2000) for i in range(3)] + [(7, "http://t", "<p>twice")] * 3
+    df, path = frame(spark, pages, PAGES), f"{tmpdir_path}/responses"
+    write_responses(df, path)
+    assert sum(f.stat().st_size for f in Path(path).glob("part-*")) < sum(len(h) for _, _, h in pages) / 4
+    got = derived(df)
+    assert sorted(r.page_id for r in got.collect()) == [0, 1, 2, 7, 7, 7]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"])
 def test_registered(name):
     import __spark_entry__
