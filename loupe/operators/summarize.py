@@ -68,6 +68,10 @@ def keyword_counts(reviews: DataFrame, *, key: str = "product_code", text: str =
                  *[F.sum(keyword_count(t, k)).alias(f"kw_{i}") for i, k in enumerate(kws)]))
 
 
+#: White space that ends a word: no keyword without it goes past it.
+GAPS = r"[\x20\x09-\x0D]+"
+
+
 def _overlaps_itself(keyword: Column) -> Column:
     """Whether two occurrences can overlap: some end of it is its beginning."""
     n = F.length(keyword)
@@ -78,27 +82,40 @@ def _overlaps_itself(keyword: Column) -> Column:
 def dictionary_counts(reviews: DataFrame, dictionary: DataFrame, *, key: str = "product_code", text: str = "review_text",
                       pos: str = "pos", keyword: str = "keyword") -> DataFrame:
     """A5 / U2 with the dictionary as a table of any size: (key, keyword, n)
-    of every keyword that occurs.  Each text gives its windows of the
-    keywords' lengths once, whatever the number of keywords; a join with the
-    dictionary finds the occurrences, which are counted like str.count does:
-    each keyword alone, and where one can overlap itself, from left to right.
-    ``pos`` tells the rows apart."""
+    of every keyword that occurs, counted like str.count does: each keyword
+    alone, and where one can overlap itself, from left to right.  A keyword
+    without white space lies within one word, so each word is looked through
+    once, however often it stands in the texts; only keywords with white space
+    are looked for in whole texts.  ``pos`` tells the rows apart."""
     words = dictionary.select(F.col(keyword).alias("_kw")).filter("_kw <> ''").distinct()
+    spaced = F.col("_kw").rlike(GAPS)
+    rows = reviews.filter(F.coalesce(F.col(text), F.lit("")) != "").select(
+        F.col(key).alias("_key"), F.col(pos).alias("_row"), F.col(text).alias("_text"))
+    tokens = rows.select("_key", F.explode(F.split("_text", GAPS)).alias("_token")).filter("_token <> ''") \
+        .groupBy("_key", "_token").agg(F.count(F.lit(1)).alias("_often"))
+    inside = _occurrences(tokens.select(F.col("_token").alias("_text")).distinct().withColumn("_row", F.col("_text")), ["_row"], words.filter(~spaced))
+    near = tokens.join(inside.withColumnRenamed("_row", "_token"), "_token").select("_key", "_kw", (F.col("n") * F.col("_often")).alias("n"))
+    across = _occurrences(rows, ["_key", "_row"], words.filter(spaced))
+    both = near.unionByName(across.select("_key", "_kw", "n"))
+    return both.groupBy("_key", "_kw").agg(F.sum("n").alias("n")).select(F.col("_key").alias(key), F.col("_kw").alias(keyword), "n")
+
+
+def _occurrences(rows: DataFrame, keys: list[str], words: DataFrame) -> DataFrame:
+    """(keys, _kw, n): how often each of ``words`` stands in each ``_text``.
+    A text gives its windows of the keywords' lengths once, whatever the number
+    of keywords; a join finds those that are keywords."""
     lengths = words.agg(F.collect_set(F.length("_kw")).alias("_l")).scalar()  # as many as lengths differ
     words = words.withColumn("_folds", _overlaps_itself(F.col("_kw")))
-    rows = reviews.filter(F.coalesce(F.col(text), F.lit("")) != "").select(
-        F.col(key).alias("_key"), F.col(pos).alias("_row"), F.split(F.col(text), "").alias("_chars"), lengths.alias("_lengths"))
-    rows = rows.withColumn("_n", F.explode("_lengths")).filter(F.size("_chars") >= F.col("_n"))
+    cut = rows.withColumn("_n", F.explode(lengths)).filter(F.length("_text") >= F.col("_n")).select(*keys, "_n", F.split("_text", "").alias("_chars"))
     windows = F.transform(F.sequence(F.lit(1), F.size("_chars") - F.col("_n") + 1),
                           lambda i: F.array_join(F.slice("_chars", i, F.col("_n")), ""))
-    found = rows.select("_key", "_row", "_n", F.posexplode(windows).alias("_at", "_w")).join(words, F.col("_w") == F.col("_kw"))
-    alone = found.filter(~F.col("_folds")).groupBy("_key", "_kw").agg(F.count(F.lit(1)).alias("n"))
+    found = cut.select(*keys, "_n", F.posexplode(windows).alias("_at", "_w")).join(words, F.col("_w") == F.col("_kw"))
+    alone = found.filter(~F.col("_folds")).groupBy(*keys, "_kw").agg(F.count(F.lit(1)).alias("n"))
     # places of one keyword in one text, at most the text's length
-    folded = found.filter("_folds").groupBy("_key", "_row", "_kw", "_n").agg(F.array_sort(F.collect_list("_at")).alias("_places"))
+    folded = found.filter("_folds").groupBy(*keys, "_kw", "_n").agg(F.array_sort(F.collect_list("_at")).alias("_places"))
     free = lambda acc, at: F.when(at >= acc["end"], F.struct((at + F.col("_n")).alias("end"), (acc["n"] + 1).alias("n"))).otherwise(acc)
     count = F.aggregate("_places", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), free, lambda acc: acc["n"])
-    folded = folded.groupBy("_key", "_kw").agg(F.sum(count).alias("n"))
-    return alone.unionByName(folded).select(F.col("_key").alias(key), F.col("_kw").alias(keyword), "n")
+    return alone.unionByName(folded.select(*keys, "_kw", count.alias("n")))
 
 
 def keyword_long(counts: DataFrame, *, key: str = "product_code",
