@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from pathlib import Path
@@ -6,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from loupe.llm import warc
 from loupe.llm.chat import END, START, format_chats, formatted_chats, parse, render
 from loupe.llm.fingerprint import K, containment, distinct_shingles, fingerprints, merge_groups, merged, packed, resemblance, sketch, unpacked
 from loupe.llm.toxicity import calibrate, drop_toxic, held_out, score_toxicity
@@ -161,6 +163,27 @@ def test_plain_text():
     assert plain_text("") == ("", "", []) and plain_text("no tags") == ("no tags", "", []) and plain_text("<p" * 3000)[1] == ""
 
 
+def test_plain_pages_are_read_without_the_parser(monkeypatch):
+    """What the quick reading takes, it reads as the parser does; the rest it leaves."""
+    bits = ["<title>", "</title>", "<title>a &amp; b</title>", "<TITLE>x</TITLE >", "<title>a<b>c</title>", "<title/>", "<p>", "</p>", "<br/>", "<div class='x>y'>", "</div>",
+            "<a href=/u>", '<A HREF="/v?a=1&amp;b">', "<a href=''>", "<a href=/x href=/y>", "<a>", "</a>", "one &amp; two", " &lt;b&gt; &eacute &#233", "a & b", "<b>", "</b>", "<head>", "</head>", "<body>",
+            "<script>var t = '</p>';</script>", "<script>", "</script >", "<script><!-- <p> --></script>", "<script/>", "<style>p{}</style>", "</scripty>", "<!-- a -->", "<!-- a -- b -->", "<!>", "<!doctype html>",
+            "<textarea>", "</textarea>", "<noscript>", "<?x>", "< p", "<p", "<![CDATA[x]]>", "<p a=\"", "\n\t ", "<template>", "</template>"]
+    rng, taken = random.Random(5), 0
+    for _ in range(3000):
+        html = "".join(rng.choices(bits, k=rng.randint(1, 8)))
+        quick, page = warc._Page(), warc._Page()
+        page.feed(html)
+        page.close()
+        if warc.plainly(quick, html):
+            taken += 1
+            assert ["".join(p) for p in (quick.parts, quick.heading)] + quick.links == ["".join(p) for p in (page.parts, page.heading)] + page.links, html
+    assert taken > 500
+    monkeypatch.setattr(warc._Page, "feed", None)
+    html = "<!DOCTYPE html><head><title>T &amp; u</title><script>a('</p>')</script></head><body><p>x<a href='/l'>y</a><br>z</body>"
+    assert plain_text(html) == ("xy\nz", "T & u", ["/l"])
+
+
 def test_warc_chain(spark, tmpdir_path):
     split = "before\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nafter"  # looks like records
     pages = [(1, "http://a/1", "<title>T</title><p>Hello <a href='/x'>x</a>"), (2, "http://a/2", f"<p>{split}"), (3, None, None), (4, "", ""), (None, "http://n", "<p>n"),
