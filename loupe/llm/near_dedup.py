@@ -10,8 +10,10 @@ their words in a band: documents are near when their edit distance is at most
 20 % of the longer one's words.
 
 Equal texts are one node throughout.  Within a group of candidates all are
-aligned to one pivot; only those that are not near it go on to the next round,
-so large groups of copies cost one alignment each, not all pairs.
+aligned to one pivot; those that are not near it are compared with the others
+by bounds of their edit distance, and aligned to the few that keep them and
+are not of one class by then, so large groups of copies cost a few alignments
+each, not all pairs, and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -32,8 +34,13 @@ from loupe.llm.components import components
 SHINGLE, PICKS, SKETCHES = 5, 4, 24
 #: Least edit similarity of near documents.
 SIMILAR = 0.8
-#: Pivots of a group in the second round.
-PIVOTS = 8
+#: Alignments of a text to the likeliest others of a block, in the first round,
+#: and how many times as many there are in each round later.
+PAIRS, MORE = 16, 16
+#: Texts of a block of a group.
+BLOCK = 256
+#: Bins of words and of pairs of words, of a whole text and of a paragraph.
+TEXT_BINS, PARAGRAPH_BINS = (256, 1024), (64, 128)
 
 
 def order_minhash(texts: list[str], known: WordHash, shingle: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
@@ -96,9 +103,10 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node binary, entry long")
 
 
-def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``pairs`` (a, b) with d, their edit distance in words as far as it may
-    matter for the rounds (else null), the longer's words, and near."""
+def aligned(pairs: DataFrame, texts: DataFrame, least: float, beyond: bool = False) -> DataFrame:
+    """``pairs`` (a, b) with d, their edit distance in words if it is at most
+    the allowed one (or, ``beyond`` it, three times that and 3), else null, the
+    longer's words, and near."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, list[str]] = ("", [])
@@ -109,8 +117,8 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     last = u, words_of(u)
                 x, y = words_of(t), last[1]
                 longer = max(len(x), len(y))
-                # a text near one that is near the pivot is within three times the allowed edits
-                found.append((edit_distance(x, y, 3 * allowed(longer, least) + 3), longer))
+                most = allowed(longer, least)
+                found.append((edit_distance(x, y, 3 * most + 3 if beyond else most), longer))
             yield pa.RecordBatch.from_arrays(
                 [field(part, "a"), field(part, "b"), pa.array([d for d, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int32()),
                  pa.array([d is not None and d <= allowed(n, least) for d, n in found], pa.bool_())], ["a", "b", "d", "longer", "near"])
@@ -126,103 +134,143 @@ def near_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], l
     (entry, node), the texts that are near each other.  ``texts_of`` gives
     (node, t) for a table of nodes.
 
-    Each round aligns all texts of a group to its pivots, its least texts: one
-    in the first round, ``PIVOTS`` and four times as many each round later.
-    Texts near a pivot are done; the others go on without them, until no group
-    has two, so a group costs a few alignments for each text, not all pairs.
-    At the end a text near a pivot and one that is not, but may be near the
-    first by the triangle inequality, are aligned unless tied by then.
-
-    With ``sketches`` (24 entries a text) what the first round leaves of a
-    group of more than ``PIVOTS`` shares a passage rather than most of its
-    text, and is dealt anew by rare pairs of words, without loss (``dealt``).
-    """
-    texts = known = None
-    pivots = []
-    for round_ in itertools.count():
-        groups = members.groupBy("entry").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q").select("entry", "p", "n")
-        heads = groups
-        if round_:
-            rank = F.row_number().over(Window.partitionBy("entry").orderBy("node"))
-            heads = members.withColumn("rank", rank).where(F.col("rank") <= PIVOTS * 4 ** (round_ - 1)).select("entry", F.col("node").alias("p")).join(groups.select("entry", "n"), "entry")
-        star = written(members.join(heads, "entry").where("node != p"), "star")
-        if star.isEmpty():
-            break
-        if texts is None:
-            texts = written(texts_of(star.select("node").union(star.select("p")).distinct()), "texts")
-        pairs = star.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
-        found = written(aligned(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), texts, least), "aligned")
-        known = found if known is None else known.union(found)
-        of = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "d", "longer", "near")
-        told = written(star.withColumns({"x": F.greatest("node", "p"), "y": F.least("node", "p")}).join(of, ["x", "y"])
-                       .select("entry", "n", "node", "p", "d", "longer", "near"), "told")
-        # a group's pivots are decided: each has been aligned to all others
-        apart = told.groupBy("entry", "node").agg(F.max("near").alias("near")).where("not near").select("entry", "node")
-        pivots.append(told)
-        left = written(apart.join(told.select("entry", F.col("p").alias("node")), ["entry", "node"], "left_anti"), "left")
-        if left.isEmpty():
-            break
-        members = left
-        if sketches and round_ == 0:
-            large = written(left.groupBy("entry").count().where(F.col("count") > PIVOTS).select("entry"), "large")
-            if not large.isEmpty():
-                anew = dealt(texts.join(left.join(large, "entry", "left_semi").select("node").distinct(), "node", "left_semi"), least)
-                members = written(left.join(large, "entry", "left_anti").union(anew), "members")
-    if known is None:
-        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    links = known.where("near").select("a", "b")
-    if pivots:
-        told = pivots[0]
-        for more in pivots[1:]:
-            told = told.union(more)
-        edge = written(_border(told, components(links), least).join(known, ["a", "b"], "left_anti"), "border")
-        if not edge.isEmpty():
-            links = links.union(written(aligned(edge, texts, least), "aligned").where("near").select("a", "b"))
-    return links
-
-
-def dealt(texts: DataFrame, least: float) -> DataFrame:
-    """entry, node: groups such that near ones of ``texts`` (node, t) share one.
-
-    An edit changes at most two of a text's pairs of consecutive words (each
-    labelled with its number among equal ones), so two near texts of m words
-    or more have 0.6 m - 1 of them in common, and in any one order of all
-    pairs one of the first 0.4 m + 1 of each.  That order is from rare to
-    common, so that pairs of a passage that many share come last.
+    First all texts of a group are aligned to its pivot, the one that shares
+    most entries with others: one alignment for each text.  What is not near
+    the pivot is compared with the rest of the group by bounds that no near
+    pair fails (``screened``), unless tied by then, and each text is aligned
+    to the ``PAIRS`` likeliest that remain, then to ``MORE`` times as many of
+    those that are still not tied, until none is left out.  ``sketches``
+    (24 entries a text) stands for whole texts, else they are paragraphs.
     """
+    groups = members.groupBy("entry").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p != q").select("entry")
+    shared = written(members.join(groups, "entry"), "shared")
+    sizes = shared.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    weights = shared.join(sizes, "entry").groupBy("node").agg((-F.sum("n")).alias("light"))
+    heads = shared.join(weights, "node").groupBy("entry").agg(F.min(F.struct("light", "node")).alias("head")).select("entry", F.col("head.node").alias("p"))
+    star = written(shared.join(heads, "entry").where("node != p"), "star")
+    texts = written(texts_of(shared.select("node").distinct()), "texts")
+    pairs = star.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
+    known = written(aligned(pairs, texts, least, beyond=True), "aligned")
+    of = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "d", "longer", "near")
+    told = written(star.withColumns({"x": F.greatest("node", "p"), "y": F.least("node", "p")}).join(of, ["x", "y"])
+                   .select("entry", "node", "d", "longer", "near"), "told")
+    links, known = known.where("near").select("a", "b"), known.select("a", "b")
+    told = told.join(told.where("not near").select("entry").distinct(), "entry", "left_semi")
+    bins, roots = None, components(links)
+    for most in (PAIRS * MORE ** i for i in itertools.count()):
+        now = told.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = now.groupBy("entry").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("entry")
+        now = written(now.join(open_, "entry"), "open")
+        if now.isEmpty():
+            return links
+        if bins is None:
+            bins = written(binned(texts.join(now.select("node").distinct(), "node", "left_semi"), TEXT_BINS if sketches else PARAGRAPH_BINS), "bins")
+        found = written(screened(now, bins, least, most), "screened")
+        new = written(found.where("a is not null").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+        tied = written(aligned(new, texts, least).where("near").select("a", "b"), "links")
+        links, known = links.union(tied), known.union(new)
+        more = written(found.where("a is null").select("entry").distinct(), "more")
+        if more.isEmpty():
+            return links
+        told = written(told.join(more, "entry", "left_semi"), "told")
+        roots = roots if tied.isEmpty() else components(links)
+
+
+def binned(texts: DataFrame, bins: tuple[int, int]) -> DataFrame:
+    """node, words (their number), bins (how many words, and pairs of
+    consecutive ones, fall into each bin, up to 255 as bytes) and what is over
+    that, for each of ``texts`` (node, t)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for ts, part in slices(batches, "t"):
-            nodes, tokens, firsts = [], [], []
-            for i, t in enumerate(ts):
-                seq = words_of(t)
-                grams = np.sort(shingled(known.of([seq]), 2))
-                number = np.arange(len(grams)) - np.searchsorted(grams, grams)  # among equal ones
-                tokens.append(mixed(grams + mixed(number.astype(np.uint64))))
-                nodes.extend([i] * len(grams))
-                firsts.extend([int(2 * len(seq) * (1 - least) + 1e-9) + 1] * len(grams))
-            entries = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([field(part, "node").take(pa.array(nodes, pa.int64())), pa.array(entries.view(np.int64)), pa.array(firsts, pa.int32())], ["node", "entry", "firsts"])
+            rows: list[tuple] = []
+            for t in ts:
+                hashes = known.of([words_of(t)])
+                counts = [np.bincount((h % np.uint64(n)).astype(np.int64), minlength=n) for h, n in zip((hashes, shingled(hashes, 2)), bins, strict=True)]
+                rows.append((len(hashes), np.minimum(np.concatenate(counts), 255).astype(np.uint8).tobytes(), *(int(np.maximum(c - 255, 0).sum()) for c in counts)))
+            kinds = (pa.int32(), pa.binary(), pa.int32(), pa.int32())
+            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([field(part, "node"), *cols], ["node", "words", "bins", "over1", "over2"])
 
     kind = texts.schema["node"].dataType.simpleString()
-    tokens = written(texts.select("node", "t").mapInArrow(run, f"node {kind}, entry long, firsts int"), "tokens")
-    often = tokens.groupBy("entry").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "entry"))
-    return tokens.join(often, "entry").withColumn("rank", rank).where("rank <= firsts and often > 1").select("entry", "node")
-
-
-def _border(told: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), one near a pivot and one not, whose distances to the
-    pivot allow them to be near each other; without those tied by ``roots``."""
-    most = 2 * (1 - least) / least  # of the longer's words: both near the same text between them
-    of = roots.select(F.col("node").alias("of"), "root")
-    apart = told.where(~F.col("near") & (F.col("d") <= most * F.col("longer") + 1)).select("p", F.col("node").alias("u"), F.col("d").alias("du"), F.col("longer").alias("lu")).distinct()
-    apart = (apart.join(of.withColumnsRenamed({"of": "u", "root": "ru"}), "u", "left").join(of.withColumnsRenamed({"of": "p", "root": "rp"}), "p", "left")
-             .where(F.coalesce("ru", "u") != F.coalesce("rp", "p")).select("p", "u", "du", "lu"))
-    tied = told.where("near and d > 0").select("p", F.col("node").alias("v"), F.col("d").alias("dv"), F.col("longer").alias("lv")).distinct()
-    may = F.col("du") - F.col("dv") <= F.floor(F.greatest("lu", "lv") * (1 - least) + 1e-9)
-    return apart.join(tied, "p").where(may).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    out = texts.select("node", "t").mapInArrow(run, f"node {kind}, words int, bins binary, over1 int, over2 int")
+    return out.withColumn("width", F.lit(bins[0]))
+
+
+def screened(told: DataFrame, bins: DataFrame, least: float, most: int) -> DataFrame:
+    """entry, a, b: pairs of texts of one group of ``told`` (entry, node, root,
+    d from the pivot, longer, near the pivot or not), not both near it, that
+    are not of one root and may be near each other: for each text that is not
+    near the pivot the ``most`` likeliest of a block of the others.  A row of
+    null texts tells that there are others in this group.
+
+    Near texts keep three bounds: their distances from the pivot differ by no
+    more edits than they may have (triangle inequality), an edit changes one
+    word and two pairs of consecutive words at most, and texts that fall into
+    bins together have no less in common than they have.  Groups are dealt
+    into blocks of about ``BLOCK`` texts, and each pair of blocks is one row;
+    a pair of texts is told in the least of their groups only.
+    """
+    far = 3 * F.floor(F.col("longer") * (1 - least) + 1e-9) + 4  # a distance that was not told is this at least
+    sizes = told.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("all_blocks"), F.ceil(F.count_if(~F.col("near")) / BLOCK).alias("left_blocks"))
+    bins = bins.join(told.groupBy("node").agg(F.collect_list("entry").alias("entries")), "node")  # a text has at most as many as entries
+    rows = told.join(sizes, "entry").join(bins, "node").withColumn("h", F.xxhash64("node")).select(
+        "entry", "near", "all_blocks", "left_blocks", "h",
+        F.struct("node", F.xxhash64("root").alias("root"), "near", "h", F.coalesce("d", far).cast("int").alias("low"), F.coalesce("d", F.lit(2**30)).alias("high"),
+                 "words", "bins", "over1", "over2", "width", "entries").alias("x"))
+
+    def blocks(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        dealt = side.withColumns({own: F.pmod("h", F.col(f"{own}_blocks")), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))})
+        return dealt.groupBy("entry", "left", "all").agg(F.collect_list("x").alias(name))
+
+    both = blocks(rows.where("not near"), "left", "all", "us").join(blocks(rows, "all", "left", "ws"), ["entry", "left", "all"]).select("entry", "us", "ws")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                us, ws = (batch.column(batch.schema.get_field_index(c))[i].values for c in ("us", "ws"))
+                entry = field(batch, "entry")[i].as_py()
+                at, to, more = likeliest(us, ws, least, most)
+                if len(at):
+                    mine, theirs = us.field("entries").to_pylist(), ws.field("entries").to_pylist()
+                    here = [(a, b) for a, b in zip(at, to, strict=True) if min(set(mine[a]).intersection(theirs[b])) == entry]
+                    a, b = us.field("node").take(pa.array([a for a, _ in here], pa.int64())), ws.field("node").take(pa.array([b for _, b in here], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([entry] * len(here), pa.int64()), a, b], ["entry", "u", "w"])
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.array([entry], pa.int64()), pa.nulls(1, us.field("node").type), pa.nulls(1, us.field("node").type)], ["entry", "u", "w"])
+
+    kind = told.schema["node"].dataType.simpleString()
+    found = both.mapInArrow(run, f"entry long, u {kind}, w {kind}")
+    return found.select("entry", F.greatest("u", "w").alias("a"), F.least("u", "w").alias("b"))
+
+
+def likeliest(us: pa.StructArray, ws: pa.StructArray, least: float, most: int) -> tuple[list[int], list[int], bool]:
+    """Places in ``us`` and ``ws`` of the pairs that ``screened`` tells of, two
+    texts that are both not near the pivot once, and whether there are more."""
+    def numbers(side: pa.StructArray, name: str) -> np.ndarray:
+        return side.field(name).to_numpy(zero_copy_only=False)
+
+    (uh, ur, ul, ut, un, u1, u2), (wh, wr, wl, wt, wn, w1, w2) = ([numbers(s, c) for c in ("h", "root", "low", "high", "words", "over1", "over2")] for s in (us, ws))
+    ub, wb = (np.frombuffer(b"".join(s.field("bins").to_pylist()), np.uint8).reshape(len(s), -1) for s in (us, ws))
+    width, tied = us.field("width")[0].as_py(), numbers(ws, "near").astype(bool)
+    at, to, more = [], [], False
+    for i in range(len(us)):
+        longer = np.maximum(wn, un[i])
+        edits = (longer * (1 - least) + 1e-9).astype(np.int64)
+        near = np.flatnonzero((wr != ur[i]) & (tied | (wh < uh[i])) & (np.abs(wn - un[i]) <= edits) & (ul[i] - wt <= edits) & (wl - ut[i] <= edits))
+        if len(near):
+            common = np.minimum(ub[i, :width], wb[near, :width]).sum(axis=1, dtype=np.int64) + np.minimum(u1[i], w1[near])
+            near = near[common >= longer[near] - edits[near]]
+        if len(near):
+            common = np.minimum(ub[i, width:], wb[near, width:]).sum(axis=1, dtype=np.int64) + np.minimum(u2[i], w2[near])
+            enough = common >= longer[near] - 1 - 2 * edits[near]
+            near, likeness = near[enough], common[enough] / np.maximum(longer[near[enough]], 1)
+            best = near[np.argsort(-likeness, kind="stable")[:most]]
+            at.extend([i] * len(best))
+            to.extend(best.tolist())
+            more |= len(near) > most
+    return at, to, more
 
 
 def node_of(text: str = "text"):

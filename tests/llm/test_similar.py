@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from loupe.llm import near_dedup
 from loupe.llm.alignment import edit_distance, similar
 from loupe.llm.common import WordHash, words_of
 from loupe.llm.components import components
@@ -136,6 +137,15 @@ def test_large_groups_lose_no_link(spark):
     assert len(texts) > 350 and got == want
 
 
+def test_alignments_grow_with_members(spark, monkeypatch):
+    """Texts that share a passage are aligned a few times each, not to each other."""
+    counts, aligned = [], near_dedup.aligned
+    monkeypatch.setattr(near_dedup, "aligned", lambda pairs, *args, **how: counts.append(pairs.count()) or aligned(pairs, *args, **how))
+    texts = {i: f"{prose(9, 40)} {prose(300 + i // 2, 60)}{' more' * (i % 2)}" for i in range(160)}
+    got, want = linked(spark, texts)
+    assert got == want and sum(counts) < 3 * len(texts)
+
+
 def test_paragraph_links_cross_a_pivot(spark):
     """Copies of a paragraph, near the original but not each other, the least of them the pivot."""
     words = words_of(prose(1, WORDS))
