@@ -4,7 +4,9 @@ A text is cut into paragraphs that do not depend on what stands before them:
 of every ``GAP`` consecutive places the one with the least hash of its five
 words begins a paragraph of ``WORDS`` words, so any passage that two texts
 share word for word, ``WORDS + GAP - 1`` = 50 words or longer, gives both of
-them an equal paragraph.  MinHash values of a paragraph's five-word shingles form
+them an equal paragraph.  Words that none of these holds, between two of them,
+before the first and after the last, get paragraphs of their own, so every
+word of a text of ``WORDS`` words or more stands in a paragraph.  MinHash values of a paragraph's five-word shingles form
 ``BANDS`` bands of ``ROWS``: paragraphs of Jaccard similarity 0.8 share one in
 87 of 100 cases, equal ones always, so of repeated passages with three such
 paragraphs 998 of 1000 are found.  Colliding paragraphs are verified by their
@@ -47,6 +49,19 @@ def anchors(grams: np.ndarray, doc: np.ndarray, starts: np.ndarray, counts: np.n
     return np.flatnonzero(chosen)
 
 
+def between(doc: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """text and start of the paragraphs that hold what those at ``at``, in
+    order, leave out of their texts: they end where the next one begins, the
+    first begins and the last ends with the text."""
+    first, last = np.ones(len(at), bool), np.ones(len(at), bool)
+    first[1:], last[:-1] = doc[1:] != doc[:-1], doc[1:] != doc[:-1]
+    ends = sizes[doc] - WORDS
+    after = np.where(last, ends, np.append(at[1:], 0) - WORDS)
+    places = [(first & (at > 0), np.maximum(at - WORDS, 0)), (first & (at > WORDS), np.zeros_like(at)),
+              (last & (ends > at + WORDS), at + WORDS), (~last & (after > at) | last & (ends > at), after)]
+    return np.concatenate([doc[hit] for hit, _ in places]), np.concatenate([where[hit] for hit, where in places])
+
+
 def paragraph_rows(texts: list[str], known: WordHash) -> tuple[np.ndarray, ...]:
     """text, start, words, content hash and bands of each paragraph; texts of
     fewer than ``WORDS`` words, but of a shingle at least, are one."""
@@ -60,7 +75,9 @@ def paragraph_rows(texts: list[str], known: WordHash) -> tuple[np.ndarray, ...]:
     place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)
     picked = anchors(grams[place], doc, np.cumsum(counts) - counts, counts)
     short = np.flatnonzero((sizes >= SHINGLE) & (sizes < WORDS))
-    doc, at = np.concatenate((doc[picked], short)), np.concatenate((place[picked], begin[short]))
+    doc, at = doc[picked], place[picked]
+    more, where = between(doc, at - begin[doc], sizes)
+    doc, at = np.concatenate((doc, more, short)), np.concatenate((at, where + begin[more], begin[short]))
     words = np.minimum(sizes[doc], WORDS)
     content, bands = words.astype(np.uint64), np.full((BANDS * ROWS, len(at)), 2**64 - 1, np.uint64)
     for j in range(WORDS):

@@ -290,6 +290,14 @@ def test_any_shared_run_gives_an_equal_paragraph():
         assert set(content[doc == 0]) & set(content[doc == 1])
 
 
+def test_every_word_stands_in_a_paragraph():
+    texts = [prose(seed, n) for seed, n in enumerate([20, 21, 39, 40, 41, 50, 51, 70, 71, 200, 1000, 3000])]
+    doc, start, words, _, _ = paragraph_rows(texts + ["same " * 100, "", "one two"], WordHash())
+    for i, t in enumerate([*texts, "same " * 100]):
+        held = {w for s, n in zip(start[doc == i], words[doc == i], strict=True) for w in range(s, s + n)}
+        assert held == set(range(len(words_of(t)))), i
+
+
 def test_repeats_cut_and_edges(spark):
     shared, rows = passage_case()
     docs = clashing(frame(spark, rows))
