@@ -298,6 +298,14 @@ def test_every_word_stands_in_a_paragraph():
         assert held == set(range(len(words_of(t)))), i
 
 
+def test_a_text_that_begins_a_longer_one(spark):
+    short, long = prose(1, 31), prose(1, 3000)
+    assert words_of(long)[:31] == words_of(short)
+    got = repeated(frame(spark, [(1, short, "en", "a", 1), (3, long, "en", "a", 1)])).collect()
+    assert {(r.doc_id, r.first) for r in got} == {(3, 1)}
+    assert all(r.start + r.words <= 31 for r in got)
+
+
 def test_repeats_cut_and_edges(spark):
     shared, rows = passage_case()
     docs = clashing(frame(spark, rows))
