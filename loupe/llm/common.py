@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from loupe.session import checkpoint_dir
 
-#: Rows leave a Python stage in slices of at most this many bytes of text.
-SLICE_BYTES = 8 << 20
+#: Rows go through a Python stage in slices of at most this many bytes of text,
+#: whose words and their hashes take some forty times as much of a worker's memory.
+SLICE_BYTES = 2 << 20
 
 #: The characters that separate words in every operator that counts words.
 WORD = r"[^\x20\x09-\x0D]+"

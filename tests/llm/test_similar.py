@@ -1,12 +1,14 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loupe.llm import near_dedup
 from loupe.llm.alignment import edit_distance, similar
-from loupe.llm.common import WordHash, words_of
+from loupe.llm.common import WordHash, slices, words_of
 from loupe.llm.components import components
 from loupe.llm.decontaminate import Items, contaminated, drop_contaminated, passage
 from loupe.llm.near_dedup import drop_near_duplicates, near_duplicates, near_links
@@ -323,3 +325,15 @@ def test_ends_that_are_not_shared():
     a, b = "x s1 s2 s3 s4".split(), "y s1 s2 s3 s4 z".split()
     assert ends_apart(a, b) == (1, 0) and ends_apart(b, a) == (1, 1)
     assert ends_apart(a, a) == (0, 0) and ends_apart(["a"], ["b"]) == (0, 0) and ends_apart("a b".split(), "c d".split()) == (0, 0)
+
+
+def test_memory_of_a_batch():
+    """A large batch of texts is not split into words and sketched at once."""
+    text = prose(4, 10_000)
+    batch = pa.RecordBatch.from_pydict({"t": [text] * (8_000_000 // len(text))})
+    tracemalloc.start()
+    for texts, _ in slices([batch], "t"):
+        near_dedup.order_minhash(texts, WordHash(), sketches=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
