@@ -83,10 +83,17 @@ def byte_letters() -> list[str]:
 
 _WORDS = re.compile(r"[^\W_]+")
 
+#: Latin-1 with a space for all but letters and digits.
+_LATIN = bytes(b if chr(b).isalnum() else 0x20 for b in range(256))
+
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters and digits."""
-    return _WORDS.findall(text.lower())
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORDS.findall(text)
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -105,7 +112,7 @@ class WordHash(dict):
 
     def of(self, seqs: list[list[str]]) -> np.ndarray:
         """The hashes of all words of ``seqs``, one after the other."""
-        return np.array(list(map(self.__getitem__, chain.from_iterable(seqs))), np.uint64)
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(seqs)), np.uint64, sum(map(len, seqs)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -31,3 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         seen = now
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` as ``components`` gives them, once more links (``a``, ``b``)
+    tie components, or nodes that had none: only those are gone through."""
+    for side in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    over = components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return written(moved.select("node", F.coalesce("top", "root").alias("root")).union(over), "roots")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loupe.llm.alignment import allowed, edit_distance
 from loupe.llm.common import WordHash, field, mixed, shingled, slices, text_of, words_of, written
-from loupe.llm.components import components
+from loupe.llm.components import components, joined
 
 #: Words of a shingle, shingles of an entry, entries of a document.
 SHINGLE, PICKS, SKETCHES = 5, 4, 24
@@ -39,8 +39,10 @@ SIMILAR = 0.8
 PAIRS, MORE = 16, 16
 #: Texts of a block of a group.
 BLOCK = 256
-#: Bins of words and of pairs of words, of a whole text and of a paragraph.
-TEXT_BINS, PARAGRAPH_BINS = (256, 1024), (64, 128)
+#: Bins of words and of pairs of words of a text.
+TEXT_BINS = (256, 1024)
+#: Pairs of paragraphs whose distances are found together, and their most words.
+TOGETHER, BITS = 1 << 14, 64
 
 
 def order_minhash(texts: list[str], known: WordHash, shingle: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
@@ -132,7 +134,17 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float, beyond: bool = Fal
 def near_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILAR, sketches: bool = True) -> DataFrame:
     """Verified links (a, b) that connect, within each group of ``members``
     (entry, node), the texts that are near each other.  ``texts_of`` gives
-    (node, t) for a table of nodes.
+    (node, t) for a table of nodes."""
+    return _linked(members, texts_of, least, sketches)[0]
+
+
+def near_roots(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILAR, sketches: bool = True) -> DataFrame:
+    """node, root: the components of ``near_links``."""
+    return _linked(members, texts_of, least, sketches)[1]
+
+
+def _linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float, sketches: bool) -> tuple[DataFrame, DataFrame]:
+    """Links and their components.
 
     First all texts of a group are aligned to its pivot, the one that shares
     most entries with others: one alignment for each text.  What is not near
@@ -140,7 +152,8 @@ def near_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], l
     pair fails (``screened``), unless tied by then, and each text is aligned
     to the ``PAIRS`` likeliest that remain, then to ``MORE`` times as many of
     those that are still not tied, until none is left out.  ``sketches``
-    (24 entries a text) stands for whole texts, else they are paragraphs.
+    (24 entries a text) stands for whole texts, else they are paragraphs: so
+    short that the distances of what the bounds leave are found at once.
     """
     groups = members.groupBy("entry").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p != q").select("entry")
     shared = written(members.join(groups, "entry"), "shared")
@@ -156,24 +169,28 @@ def near_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], l
                    .select("entry", "node", "d", "longer", "near"), "told")
     links, known = known.where("near").select("a", "b"), known.select("a", "b")
     told = told.join(told.where("not near").select("entry").distinct(), "entry", "left_semi")
-    bins, roots = None, components(links)
+    traits, roots = None, components(links)
     for most in (PAIRS * MORE ** i for i in itertools.count()):
         now = told.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = now.groupBy("entry").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("entry")
         now = written(now.join(open_, "entry"), "open")
         if now.isEmpty():
-            return links
-        if bins is None:
-            bins = written(binned(texts.join(now.select("node").distinct(), "node", "left_semi"), TEXT_BINS if sketches else PARAGRAPH_BINS), "bins")
-        found = written(screened(now, bins, least, most), "screened")
+            return links, roots
+        if traits is None:
+            some = texts.join(now.select("node").distinct(), "node", "left_semi")
+            traits = written(binned(some, TEXT_BINS) if sketches else hashed(some), "traits")
+        if not sketches:
+            tied = written(tied_paragraphs(now, traits, least).distinct(), "links")
+            return links.union(tied), roots if tied.isEmpty() else joined(roots, tied)
+        found = written(screened(now, traits, least, most), "screened")
         new = written(found.where("a is not null").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "pairs")
         tied = written(aligned(new, texts, least).where("near").select("a", "b"), "links")
         links, known = links.union(tied), known.union(new)
+        roots = roots if tied.isEmpty() else joined(roots, tied)
         more = written(found.where("a is null").select("entry").distinct(), "more")
         if more.isEmpty():
-            return links
+            return links, roots
         told = written(told.join(more, "entry", "left_semi"), "told")
-        roots = roots if tied.isEmpty() else components(links)
 
 
 def binned(texts: DataFrame, bins: tuple[int, int]) -> DataFrame:
@@ -198,6 +215,120 @@ def binned(texts: DataFrame, bins: tuple[int, int]) -> DataFrame:
     return out.withColumn("width", F.lit(bins[0]))
 
 
+def hashed(texts: DataFrame) -> DataFrame:
+    """node, words (their number) and their hashes, one after the other."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for ts, part in slices(batches, "t"):
+            rows = [known.of([words_of(t)]) for t in ts]
+            yield pa.RecordBatch.from_arrays([field(part, "node"), pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                                             ["node", "words", "hashes"])
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "t").mapInArrow(run, f"node {kind}, words int, hashes binary")
+
+
+def paired_blocks(told: DataFrame, traits: DataFrame, least: float) -> DataFrame:
+    """entry, us, ws: each block of the texts of a group that are not near the
+    pivot with each block of all its texts; groups are dealt into blocks of
+    about ``BLOCK`` texts, with the columns of ``traits``."""
+    far = 3 * F.floor(F.col("longer") * (1 - least) + 1e-9) + 4  # a distance that was not told is this at least
+    sizes = told.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("all_blocks"), F.ceil(F.count_if(~F.col("near")) / BLOCK).alias("left_blocks"))
+    rows = told.join(sizes, "entry").join(traits, "node").withColumn("h", F.xxhash64("node")).select(
+        "entry", "near", "all_blocks", "left_blocks", "h",
+        F.struct("node", F.xxhash64("root").alias("root"), "near", "h", F.coalesce("d", far).cast("int").alias("low"), F.coalesce("d", F.lit(2**30)).alias("high"),
+                 *(c for c in traits.columns if c != "node")).alias("x"))
+
+    def blocks(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        dealt = side.withColumns({own: F.pmod("h", F.col(f"{own}_blocks")), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))})
+        return dealt.groupBy("entry", "left", "all").agg(F.collect_list("x").alias(name))
+
+    return blocks(rows.where("not near"), "left", "all", "us").join(blocks(rows, "all", "left", "ws"), ["entry", "left", "all"]).select("entry", "us", "ws")
+
+
+def tied_paragraphs(told: DataFrame, traits: DataFrame, least: float) -> DataFrame:
+    """a, b: of the pairs that ``screened`` compares, near ones that connect
+    all that are near; no more of a block than it has texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, ws = field(batch, "us"), field(batch, "ws")
+            for i in range(batch.num_rows):
+                mine, theirs = us[i].values, ws[i].values
+                at, to = ties(mine, theirs, least)
+                if at:
+                    yield pa.RecordBatch.from_arrays([mine.field("node").take(pa.array(at)), theirs.field("node").take(pa.array(to))], ["u", "w"])
+
+    kind = told.schema["node"].dataType.simpleString()
+    found = paired_blocks(told, traits, least).select("us", "ws").mapInArrow(run, f"u {kind}, w {kind}")
+    return found.select(F.greatest("u", "w").alias("a"), F.least("u", "w").alias("b"))
+
+
+def ties(us: pa.StructArray, ws: pa.StructArray, least: float) -> tuple[list[int], list[int]]:
+    """Places in ``us`` and ``ws`` of the near pairs that ``tied_paragraphs``
+    tells of, at most one for each two classes that it ties."""
+    (uh, ur, ul, ut, un), (wh, wr, wl, wt, wn) = ([s.field(c).to_numpy(zero_copy_only=False) for c in ("h", "root", "low", "high", "words")] for s in (us, ws))
+    edits = (np.maximum(un[:, None], wn) * (1 - least) + 1e-9).astype(np.int64)
+    tied = ws.field("near").to_numpy(zero_copy_only=False).astype(bool)
+    may = (ur[:, None] != wr) & (tied | (wh < uh[:, None])) & (np.abs(un[:, None] - wn) <= edits) & (ul[:, None] - wt <= edits) & (wl - ut[:, None] <= edits)
+    i, j = np.nonzero(may)
+    if not len(i):
+        return [], []
+    words = [np.frombuffer(h, np.uint64) for s in (us, ws) for h in s.field("hashes").to_pylist()]
+    a, b = words[:len(us)], words[len(us):]
+    most = edits[i, j]
+    if max(map(len, a)) > BITS:
+        near = np.array([edit_distance(a[x].tolist(), b[y].tolist(), int(k)) is not None for x, y, k in zip(i, j, most, strict=True)])
+    else:
+        near = distances(a, b, i, j) <= most
+    parent: dict[int, int] = {}
+
+    def root(n: int) -> int:
+        while (up := parent.get(n, n)) != n:
+            parent[n] = n = parent.get(up, up)
+        return n
+
+    at, to = [], []
+    for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+        if (p := root(int(ur[x]))) != (q := root(int(wr[y]))):
+            parent[p] = q
+            at.append(x)
+            to.append(y)
+    return at, to
+
+
+def distances(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The edit distances of ``a[i]``, of up to ``BITS`` words, and ``b[j]``.
+
+    Bit-parallel, as in ``edit_distance``, for ``TOGETHER`` pairs at once: bit
+    r of a pair's numbers is the difference of a column at word r of ``a[i]``.
+    """
+    an, bn = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    every, word = np.unique(np.concatenate((*a, *b)), return_inverse=True)
+    rows, place = np.repeat(np.arange(len(a)), an), np.arange(an.sum()) - np.repeat(np.cumsum(an) - an, an)
+    where = np.zeros((len(a), len(every) + 1), np.uint64)  # the places of each word, the last one of none
+    np.bitwise_or.at(where, (rows, word[:an.sum()]), np.uint64(1) << place.astype(np.uint64))
+    columns = np.full((len(b), max(1, bn.max())), len(every))
+    columns[np.arange(columns.shape[1]) < bn[:, None]] = word[an.sum():]
+    out, one = np.empty(len(i), np.int64), np.uint64(1)
+    for at in range(0, len(i), TOGETHER):
+        x, y = i[at:at + TOGETHER], j[at:at + TOGETHER]
+        top = (np.maximum(an[x], 1) - 1).astype(np.uint64)
+        more, less = np.full(len(x), ~np.uint64(0)), np.zeros(len(x), np.uint64)
+        found = an[x].copy()
+        for c in range(columns.shape[1]):
+            same = where[x, columns[y, c]]
+            down = same | less
+            across = (((same & more) + more) ^ more) | same
+            up, off = less | ~(across | more), more & across
+            found += np.where(c < bn[y], ((up >> top) & one).astype(np.int64) - ((off >> top) & one).astype(np.int64), 0)
+            up = (up << one) | one
+            more, less = (off << one) | ~(down | up), up & down
+        out[at:at + TOGETHER] = np.where(an[x] > 0, found, bn[y])
+    return out
+
+
 def screened(told: DataFrame, bins: DataFrame, least: float, most: int) -> DataFrame:
     """entry, a, b: pairs of texts of one group of ``told`` (entry, node, root,
     d from the pivot, longer, near the pivot or not), not both near it, that
@@ -208,23 +339,11 @@ def screened(told: DataFrame, bins: DataFrame, least: float, most: int) -> DataF
     Near texts keep three bounds: their distances from the pivot differ by no
     more edits than they may have (triangle inequality), an edit changes one
     word and two pairs of consecutive words at most, and texts that fall into
-    bins together have no less in common than they have.  Groups are dealt
-    into blocks of about ``BLOCK`` texts, and each pair of blocks is one row;
-    a pair of texts is told in the least of their groups only.
+    bins together have no less in common than they have.  Each pair of blocks
+    is one row; a pair of texts is told in the least of their groups only.
     """
-    far = 3 * F.floor(F.col("longer") * (1 - least) + 1e-9) + 4  # a distance that was not told is this at least
-    sizes = told.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("all_blocks"), F.ceil(F.count_if(~F.col("near")) / BLOCK).alias("left_blocks"))
     bins = bins.join(told.groupBy("node").agg(F.collect_list("entry").alias("entries")), "node")  # a text has at most as many as entries
-    rows = told.join(sizes, "entry").join(bins, "node").withColumn("h", F.xxhash64("node")).select(
-        "entry", "near", "all_blocks", "left_blocks", "h",
-        F.struct("node", F.xxhash64("root").alias("root"), "near", "h", F.coalesce("d", far).cast("int").alias("low"), F.coalesce("d", F.lit(2**30)).alias("high"),
-                 "words", "bins", "over1", "over2", "width", "entries").alias("x"))
-
-    def blocks(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
-        dealt = side.withColumns({own: F.pmod("h", F.col(f"{own}_blocks")), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))})
-        return dealt.groupBy("entry", "left", "all").agg(F.collect_list("x").alias(name))
-
-    both = blocks(rows.where("not near"), "left", "all", "us").join(blocks(rows, "all", "left", "ws"), ["entry", "left", "all"]).select("entry", "us", "ws")
+    both = paired_blocks(told, bins, least)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +407,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     def texts_of(nodes: DataFrame) -> DataFrame:
         return t.select("node", "t").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    roots = components(near_links(entries, texts_of, least))
+    roots = near_roots(entries, texts_of, least)
     nodes = t.groupBy("node").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k")).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = written(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n"), "nodes")
     classes = nodes.groupBy("root").agg(F.min(F.struct("first", "node")).alias("one"), F.sum("n").alias("class_size"))

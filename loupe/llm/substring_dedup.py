@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.llm.common import WordHash, field, mixed, shingled, slices, text_of, word_spans, words_of, written
-from loupe.llm.components import components
-from loupe.llm.near_dedup import near_links
+from loupe.llm.near_dedup import near_roots
 
 #: Words of a paragraph and of a shingle; places of which one begins a paragraph.
 WORDS, SHINGLE, GAP = 20, 5, 31
@@ -41,7 +40,12 @@ def anchors(grams: np.ndarray, doc: np.ndarray, starts: np.ndarray, counts: np.n
     ones of their text, or of all, if it has fewer."""
     chosen = np.zeros(len(grams), bool)
     if len(grams) >= GAP:
-        least = np.lib.stride_tricks.sliding_window_view(grams, GAP).argmin(axis=1) + np.arange(len(grams) - GAP + 1)
+        # the place of the least of 1, 2, 4 ... places from each on, at last of GAP
+        least, wide = np.arange(len(grams)), 1
+        while wide < GAP:
+            step = min(wide, GAP - wide)
+            left, right = least[:-step], least[step:]
+            least, wide = np.where(grams[right] < grams[left], right, left), wide + step
         whole = doc[:len(least)] == doc[GAP - 1:]
         chosen[least[whole]] = True
     for i in np.flatnonzero((counts > 0) & (counts < GAP)):
@@ -186,7 +190,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
         held.append(written(_paragraph_texts(docs, one.select("node", F.col("at.k").alias("k"), F.col("at.start").alias("start")), key, text), "paragraph-texts"))
         return held[0]
 
-    roots = components(near_links(members, texts_of, least, sketches=False))
+    roots = near_roots(members, texts_of, least, sketches=False)
     spans = shared.select("node", "k", "start", "words").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spans = written(spans.withColumn("who", who), "spans")
     one = F.min(F.struct("who", "start", "node")).alias("one")

@@ -1,7 +1,9 @@
 import random
+import re
 import tracemalloc
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from loupe.llm import near_dedup
 from loupe.llm.alignment import edit_distance, similar
 from loupe.llm.common import WordHash, slices, words_of
-from loupe.llm.components import components
+from loupe.llm.components import components, joined
 from loupe.llm.decontaminate import Items, contaminated, drop_contaminated, passage
 from loupe.llm.near_dedup import drop_near_duplicates, near_duplicates, near_links
 from loupe.llm.substring_dedup import GAP, WORDS, ends_apart, paragraph_rows, repeated, without_repeats
@@ -337,3 +339,38 @@ def test_memory_of_a_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120e6
+
+
+def test_distances_together():
+    rng = random.Random(6)
+    for n in (3, 14, near_dedup.BITS):
+        a, b = ([np.array([rng.randrange(9) for _ in range(rng.randrange(most + 1))], np.uint64) for _ in range(25)] for most in (n, n + 5))
+        i, j = (x.ravel() for x in np.mgrid[:25, :25])
+        assert near_dedup.distances(a, b, i, j).tolist() == [table_distance(a[x].tolist(), b[y].tolist()) for x, y in zip(i, j, strict=True)]
+
+
+def test_joined_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    first, more = (spark.createDataFrame(e, "a long, b long") for e in (edges[:140], edges[140:]))
+    got = {r.node: r.root for r in joined(components(first), more).collect()}
+    assert got == {n: r for n, r in grouped(edges, {x for e in edges for x in e}).items() if n != r}
+
+
+@pytest.mark.parametrize("more", [0, 60])
+def test_paragraphs_are_aligned_to_the_pivot_only(spark, monkeypatch, more):
+    """What is not near the pivot is tied block by block, longer texts too."""
+    counts, aligned = [], near_dedup.aligned
+    monkeypatch.setattr(near_dedup, "aligned", lambda pairs, *args, **how: counts.append(pairs.count()) or aligned(pairs, *args, **how))
+    base, texts = prose(9, 12), {}
+    for i in range(150):
+        own = f"{base} {prose(300 + i, 8 + more)}"
+        texts[2 * i], texts[2 * i + 1] = own, edited(own, i, 2)
+    got, want = linked(spark, texts, sketches=False)
+    assert got == want and sum(counts) < len(texts)
+
+
+def test_words_are_runs_of_letters_and_digits():
+    for c in map(chr, range(0x3000)):
+        text = f"a{c}B {c}{c} c_1{c}"
+        assert words_of(text) == re.findall(r"[^\W_]+", text.lower()), hex(ord(c))
